@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,9 +33,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computes df once into the shared checkpoint folder; a lost executor takes nothing of it along."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Computes df once into a table in the shared checkpoint folder; a lost executor takes nothing of it along."""
+    return stored(df)[0]
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """cut(), and the table's path for drop_table()."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    jvm, sc = spark._jvm, spark.sparkContext
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def words_of(text: Column) -> Column:

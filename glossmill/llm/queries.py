@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from glossmill.llm import mixing, packing
+from glossmill.llm import mixing, packing, simhash
 
 QUERIES = {
     "op4_packing": packing.op4_packing,
+    "op8_simhash": simhash.op8_simhash,
     "op10_mixing": mixing.op10_mixing,
 }
 SQL = {"op10_mixing": mixing.SQL}
