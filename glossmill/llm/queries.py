@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from glossmill.llm import mixing, packing, simhash
+from glossmill.llm import mixing, packing, secrets, simhash
 
 QUERIES = {
     "op4_packing": packing.op4_packing,
+    "op5_secrets": secrets.op5_secrets,
     "op8_simhash": simhash.op8_simhash,
     "op10_mixing": mixing.op10_mixing,
 }
-SQL = {"op10_mixing": mixing.SQL}
+SQL = {"op5_secrets": secrets.SQL, "op10_mixing": mixing.SQL}
