@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from glossmill.llm import mixing, packing, secrets, simhash
+from glossmill.llm import mixing, packing, quality, secrets, simhash
 
 QUERIES = {
+    "op3_quality": quality.op3_quality,
     "op4_packing": packing.op4_packing,
     "op5_secrets": secrets.op5_secrets,
     "op8_simhash": simhash.op8_simhash,
