@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from glossmill.llm import mixing, packing, quality, secrets, simhash
+from glossmill.llm import language, mixing, packing, quality, secrets, simhash
 
 QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_packing": packing.op4_packing,
     "op5_secrets": secrets.op5_secrets,
+    "op7_language": language.op7_language,
     "op8_simhash": simhash.op8_simhash,
     "op10_mixing": mixing.op10_mixing,
 }
