@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossmill.llm import language, mixing, packing, quality, secrets, simhash
+from glossmill.llm import embeddings, language, mixing, packing, quality, secrets, simhash
 
 QUERIES = {
     "op3_quality": quality.op3_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_secrets": secrets.op5_secrets,
     "op7_language": language.op7_language,
     "op8_simhash": simhash.op8_simhash,
+    "op9_embeddings": embeddings.op9_embeddings,
     "op10_mixing": mixing.op10_mixing,
 }
 SQL = {"op5_secrets": secrets.SQL, "op10_mixing": mixing.SQL}
