@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from glossmill.llm import embeddings, language, mixing, packing, quality, rules, secrets, simhash
+from glossmill.llm import embeddings, language, mixing, packing, quality, rules, secrets, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_rules": rules.op2_rules,
     "op3_quality": quality.op3_quality,
     "op4_packing": packing.op4_packing,
