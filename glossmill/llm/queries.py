@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossmill.llm import embeddings, language, mixing, packing, quality, rules, secrets, simhash, toxicity
+from glossmill.llm import embeddings, language, mixing, packing, quality, rules, secrets, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_packing": packing.op4_packing,
     "op5_secrets": secrets.op5_secrets,
+    "op6_substrings": substrings.op6_substrings,
     "op7_language": language.op7_language,
     "op8_simhash": simhash.op8_simhash,
     "op9_embeddings": embeddings.op9_embeddings,
