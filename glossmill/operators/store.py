@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glossmill.sources.tables import cut
+
 HISTORY_LIMIT, EXPORT_LIMIT, LEAST_QUERY = 20, 50, 2
 
 
@@ -71,7 +73,7 @@ def numbered(rows: DataFrame, order: list[str], first: int = 1) -> DataFrame:
 
     Each range partition counts its own rows; a table of one row a partition holds how many come before.
     """
-    ranged = rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
+    ranged = cut(rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return ranged.withColumn("_own", own).join(counts.select("_part", "_before"), "_part").withColumn("id", F.col("_before") + F.col("_own") + (first - 1)).drop("_part", "_own", "_before")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import json
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from glossmill.functions import pitch, structured, text
 from glossmill.operators import cards as card_ops
@@ -13,6 +17,9 @@ from glossmill.operators import catalog as catalog_ops
 from glossmill.operators import consolidate as merge
 from glossmill.operators import enrich, fulltext, search, stats, store
 from glossmill.plans import fixtures as fx
+from glossmill.plans import imports
+from glossmill.sources import archive
+from glossmill.sources.tables import shared_folder
 from glossmill.streaming import reactive
 
 QUERIES: dict = {}
@@ -133,8 +140,6 @@ def consolidate_single(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("consolidate_table", f"with {E_}, ranked as (select *, row_number() over (partition by reading order by {RANK}, id)::int as rnk from entries), {_merged_sql('ranked')} select * exclude (ids) from merged")
 def consolidate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
     rows = fx.entries(spark, sf_dir).withColumn("rnk", F.row_number().over(Window.partitionBy("reading").orderBy(*search.rank_keys(), "id")))
     return _flat(merge.consolidate(rows))
 
@@ -534,6 +539,47 @@ _golden("parse_pitch", ACCENTS, ("2,0", "", ""), structured.pitch)
 _golden("structured_text", NESTED, ("a; b", "食, た", '{"type":"image","path":"x"}'), structured.structured_text)
 
 
+# Archives
+
+BANK = (
+    ["食べる", "", "v1", "", 1, ["to eat", {"type": "text", "text": "to live on"}], 5, "P"],
+    ["ねこ", "", "n", "", 1, "cat", None, ""],
+    ["short", "", "", "", 1],
+    [" ", "", "", "", 1, ["blank"]],
+    ["橋", "はし", "n", "", 1, [{"type": "structured-content", "content": [{"tag": "li", "content": "a"}, {"tag": "li", "content": "b"}]}], 7],
+)
+META = (["食べる", "freq", {"value": 7}], ["食べる", "freq", "1,234"], ["橋", "pitch", {"pitches": [{"position": 2}]}], ["ねこ", "freq", 0], ["ねこ", "other", 3])
+
+
+def sample_archive() -> bytes:
+    """A small archive with an index, a term bank that holds unusable rows, a broken bank, and a meta bank."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("index.json", json.dumps({"title": "Sample", "format": 3, "revision": "r1"}))
+        z.writestr("term_bank_1.json", json.dumps(BANK, ensure_ascii=False))
+        z.writestr("term_bank_2.json", "[broken")
+        z.writestr("term_meta_bank_1.json", json.dumps(META, ensure_ascii=False))
+        z.writestr("kanji_bank_1.json", "[]")
+    return out.getvalue()
+
+
+def _members(spark: SparkSession) -> DataFrame:
+    return archive.unzipped(spark.createDataFrame([("sample.zip", bytearray(sample_archive()))], "path string, content binary"))
+
+
+@query("import_entries", """select * from (values
+  (1::bigint, '食べる', '食べる', 'to eat|to live on', 1234, '', 'v1, P', 'Sample', 5), (2, 'ねこ', 'ねこ', 'cat', 0, '', 'n', 'Sample', 0), (3, '橋', 'はし', 'a; b', 0, '2', 'n', 'Sample', 7))
+  t(id, expression, reading, definitions, frequency, pitch_accent, parts_of_speech, dictionary_name, sequence_number)""")
+def import_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries, _ = imports.import_archives(_members(spark))
+    return entries.select("id", "expression", "reading", F.array_join("definitions", "|").alias("definitions"), "frequency", "pitch_accent", "parts_of_speech", "dictionary_name", "sequence_number")
+
+
+@query("import_catalog", "select 'Sample' as name, '3' as version, 'r1' as revision, 3::bigint as entry_count, true as enabled, 0 as priority")
+def import_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imports.import_archives(_members(spark))[1]
+
+
 # Search input
 
 K_ = "keystrokes as (select user_id, ts, event_id, event_type as value from events)"
@@ -557,8 +603,7 @@ def latest_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_root(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def _keystroke_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,11 @@ def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def members(spark: SparkSession, path: str) -> DataFrame:
     """(path, ord, member, text): the JSON members of every archive, one row each, so that a task holds one at a time."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return unzipped(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def unzipped(files: DataFrame) -> DataFrame:
+    """members() of files(path, content)."""
     return files.mapInPandas(_unzip, MEMBER).withColumn("kind", member_kind(F.col("member")))
 
 
