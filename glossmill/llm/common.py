@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zlib
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glossmill.sources.tables import cut, drop_table, stored
+
+__all__ = ["BLANKS", "BLANK_RUN", "crc_mod", "cut", "drop_table", "packed", "prefix_sums", "stored", "table", "word_count", "words_of"]
+
 #: The six characters that separate words: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
@@ -19,39 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Takes the folder of spark.checkpoint.dir; makes one only in local mode, where all tasks share the machine."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    path = spark.conf.get("spark.checkpoint.dir", "")
-    if not path:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="glossmill-checkpoint-")
-    sc.setCheckpointDir(path)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once into a table in the shared checkpoint folder; a lost executor takes nothing of it along."""
-    return stored(df)[0]
-
-
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """cut(), and the table's path for drop_table()."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    jvm, sc = spark._jvm, spark.sparkContext
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def words_of(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` in order; null and blank texts have none."""
     trimmed = F.btrim(text, F.lit(BLANKS))
@@ -62,8 +29,9 @@ def word_count(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
-def is_training(doc_id, held: int, of: int) -> bool:
-    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % of != held
+def packed(docs: DataFrame, *keys: Column) -> DataFrame:
+    """docs with each row in one column, _row, beside the keys: names of the rows' columns then clash with nothing."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *keys)
 
 
 def crc_mod(doc_id: Column, of: int) -> Column:

@@ -134,7 +134,7 @@ def fit(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, languages: int = LANGUAG
     About `rows` documents of each language are taken, those with the smallest hashes of their ids; at most languages * BUCKETS
     counts come to the driver.
     """
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), OF) != HELD))
+    usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), OF) != HELD))
     per = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not per:
         return LanguageModel((), np.zeros((0, BUCKETS)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glossmill.llm.common import cut, prefix_sums, table, word_count
+from glossmill.llm.common import cut, packed, prefix_sums, table, word_count
 
 #: Expected copies are whole multiples of 1/UNIT, so prefix sums are exact and do not depend on the partitioning.
 UNIT = 1 << 24
@@ -62,11 +62,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def take_copies(docs: DataFrame) -> DataFrame:
     """The mix itself: each row as often as mix() takes it, with the columns that came in. Rows equal in id, source and text share their copies."""
-    of = F.struct("doc_id", "source", F.xxhash64("text"))
-    taken = mix(docs, keep=[of.alias("_key")]).groupBy("_key").agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
+    of = F.struct("doc_id", "source", F.xxhash64("text").alias("text_hash")).alias("_key")
+    taken = mix(docs, keep=[of]).groupBy("_key").agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
     first = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
-    rows = docs.withColumn("_key", of).withColumn("_nth", first).filter("_nth = 1").join(taken, "_key")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    rows = packed(docs, of).withColumn("_nth", first).filter("_nth = 1").join(cut(taken), "_key")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")
 
 
 SQL = f"""

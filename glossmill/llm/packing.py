@@ -80,10 +80,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataF
     pieces = pieces.withColumn("first_word", F.col("piece") * capacity).withColumn("n_words", F.least(F.col("words") - F.col("first_word"), F.lit(capacity).cast("long")))
     pieces = cut(pieces.drop("words"))
     shards = max(1, -(-pieces.count() // shard))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    pieces = pieces.withColumns({"doc_id": F.col("doc_id").cast("string"), "cluster": F.col("cluster").cast("string")})  # pandas would read numbers with nulls as floats
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "source", "cluster"), F.lit(shards)))
-    kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
-    schema = f"doc_id {kinds['doc_id']}, piece long, first_word long, n_words long, source string, bin_id long, bin_offset long"
-    return dealt.groupBy("shard").applyInPandas(_pack_shard(capacity), schema)
+    schema = "doc_id string, piece long, first_word long, n_words long, source string, bin_id long, bin_offset long"
+    return dealt.groupBy("shard").applyInPandas(_pack_shard(capacity), schema).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glossmill.llm.common import cut, table
+from glossmill.llm.common import cut, packed, table
 
 
 @dataclass(frozen=True)
@@ -131,15 +131,15 @@ def redact(docs: DataFrame, mask: str = "[secret]", rules=RULES) -> DataFrame:
     runs = runs.groupBy("blob", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     before = F.coalesce(F.lag("end").over(Window.partitionBy("blob").orderBy("start")), F.lit(0))
     cuts = cut(runs.withColumn("kept_from", before).groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("kept_from", "start", "end"))).alias("cuts")))
-    joined = docs.withColumn("_blob", blob_of(F.col("text"))).join(cuts, F.col("_blob") == F.col("blob"), "left")
-    pieces = F.transform("cuts", lambda c: F.substring(F.col("text"), c["kept_from"] + 1, c["start"] - c["kept_from"]))
-    tail = F.substring(F.col("text"), F.element_at("cuts", -1)["end"] + 1, F.length("text"))
+    old = F.col("_row.text")
+    joined = packed(docs, blob_of(F.col("text")).alias("blob")).join(cuts, "blob", "left")
+    pieces = F.transform("cuts", lambda c: F.substring(old, c["kept_from"] + 1, c["start"] - c["kept_from"]))
+    tail = F.substring(old, F.element_at("cuts", -1)["end"] + 1, F.length(old))
     masked = F.concat(F.array_join(pieces, mask), F.lit(mask), tail)
-    text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(masked)
-    changed = {"text": text}
+    changed = {"text": F.when(F.col("cuts").isNull(), old).otherwise(masked)}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("cuts").isNull(), F.col("n_chars")).otherwise(F.length(masked).cast(docs.schema["n_chars"].dataType))
-    return joined.withColumns(changed).select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("cuts").isNull(), F.col("_row.n_chars")).otherwise(F.length(masked).cast(docs.schema["n_chars"].dataType))
+    return joined.select(*[changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def _sql_rule(rule: Rule) -> str:

@@ -14,7 +14,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
-from glossmill.llm.common import cut, table
+from glossmill.llm.common import cut, packed, table
 from glossmill.llm.components import components
 
 BITS = 64
@@ -228,6 +228,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))).alias("first"))
     keys = cut(first.select(F.struct(F.col("first.id").alias("doc_id"), F.col("first.hash").alias("text_hash")).alias("_key")))
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash")))
+    keyed = packed(docs, F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash")).alias("_key"))
     kept = keyed.join(keys, "_key", "left_semi")
-    return kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))).filter("_nth = 1").select(*docs.columns)
+    return kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))).filter("_nth = 1").select("_row.*")

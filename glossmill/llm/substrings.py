@@ -199,11 +199,10 @@ def _remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeated_spans(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """(doc_id, t, spans) of the documents with repeated strings, and (doc_id, t, text) of those that may have some.
 
-    t is a hash of the text, so that documents with one id but several texts are told apart.
+    t is a hash of the text, so that documents with one id but several texts are told apart. Ids are texts here.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
-    anchors = cut(keyed.filter(F.octet_length("text") >= MATCH).mapInPandas(_anchors, f"h long, c long, doc_id {kind}, t long, lo int, len int"))
+    keyed = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    anchors = cut(keyed.filter(F.octet_length("text") >= MATCH).mapInPandas(_anchors, "h long, c long, doc_id string, t long, lo int, len int"))
     common = cut(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("all"), F.min("c").alias("one"), F.max("c").alias("other")).filter(F.col("all") > 1).select("h", (F.col("one") != F.col("other")).alias("mixed")))
     shared = cut(anchors.join(common, "h"))
     whole = shared.filter(~F.col("mixed")).select("doc_id", "t", F.col("lo").alias("s"), (F.col("lo") + F.col("len")).alias("e"))
@@ -219,7 +218,7 @@ def repeated_spans(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, Data
     asked = texts.select("doc_id", "t", F.col("text").cast("binary").alias("b"), F.explode("needs").alias("x"))
     asked = asked.select("x.h", "doc_id", "t", "x.lo", "x.len", "x.n", F.expr("substring(b, x.lo + 1, x.len)").alias("bytes"))
     calm = asked.join(crowds, "h", "left_anti").repartition("h").sortWithinPartitions("h")
-    sorted_ = calm.mapInPandas(_sort_suffixes, f"doc_id {kind}, t long, s int, e int")
+    sorted_ = calm.mapInPandas(_sort_suffixes, "doc_id string, t long, s int, e int")
     spans = whole.union(sorted_)
     if crowds.head(1):
         strings = asked.join(crowds, "h", "left_semi").select("doc_id", "t", "lo", "n", "bytes", F.explode(F.sequence(F.lit(0), F.col("len") - MATCH)).alias("at"))
@@ -237,12 +236,11 @@ def deduplicate(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     empty texts, and those shorter than MATCH bytes, lose nothing. Equal rows are copies of each other and lose all of it. An
     empty table gives no rows.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
     spans, texts = repeated_spans(docs, crowd)
     joined = texts.withColumn("_key", F.struct("doc_id", "t")).join(cut(spans.select(F.struct("doc_id", "t").alias("_key"), "spans")), "_key").drop("_key")
-    removed = cut(joined.mapInPandas(_remove, f"doc_id {kind}, t long, n_removed long, n_spans long, kept string, spans array<struct<s:int,e:int>>").select(F.struct("doc_id", "t").alias("_key"), "n_removed", "n_spans", "kept", "spans"))
+    removed = cut(joined.mapInPandas(_remove, "doc_id string, t long, n_removed long, n_spans long, kept string, spans array<struct<s:int,e:int>>").select(F.struct("doc_id", "t").alias("_key"), "n_removed", "n_spans", "kept", "spans"))
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"), F.struct("doc_id", F.xxhash64("text").alias("t")).alias("_key"))
+    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"), F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("t")).alias("_key"))
     none = F.lit(0).cast("long")
     return rows.join(removed, "_key", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"), "spans")
 

@@ -24,7 +24,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     if not ids:
         return []
     wanted = docs.sparkSession.createDataFrame(ids, usable.schema).dropDuplicates(["_id"])
-    found = docs.join(F.broadcast(wanted), docs["doc_id"] == F.col("_id")).select("_id", F.coalesce("text", F.lit("")).alias("text"), "_y").dropDuplicates(["_id"])
+    texts = docs.select("doc_id", "text")
+    found = texts.join(F.broadcast(wanted), F.col("doc_id") == F.col("_id")).select("_id", F.coalesce("text", F.lit("")).alias("text"), "_y").dropDuplicates(["_id"])
     return [(r["text"], r["_y"]) for r in found.orderBy(order, "_id").collect()]
 
 
