@@ -72,8 +72,8 @@ def _grid(dims: int, directions: np.ndarray, side: float):
     return grid
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Consecutive vectors of one label and length in blocks, with the box around their places."""
+def _blocks(most: int):
+    """Consecutive vectors of one label and length in blocks of `most` at most, with the box around their places."""
 
     def block(rows: list[pd.DataFrame], nth: int) -> pd.DataFrame:
         b = pd.concat(rows, ignore_index=True)
@@ -81,25 +81,28 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         box = dict(zip(LO, at.min(0), strict=True)) | dict(zip(HI, at.max(0), strict=True))
         return pd.DataFrame([{"label": b["label"].iloc[0], "dims": b["dims"].iloc[0], "part": b["_part"].iloc[0], "nth": nth, **box, "k1": b["k1"].tolist(), "k2": b["k2"].tolist(), "n": b["n"].tolist(), "units": b"".join(b["unit"])}])
 
-    held: list[pd.DataFrame] = []
-    size = nth = 0
-    for batch in batches:
-        if not len(batch):
-            continue
-        for _, run in batch.groupby(((batch["label"] != batch["label"].shift()) | (batch["dims"] != batch["dims"].shift())).cumsum()):
-            if held and (held[0]["label"].iloc[0], held[0]["dims"].iloc[0]) != (run["label"].iloc[0], run["dims"].iloc[0]):
-                yield block(held, nth)
-                held, size, nth = [], 0, nth + 1
-            at = 0
-            while at < len(run):
-                take = run.iloc[at : at + BLOCK - size]
-                held.append(take)
-                at, size = at + len(take), size + len(take)
-                if size == BLOCK:
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = nth = 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            for _, run in batch.groupby(((batch["label"] != batch["label"].shift()) | (batch["dims"] != batch["dims"].shift())).cumsum()):
+                if held and (held[0]["label"].iloc[0], held[0]["dims"].iloc[0]) != (run["label"].iloc[0], run["dims"].iloc[0]):
                     yield block(held, nth)
                     held, size, nth = [], 0, nth + 1
-    if held:
-        yield block(held, nth)
+                at = 0
+                while at < len(run):
+                    take = run.iloc[at : at + most - size]
+                    held.append(take)
+                    at, size = at + len(take), size + len(take)
+                    if size == most:
+                        yield block(held, nth)
+                        held, size, nth = [], 0, nth + 1
+        if held:
+            yield block(held, nth)
+
+    return blocks
 
 
 def _apart(a: str, b: str, reach: float):
@@ -111,7 +114,7 @@ def _apart(a: str, b: str, reach: float):
     return gap <= reach * reach
 
 
-def tile_pairs(boxes: DataFrame, tiles: int, reach: float) -> DataFrame:
+def tile_pairs(boxes: DataFrame, tiles: int, reach: float, fan: int = FAN) -> DataFrame:
     """(label, dims, i, j), i <= j: tiles whose boxes are within reach.
 
     boxes(label, dims, tile, lo.., hi..) stand in grid order. The join begins with one interval of all tiles of a label; each
@@ -119,11 +122,11 @@ def tile_pairs(boxes: DataFrame, tiles: int, reach: float) -> DataFrame:
     """
     span = 1
     while span < tiles:
-        span *= FAN
+        span *= fan
     pairs = boxes.select("label", "dims").distinct().withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")})
     while True:
         upper = span
-        span = max(1, span // FAN)
+        span = max(1, span // fan)
         corners = [F.min(c).alias(c) for c in LO] + [F.max(c).alias(c) for c in HI]
         part = cut(boxes.groupBy("label", "dims", F.floor(F.col("tile") / span).alias("id")).agg(*corners).withColumn("up", F.floor(F.col("id") * span / upper)))
         a, b, p = part.alias("a"), part.alias("b"), pairs.alias("p")
@@ -148,7 +151,7 @@ def _forest(links: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _compare(cosine: float, reach: float):
+def _compare(cosine: float, reach: float, block: int):
     """Links between two tiles, or within one: (node, null, linked vectors) and the links (node, root, null) of a forest."""
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
@@ -160,7 +163,7 @@ def _compare(cosine: float, reach: float):
         times = [np.asarray(n, np.int64) for n in rows["n"]]
         lo, hi = rows[LO].to_numpy(), rows[HI].to_numpy()
         starts = np.cumsum([0, *map(len, vectors)])
-        nodes = np.concatenate([s * BLOCK + np.arange(len(v)) for s, v in zip(rows["seq"], vectors, strict=True)])
+        nodes = np.concatenate([s * block + np.arange(len(v)) for s, v in zip(rows["seq"], vectors, strict=True)])
         linked, parent = np.zeros(starts[-1], np.int64), list(range(starts[-1]))
 
         def find(x: int) -> int:
@@ -202,7 +205,7 @@ def _compare(cosine: float, reach: float):
     return compare
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, tile: int = TILE, fan: int = FAN) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of vectors(vec_id, embedding, label).
 
     Vectors are compared where labels and lengths are equal. A vector that is null, empty or zero, or holds a null or
@@ -223,19 +226,19 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     order = ["label", "dims", "cell", "at", "k1", "k2"]
     ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     box = ", ".join(f"{c} double" for c in LO + HI)
-    blocks = cut(ordered.mapInPandas(_blocks, f"label string, dims int, part int, nth int, {box}, k1 array<long>, k2 array<long>, n array<long>, units binary"))
+    blocks = cut(ordered.mapInPandas(_blocks(block), f"label string, dims int, part int, nth int, {box}, k1 array<long>, k2 array<long>, n array<long>, units binary"))
     heads = blocks.select("label", "dims", "part", "nth", *LO, *HI).withColumn("_one", F.lit(1))
     heads = prefix_sums(prefix_sums(heads, [], ["label", "dims", "part", "nth"], "_one", "seq"), ["label", "dims"], ["part", "nth"], "_one", "within")
-    heads = cut(heads.withColumn("tile", F.floor((F.col("within") - 1) / TILE)).drop("_one", "within"))
+    heads = cut(heads.withColumn("tile", F.floor((F.col("within") - 1) / tile)).drop("_one", "within"))
     most = heads.agg(F.max("tile")).first()[0]
-    pairs = tile_pairs(heads, (most or 0) + 1, reach)
+    pairs = tile_pairs(heads, (most or 0) + 1, reach, fan)
     numbered = blocks.join(heads.select("part", "nth", "seq", "tile"), ["part", "nth"])
     sides = pairs.select("label", "dims", F.col("i").alias("tile"), "i", "j").union(pairs.filter("i <> j").select("label", "dims", F.col("j").alias("tile"), "i", "j"))
     work = sides.join(numbered.select("label", "dims", "tile", "seq", *LO, *HI, "n", "units"), ["label", "dims", "tile"])
-    found = cut(work.groupBy("label", "dims", "i", "j").applyInPandas(_compare(cosine, reach), "a long, b long, n long"))
+    found = cut(work.groupBy("label", "dims", "i", "j").applyInPandas(_compare(cosine, reach, block), "a long, b long, n long"))
     roots = components(found.filter("b is not null").select("a", "b"))
     counts = found.filter("b is null").groupBy("a").agg(F.sum("n").alias("links"))
-    nodes = numbered.select("seq", F.posexplode(F.arrays_zip("k1", "k2"))).select((F.col("seq") * BLOCK + F.col("pos")).alias("node"), "col.k1", "col.k2")
+    nodes = numbered.select("seq", F.posexplode(F.arrays_zip("k1", "k2"))).select((F.col("seq") * block + F.col("pos")).alias("node"), "col.k1", "col.k2")
     nodes = cut(nodes.join(distinct.select("k1", "k2", F.col("n"), "least"), ["k1", "k2"]))
     rooted = nodes.join(roots, "node").select("node", "root", "least")
     named = cut(rooted.groupBy("root").agg(F.min("least").alias("smallest")))

@@ -32,6 +32,7 @@ PREFIX, WITHIN, LEAST = 8, 5, 3
 #: Words whose inputs a worker keeps; windows that run through the network at once.
 KEPT_WORDS = 200_000
 AT_ONCE = 2048
+ROWS = 64
 #: Rounds of choosing each text's worst window, and steps of training on them.
 ROUNDS, STEPS, BATCH, RATE = 6, 60, 256, 0.02
 WORD = re.compile(r"[^\W_]+")
@@ -204,7 +205,10 @@ def gradients(net: dict[str, np.ndarray], memo, error: np.ndarray) -> dict[str,
 
 
 def logits(net: dict[str, np.ndarray], inputs: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    return np.concatenate([forward(net, inputs[windows[i : i + AT_ONCE]]) for i in range(0, len(windows), AT_ONCE)])
+    """Windows in whole blocks of ROWS, so that the products of a row are summed alike wherever it stands."""
+    n = len(windows)
+    padded = np.concatenate([windows, np.zeros((-n % ROWS, windows.shape[1]), windows.dtype)])
+    return np.concatenate([forward(net, inputs[padded[i : i + AT_ONCE]]) for i in range(0, len(padded), AT_ONCE)])[:n]
 
 
 def summary(own: np.ndarray) -> tuple[float, float, float]:
@@ -241,7 +245,7 @@ class ToxicityModel:
         all_logits = logits(self.net, words.rows, np.concatenate([x for _, x in held]))
         at = 0
         for k, x in held:
-            out[k] = sigmoid(np.array(summary(all_logits[at : at + len(x)])) @ w[:-1] + w[-1])
+            out[k] = np.round(sigmoid(np.array(summary(all_logits[at : at + len(x)])) @ w[:-1] + w[-1]), 6)
             at += len(x)
 
 
