@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from glossmill.sources.tables import cut, drop_table, stored
 
-__all__ = ["BLANKS", "BLANK_RUN", "crc_mod", "cut", "drop_table", "packed", "prefix_sums", "stored", "table", "word_count", "words_of"]
+__all__ = ["BLANKS", "BLANK_RUN", "crc_mod", "cut", "drop_table", "packed", "prefix_sums", "salted_semi", "stored", "table", "word_count", "words_of"]
 
 #: The six characters that separate words: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -56,3 +56,9 @@ def prefix_sums(df: DataFrame, by: list[str], order: list[str], value: str, out:
         same = same & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
     summed = parts.withColumn("_own", F.sum(value).over(own))
     return summed.join(starts, same).withColumn(out, F.col("_start") + F.col("_own")).drop("_part", "_p", "_start", "_own", *[f"_b_{c}" for c in by])
+
+
+def salted_semi(rows: DataFrame, keys: DataFrame, on: list[str], spread: Column, salts: int = 16) -> DataFrame:
+    """rows whose `on` is in keys, with each key dealt to `salts` places by a hash of `spread`, so that no task gets all rows of a hot one."""
+    places = keys.select(*on, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts))).join(places, [*on, "_salt"], "left_semi").drop("_salt")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import cut, table
+from glossmill.llm.common import cut, salted_semi, table
 
 MATCH = 400
 GRAM = 80
@@ -209,7 +209,7 @@ def repeated_spans(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, Data
     mixed = shared.filter("mixed")
     kinds = cut(mixed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "t", "lo", "len")).alias("rep")))
     copied = kinds.filter("n > 1").select("h", "c")
-    whole = whole.union(mixed.join(copied, ["h", "c"], "left_semi").select("doc_id", "t", F.col("lo").alias("s"), (F.col("lo") + F.col("len")).alias("e")))
+    whole = whole.union(salted_semi(mixed, copied, ["h", "c"], F.struct("doc_id", "lo")).select("doc_id", "t", F.col("lo").alias("s"), (F.col("lo") + F.col("len")).alias("e")))
     key = F.struct("doc_id", "t")
     needs = kinds.groupBy(F.struct("rep.doc_id", "rep.t").alias("_key")).agg(F.collect_list(F.struct("h", "n", "rep.lo", "rep.len")).alias("needs"))
     involved = shared.select(key.alias("_key")).distinct().join(needs, "_key", "left")
@@ -225,7 +225,7 @@ def repeated_spans(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, Data
         string = F.expr(f"substring(bytes, at + 1, {MATCH})")
         strings = strings.select("doc_id", "t", (F.col("lo") + F.col("at")).alias("s"), "n", F.xxhash64(string).alias("x"), F.xxhash64(F.lit(1), string).alias("y"))
         again = cut(strings.groupBy("x", "y").agg(F.sum("n").alias("all")).filter(F.col("all") > 1).select("x", "y"))
-        spans = spans.union(strings.filter("n = 1").join(again, ["x", "y"], "left_semi").select("doc_id", "t", "s", (F.col("s") + MATCH).alias("e")))
+        spans = spans.union(salted_semi(strings.filter("n = 1"), again, ["x", "y"], F.struct("doc_id", "s")).select("doc_id", "t", "s", (F.col("s") + MATCH).alias("e")))
     return spans.groupBy("doc_id", "t").agg(F.collect_set(F.struct("s", "e")).alias("spans")), texts.select("doc_id", "t", "text")
 
 
