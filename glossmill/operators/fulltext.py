@@ -42,12 +42,16 @@ def match(tokens: DataFrame, query: str, prefix_last: bool = False) -> DataFrame
     """
     found = None
     for phrase in phrases(query):
+        exact = phrase[:-1] if prefix_last else phrase
+        wanted = F.col("token").isin(sorted(set(exact)))
+        if prefix_last:
+            wanted = wanted | F.col("token").startswith(phrase[-1])
         hit = None
         for k, token in enumerate(phrase):
             same = F.col("token").startswith(token) if prefix_last and k == len(phrase) - 1 else F.col("token") == token
             here = F.when(same, F.lit(k))
             hit = F.array(here) if hit is None else F.array_append(hit, here)
-        shifted = tokens.select("id", "col", "pos", F.explode(F.array_compact(hit)).alias("k")).select("id", "col", (F.col("pos") - F.col("k")).alias("start"), "k")
+        shifted = tokens.filter(wanted).select("id", "col", "pos", F.explode(F.array_compact(hit)).alias("k")).select("id", "col", (F.col("pos") - F.col("k")).alias("start"), "k")
         ids = shifted.groupBy("id", "col", "start").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(phrase)).select("id").distinct()
         found = ids if found is None else found.join(ids, "id", "left_semi")
     return tokens.select("id").limit(0) if found is None else found

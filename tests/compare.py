@@ -1,7 +1,9 @@
-"""Rows of two results as comparable lists."""
+"""Rows of two results as comparable lists, and where the tables are."""
 
 import math
 
+DATA = "/root/testdata/sf0.001"
+
 
 def value(x):
     if x is None or (isinstance(x, float) and math.isnan(x)):

@@ -5,10 +5,9 @@ from pathlib import Path
 import pytest
 
 ROOT = str(Path(__file__).resolve().parents[1])
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, f"{ROOT}/tests"]
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
 
-DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -35,6 +34,8 @@ def spark(tmp_path_factory):
 def duck():
     import duckdb
 
+    from compare import DATA
+
     con = duckdb.connect()
     for file in Path(DATA).glob("*.parquet"):
         con.execute(f"create view {file.stem} as select * from '{file}'")

@@ -1,7 +1,7 @@
 import pytest
 
-from compare import of_duck, of_spark
-from conftest import DATA
+from compare import DATA, of_duck, of_spark
+from glossmill.operators import fulltext
 from glossmill.plans import queries as lexicon
 
 
@@ -23,7 +23,18 @@ def test_stream_debounce_is_the_batch_form_but_for_open_sessions(spark):
     assert len(every - told) <= len(last)
 
 
-def test_combined_search_reaches_the_scan(spark):
-    plan = lexicon.QUERIES["search_combined"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" in plan
-    assert "PushedFilters: []" not in plan or "Filter" in plan
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_is_a_top_k_over_the_columns_it_needs(spark):
+    shown = plan(lexicon.QUERIES["search_combined"](spark, DATA))
+    assert "TakeOrderedAndProject" in shown
+    assert "p_retailprice" not in shown
+
+
+def test_stored_index_is_read_by_token(spark, tmp_path):
+    index = fulltext.token_table(spark.createDataFrame([(1, "a b")], "id long, x string"), "id", ("x",))
+    index.write.parquet(str(tmp_path / "index"))
+    shown = plan(fulltext.match(spark.read.parquet(str(tmp_path / "index")), '"a b"'))
+    assert "PushedFilters: [In(token, [a,b])]" in shown
