@@ -543,7 +543,7 @@ _golden("structured_text", NESTED, ("a; b", "食, た", '{"type":"image","path":
 
 BANK = (
     ["食べる", "", "v1", "", 1, ["to eat", {"type": "text", "text": "to live on"}], 5, "P"],
-    ["ねこ", "", "n", "", 1, "cat", None, ""],
+    ["ねこ", "", ["n", "P"], "", 1, "cat", None, ""],
     ["short", "", "", "", 1],
     [" ", "", "", "", 1, ["blank"]],
     ["橋", "はし", "n", "", 1, [{"type": "structured-content", "content": [{"tag": "li", "content": "a"}, {"tag": "li", "content": "b"}]}], 7],
@@ -568,7 +568,7 @@ def _members(spark: SparkSession) -> DataFrame:
 
 
 @query("import_entries", """select * from (values
-  (1::bigint, '食べる', '食べる', 'to eat|to live on', 1234, '', 'v1, P', 'Sample', 5), (2, 'ねこ', 'ねこ', 'cat', 0, '', 'n', 'Sample', 0), (3, '橋', 'はし', 'a; b', 0, '2', 'n', 'Sample', 7))
+  (1::bigint, '食べる', '食べる', 'to eat|to live on', 1234, '', 'v1, P', 'Sample', 5), (2, 'ねこ', 'ねこ', 'cat', 0, '', 'n, P', 'Sample', 0), (3, '橋', 'はし', 'a; b', 0, '2', 'n', 'Sample', 7))
   t(id, expression, reading, definitions, frequency, pitch_accent, parts_of_speech, dictionary_name, sequence_number)""")
 def import_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, _ = imports.import_archives(_members(spark))

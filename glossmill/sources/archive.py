@@ -64,8 +64,9 @@ def _item(k: int) -> Column:
 
 
 def _text(k: int) -> Column:
-    """Element k as text; lists and objects by their nested text."""
-    return F.coalesce(F.try_variant_get("v", f"$[{k}]", "string"), F.lit(""))
+    """Element k as text: the parts of a list are joined by ", ", an object is its JSON; a JSON null or nothing is empty."""
+    listed = F.array_join(F.try_variant_get("v", f"$[{k}]", "array<string>"), ", ")
+    return F.coalesce(listed, F.try_variant_get("v", f"$[{k}]", "string"), F.lit(""))
 
 
 def terms(rows: DataFrame) -> DataFrame:
