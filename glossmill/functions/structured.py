@@ -7,8 +7,6 @@ import json
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-# Tags whose content stands in the running text.
-INLINE = frozenset(("span", "ruby", "rt", "rp", "a", "b", "i", "em", "strong"))
 INT_MIN, INT_MAX = -(1 << 31), (1 << 31) - 1
 
 
@@ -130,7 +128,6 @@ def _column(function, kind):
 
 
 definitions = _column(definitions_of, ArrayType(StringType()))
-plain_text = _column(plain, StringType())
 structured_text = _column(lambda v: object_text(v) if isinstance(v, dict) else content_text(v), StringType())
 frequency = _column(frequency_of, IntegerType())
 pitch = _column(pitch_of, StringType())
