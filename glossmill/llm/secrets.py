@@ -42,7 +42,6 @@ ADDED = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE + ADDED
-LEDGER = "blob string, rule string, spans array<struct<start:int,end:int>>"
 
 
 def blob_of(text: Column) -> Column:

@@ -26,7 +26,6 @@ SEED = 42
 CROWD = 256
 #: Cost of a shuffled probe, in comparisons.
 PROBE = 20.0
-SIGN = -(1 << 63)
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
