@@ -30,20 +30,34 @@ HELD, OF = 0, 5
 UNKNOWN = "und"
 
 
+def padded(text: str) -> str:
+    """The lower-cased text between two word boundaries; no NUL is left in it."""
+    return f" {text.lower().replace(chr(0), ' ')} "
+
+
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, bucket) of every trigram of letters and word boundaries in the lower-cased texts."""
-    joined = "\x00".join(f" {t.lower()} " for t in texts)
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    number = np.cumsum(codes == 0).astype(np.int32)
+    """(text number, bucket) of every trigram of letters and word boundaries around a letter; texts are padded, or parts of such."""
+    codes = np.frombuffer(chr(0).join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    edge = codes == 0
+    number = np.cumsum(edge).astype(np.int32)
     used, at = np.unique(codes, return_inverse=True)
     letter = np.array([chr(c).isalpha() for c in used.tolist()], dtype=bool)
     kept = np.where(letter, used, 32).astype(np.uint64)[at]
     a, b, c = kept[:-2], kept[1:-1], kept[2:]
-    real = (b != 32) & (number[:-2] == number[2:])
+    real = (b != 32) & ~edge[:-2] & ~edge[2:]
     mixed = (a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F) + c * np.uint64(0x165667B19E3779F9)) >> np.uint64(40)
     return number[:-2][real], (mixed[real] % np.uint64(BUCKETS)).astype(np.int64)
 
 
+def counted(text: str, step: int = STEP) -> np.ndarray:
+    """How often each bucket occurs in a whole text, `step` trigrams at a time, so that memory does not grow with the text's."""
+    whole = padded(text)
+    counts = np.zeros(BUCKETS, np.int64)
+    for i in range(0, len(whole) - 2, step):
+        counts += np.bincount(trigrams([whole[i : i + step + 2]])[1], minlength=BUCKETS)
+    return counts
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     """Chance of each trigram bucket in each language, languages in code point order."""
@@ -55,22 +69,26 @@ class LanguageModel:
         found: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
         if not self.languages:
             return found
-        some, size = [], 0
-        for k, text in enumerate(texts):
-            if text:
+        some: list[int] = []
+        size = 0
+        for k, text in enumerate([*texts, None]):
+            if text and len(text) > STEP:
+                found[k] = self.predict(counted(text))
+            elif text:
                 some.append(k)
                 size += len(text)
-            if size >= STEP or (some and k == len(texts) - 1):
-                number, bucket = trigrams([texts[i] for i in some])
+            if some and (size >= STEP or k == len(texts)):
+                number, bucket = trigrams([padded(texts[i]) for i in some])
                 ends = np.searchsorted(number, np.arange(len(some) + 1))
                 for n, i in enumerate(some):
-                    if ends[n] < ends[n + 1]:
-                        found[i] = self.predict(np.bincount(bucket[ends[n] : ends[n + 1]], minlength=BUCKETS))
+                    found[i] = self.predict(np.bincount(bucket[ends[n] : ends[n + 1]], minlength=BUCKETS))
                 some, size = [], 0
         return found
 
     def predict(self, counts: np.ndarray) -> tuple[str, float]:
         seen = np.flatnonzero(counts)
+        if not len(seen):
+            return UNKNOWN, 0.0
         shares = select_languages(self.chances[:, seen], counts[seen].astype(np.float64))
         best = int(np.argmax(shares))
         return self.languages[best], float(min(1.0, shares[best]))
@@ -122,7 +140,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, texts in batch.groupby("lang")["text"]:
             own = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
             for text in texts:
-                own += np.bincount(trigrams([text])[1], minlength=BUCKETS)
+                own += counted(text)
     for lang, own in counts.items():
         seen = np.flatnonzero(own)
         yield pd.DataFrame({"lang": lang, "bucket": seen, "n": own[seen]})

@@ -125,6 +125,24 @@ def test_language_shares(languages):
     assert first == "en" and 0.6 < share < 0.9
 
 
+def test_language_counts_equal_those_of_single_trigrams():
+    text = "Schön\x00ist 12 die  STRASSE,\nnicht?"
+    whole = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+    one_by_one = [int(language.trigrams([whole[i : i + 3]])[1][0]) for i in range(len(whole) - 2) if whole[i + 1] != " "]
+    for step in (1, 2, 7, 1000):
+        assert language.counted(text, step).tolist() == np.bincount(one_by_one, minlength=language.BUCKETS).tolist()
+    number, bucket = language.trigrams([language.padded(text), language.padded("\x00"), language.padded(text)])
+    assert set(number.tolist()) == {0, 2} and sorted(bucket[number == 0]) == sorted(bucket[number == 2]) == sorted(one_by_one)
+
+
+def test_language_of_very_long_texts(languages, monkeypatch):
+    model = language.fit(languages)
+    texts = ["the house \x00 with morning", None, "der schön über straße nicht " * 40, "12", "avec très maison"]
+    whole = model.scores(texts)
+    monkeypatch.setattr(language, "STEP", 50)
+    assert [w[0] for w in whole] == ["en", "und", "de", "und", "fr"] and model.scores(texts) == whole
+
+
 def test_language_mixture_is_the_likelihoods_maximum():
     rng = np.random.default_rng(1)
     chances = rng.dirichlet(np.ones(50), 2)
