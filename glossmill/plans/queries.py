@@ -500,7 +500,23 @@ def pitch_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _words(spark).select("reading", F.array_join(pitch.positions(F.col("listed")).cast("array<string>"), ",").alias("positions"))
 
 
-@query("pitch_html")
+def _pitch_html_sql(rows: str) -> str:
+    """(key, html) of rows(key, reading, listed): a row per accent and mora, put together again in order."""
+    high = "case when n = 1 then d <> 0 when d = 0 then {0} > 0 when d = 1 then {0} = 0 else {0} > 0 and {0} < d end"
+    return f"""units as (
+  select key, {MORAE_SQL} as units, list_filter(list_transform(string_split(listed, ','), lambda x: try_cast(trim(x) as int)), lambda x: x is not null) as drops from ({rows})
+), accents as (select key, units, len(units) as n, unnest(drops) as d, unnest(range(1, len(drops) + 1)) as k from units
+), placed as (select key, n, d, k, unnest(units) as mora, unnest(range(0, n)) as i from accents
+), marked as (select *, {high.format("i")} as high, {high.format("(i + 1)")} as following from placed
+), spans as (
+  select key, k, concat('<span style="{pitch.LABEL_STYLE}">[', any_value(d), '] ', any_value(case when d = 0 then '平板' when d = 1 then '頭高' when d = n then '尾高' else '中高' end), '</span> ',
+    string_agg(concat('<span style="', case when high then '{pitch.HIGH_STYLE}' else '{pitch.LOW_STYLE}' end,
+      case when i = n - 1 or high = following then '' when high then '{pitch.FALL_STYLE}' else '{pitch.RISE_STYLE}' end, ' display:inline-block;">', mora, '</span>'), '' order by i)) as html
+  from marked group by key, k
+), pitched as (select key, string_agg(html, '&nbsp;&nbsp;' order by k) as html from spans group by key)"""
+
+
+@query("pitch_html", f"with {WORDS_SQL}, {_pitch_html_sql('select reading as key, reading, listed from words')} select reading, coalesce(html, '') as html from words left join pitched on key = reading")
 def pitch_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _words(spark).select("reading", pitch.pitch_html(F.col("reading"), F.col("listed")).alias("html"))
 
@@ -510,7 +526,7 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return card_ops.cards(fx.entries(spark, sf_dir)).drop("pitch_accent")
 
 
-@query("cards_pitch")
+@query("cards_pitch", f"with {E_}, {_pitch_html_sql('select id as key, reading, pitch_accent as listed from entries')} select id, coalesce(html, '') as pitch_accent from entries left join pitched on key = id")
 def cards_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return card_ops.cards(fx.entries(spark, sf_dir)).select("id", "pitch_accent")
 
@@ -610,10 +626,10 @@ def _keystroke_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reactive.read_stream(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("event_type").alias("value"))
 
 
-@query("stream_debounce")
+@query("stream_debounce", f"with {K_}, {DEBOUNCED} select user_id, ts::timestamp as ts, event_id, value from calm where ts + interval 90 minutes <= (select max(ts) from keystrokes)")
 def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     calm = reactive.stream_debounce(_keystroke_stream(spark, sf_dir), "user_id", "ts", "event_id", "value")
-    return spark.read.schema(calm.schema).parquet(reactive.run_available(calm, _stream_root(spark)))
+    return spark.read.schema(calm.schema).parquet(reactive.run_available(calm, _stream_root(spark))).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("stream_distinct", f"with {K_} select user_id, ts::timestamp as ts, event_id, value from (select *, lag(value) over (partition by user_id order by ts, event_id) as before from keystrokes) where before is null or value <> before")

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: ContextVar[list[str] | None] = ContextVar("_made", default=None)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; makes one only in local mode, where all tasks share the machine."""
     sc = spark.sparkContext
@@ -24,6 +29,9 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """df as a table in the shared folder, computed once, and the table's path for drop_table()."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    made = _made.get()
+    if made is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
@@ -33,6 +41,20 @@ def cut(df: DataFrame) -> DataFrame:
     return stored(df)[0]
 
 
+def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    """What build() gives, stored; the tables that were stored on the way to it go, as nothing reads them any more."""
+    on_the_way: list[str] = []
+    token = _made.set(on_the_way)
+    try:
+        df = build()
+    finally:
+        _made.reset(token)
+    found = stored(df)
+    for path in on_the_way:
+        drop_table(spark, path)
+    return found
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

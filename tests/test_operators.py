@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glossmill.operators import cards, catalog, consolidate, enrich, fulltext, search, stats, store
 from glossmill.plans import imports
 from glossmill.plans.queries import sample_archive
-from glossmill.sources import archive
+from glossmill.sources import archive, tables
 from glossmill.streaming import reactive
 
 ENTRY = "id long, expression string, reading string, definitions array<string>, frequency int, rnk int"
@@ -135,3 +135,18 @@ def test_latest_query_of_each_batch_is_searched(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(source)
     path = reactive.run_available(stream, root, lambda batch: reactive.latest_queries(batch, "user_id", "ts", "event_id", "value"))
     assert [(r.user_id, r.value) for r in spark.read.parquet(path).collect()] == [(1, "hot")]
+
+
+def test_settled_drops_what_was_stored_on_the_way(spark):
+    inner = []
+
+    def build():
+        inner.extend(tables.stored(spark.range(n)) for n in (3, 4))
+        return inner[0][0].join(inner[1][0], "id")
+
+    df, path = tables.settled(spark, build)
+    exists = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p))
+    assert [exists(p) for _, p in inner] == [False, False] and exists(path)
+    assert sorted(r.id for r in df.collect()) == [0, 1, 2]
+    kept = tables.stored(spark.range(2))
+    assert exists(kept[1])
