@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from glossmill.llm import mixing, packing, quality, secrets, simhash
-from glossmill.llm.common import cut, table
+from glossmill.llm.common import drop_table, settled, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +46,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs)
-    return docs
+    """All stages over documents; each stage's result is written to the shared folder and read again.
+
+    What a stage has stored on its way goes when its result is written, and so does the result once the next one is.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs, path = settled(spark, lambda: stage(spark, docs, sf_dir))  # noqa: B023
+        if before:
+            drop_table(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)

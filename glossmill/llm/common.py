@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glossmill.sources.tables import cut, drop_table, stored
+from glossmill.sources.tables import cut, drop_table, settled, stored
 
-__all__ = ["BLANKS", "BLANK_RUN", "crc_mod", "cut", "drop_table", "packed", "prefix_sums", "salted_semi", "stored", "table", "word_count", "words_of"]
+__all__ = ["BLANKS", "BLANK_RUN", "crc_mod", "cut", "drop_table", "packed", "prefix_sums", "salted_semi", "settled", "stored", "table", "word_count", "words_of"]
 
 #: The six characters that separate words: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
