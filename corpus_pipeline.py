@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossmill.llm import mixing, packing, quality, secrets, simhash
+from glossmill.llm import jaccard, mixing, packing, quality, secrets, simhash
 from glossmill.llm.common import drop_table, settled, table
 
 
@@ -14,8 +14,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates."""
-    return simhash.one_of_each(docs)
+    """One document of each group of documents that share 80 % of their five-word shingles."""
+    return simhash.one_of_each(docs, jaccard.near_duplicates)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -222,9 +222,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: the row with the smallest id of each component stays; of equal rows, one."""
-    found = near_duplicates(docs)
+def one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """docs without near-duplicates as groups(docs) finds them: the row with the smallest id of each root stays; of equal rows, one."""
+    found = groups(docs)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))).alias("first"))
     keys = cut(first.select(F.struct(F.col("first.id").alias("doc_id"), F.col("first.hash").alias("text_hash")).alias("_key")))
     keyed = packed(docs, F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash")).alias("_key"))

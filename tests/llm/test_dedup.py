@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from glossmill.llm import components as cc
-from glossmill.llm import embeddings, simhash, substrings
+from glossmill.llm import embeddings, jaccard, simhash, substrings
 
 
 def union(nodes, links):
@@ -98,6 +99,71 @@ def test_near_duplicates_of_odd_rows(odd, none, make_docs):
     assert simhash.near_duplicates(none).count() == simhash.one_of_each(none).count() == 0
 
 
+def shingle_set(text):
+    words = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
+    return {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def near_copies(seed):
+    """Texts of 1 to 1,000 words with copies that share 60 to 99 % of the shingles; a phrase is in all, and some are in two."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(3000)]
+    common = [f"c{k}" for k in range(12)]
+    texts = [None, "", " \t", "one", "One", "one two", "a b c d e", "A b c d e", "a b c d e f", *[" ".join(common[:k]) for k in (6, 7, 12)]]
+    for size, copies in [(50, 12), (200, 12), (1000, 4)] * 3:
+        base = [*common, *rng.choices(words, k=size)]
+        texts.append(" ".join(base))
+        for _ in range(copies):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), rng.choice([1, 1, 1 + size // 100, 1 + size // 50])):
+                copy[at] = rng.choice(words)
+            texts.append(" ".join(copy))
+            if rng.random() < 0.2:
+                base = copy
+    return texts
+
+
+def test_shingles_and_needed():
+    rng = random.Random(3)
+    for text in near_copies(1)[:40]:
+        assert len(jaccard.shingles(text)) == len(shingle_set(text))
+    for a, b in [rng.sample(near_copies(2), 2) for _ in range(20)]:
+        assert len(np.intersect1d(jaccard.shingles(a), jaccard.shingles(b))) == len(shingle_set(a) & shingle_set(b))
+    assert [jaccard.needed(n) for n in (1, 4, 5, 6, 10)] == [1, 4, 4, 5, 8]
+
+
+def test_jaccard_groups_are_those_of_all_pairs(spark, make_docs):
+    texts = near_copies(5)
+    sets = [shingle_set(t) for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if similarity(sets[a], sets[b]) >= 0.8]
+    levels = [similarity(sets[a], sets[b]) for a, b in pairs]
+    assert min(levels) < 0.82 and 0.95 < max(x for x in levels if x < 1) and len(levels) > 100
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if 0.7 < similarity(sets[a], sets[b]) < 0.8]
+    assert len(near) > 20
+    found = jaccard.near_duplicates(make_docs([(k, t, "en", "a") for k, t in enumerate(texts)])).collect()
+    root = {r.doc_id: r.root for r in found}
+    least = {}
+    for k in sorted(root):
+        least.setdefault(root[k], k)
+    assert {k: least[root[k]] for k in root} == union(range(len(texts)), pairs)
+
+
+def test_near_dedup_stage_follows_similarity(spark, make_docs, odd, none):
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(200)] for _ in range(20)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b[:100], "changed", *b[101:]]) for b in base]  # 95 % of the shingles
+    kept = corpus_pipeline.near_dedup(spark, make_docs([(k, t, "en", "a") for k, t in enumerate(texts)]), "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(20))
+    kept = corpus_pipeline.near_dedup(spark, odd, "")
+    assert kept.columns == odd.columns
+    assert sorted(r.text or "" for r in kept.collect()) == sorted({r.text or "" for r in odd.collect() if r.doc_id not in (3, 4)})
+    assert corpus_pipeline.near_dedup(spark, none, "").count() == 0
+
+
 def removed(texts, match):
     data = [(t or "").encode() for t in texts]
     starts = {}
