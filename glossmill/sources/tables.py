@@ -28,10 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """df as a table in the shared folder, computed once, and the table's path for drop_table()."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    made = _made.get()
-    if made is not None:
-        made.append(path)
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
@@ -49,12 +46,26 @@ def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> tuple[DataFr
         df = build()
     finally:
         _made.reset(token)
-    found = stored(df)
+    found = stored(df)  # listed with an outer settled(), if there is one
     for path in on_the_way:
         drop_table(spark, path)
     return found
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder for a table that someone else writes; goes with the others where settled() clears up."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    made = _made.get()
+    if made is not None:
+        made.append(path)
+    return path
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
