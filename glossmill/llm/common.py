@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glossmill.sources.tables import cut, drop_table, settled, stored
+from glossmill.sources.tables import cut, drop_table, exists, new_path, settled, stored
 
-__all__ = ["BLANKS", "BLANK_RUN", "crc_mod", "cut", "drop_table", "packed", "prefix_sums", "salted_semi", "settled", "stored", "table", "word_count", "words_of"]
+__all__ = ["BLANKS", "BLANK_RUN", "crc_mod", "cut", "drop_table", "exists", "new_path", "packed", "prefix_sums", "row_hash", "salted_semi", "settled", "stored", "table", "word_count", "words_of"]
 
 #: The six characters that separate words: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -34,6 +34,12 @@ def packed(docs: DataFrame, *keys: Column) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *keys)
 
 
+def row_hash(docs: DataFrame, seed: int = 0) -> Column:
+    """A hash of all columns of a row; maps and variants are hashed as JSON."""
+    hashable = [F.to_json(f"`{f.name}`") if any(t in f.dataType.simpleString() for t in ("map<", "variant")) else F.col(f"`{f.name}`") for f in docs.schema]
+    return F.xxhash64(F.lit(seed), *hashable)
+
+
 def crc_mod(doc_id: Column, of: int) -> Column:
     """crc32 of the id written as text, modulo `of`; null ids count as -1."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of, F.lit(-1)).cast("int")

@@ -2,7 +2,10 @@
 
 Every string of MATCH bytes has a smallest k-gram by hash, its anchor; equal strings have equal anchors at the same place. So
 each document is dealt into contexts, the strings that one anchor stands for, and only contexts that share an anchor can hold
-equal strings. Contexts that are equal as a whole need no more; the others are sorted as suffixes, anchor by anchor.
+equal strings. Contexts that are equal as a whole need no more; the others are sorted as suffixes, anchor by anchor, and the
+common prefixes of neighbours tell which strings repeat.
+
+Passages are found beside them in the same way, with words for bytes: windows of PASSAGE words that another document has too.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import cut, salted_semi, table
+from glossmill.llm.common import cut, salted_semi, settled, table
 
 MATCH = 400
 GRAM = 80
@@ -28,6 +31,9 @@ BLOCK = 1 << 18
 CROWD = 1000
 #: No byte of UTF-8.
 END = b"\xff"
+#: Words of a passage that counts as shared, and of the runs of words whose hashes its anchor is chosen from.
+PASSAGE = 51
+RUN = 8
 _PLACE = 28
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,39 +55,71 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
-def contexts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first byte and length of each context; every string of MATCH bytes is in just one of them."""
-    n = len(data)
-    if n < MATCH:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _rolling(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums from which the hash of any run of units follows, and the factors that take a run's place out of it."""
+    n = len(units)
     up, down = _powers(1 << max(12, n.bit_length()))
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[np.frombuffer(data, np.uint8)] * up[:n], out=sums[1:])
-    hashes = _mixed((sums[GRAM:] - sums[: n + 1 - GRAM]) * down[: n + 1 - GRAM])
+    np.cumsum(units * up[:n], out=sums[1:])
+    return sums, down
+
+
+def _anchored(hashes: np.ndarray, span: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows 0 .. count-1 of `span` hashes each: anchor hash, first window and number of windows for each run with the same least hash."""
     m = len(hashes)
     place = np.uint64((1 << _PLACE) - 1)
-    keys = np.full(-(-m // SPAN) * SPAN, np.uint64(0xFFFFFFFFFFFFFFFF))
+    keys = np.full(-(-m // span) * span, np.uint64(0xFFFFFFFFFFFFFFFF))
     keys[:m] = (hashes & ~place) | np.arange(m, dtype=np.uint64)
-    rows = keys.reshape(-1, SPAN)
+    rows = keys.reshape(-1, span)
     ahead = np.minimum.accumulate(rows, axis=1).ravel()
     back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    count = n - MATCH + 1
-    anchor = (np.minimum(back[:count], ahead[SPAN - 1 : SPAN - 1 + count]) & place).astype(np.int64)
+    anchor = (np.minimum(back[:count], ahead[span - 1 : span - 1 + count]) & place).astype(np.int64)
     starts = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-    ends = np.append(starts[1:], count)
-    return hashes[anchor[starts]], starts, ends - starts + MATCH - 1
+    return hashes[anchor[starts]], starts, np.diff(np.append(starts, count))
+
+
+def contexts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, first byte and length of each context; every string of MATCH bytes is in just one of them."""
+    n = len(data)
+    if n < MATCH:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sums, down = _rolling(_BYTES[np.frombuffer(data, np.uint8)])
+    hashes = _mixed((sums[GRAM:] - sums[: n + 1 - GRAM]) * down[: n + 1 - GRAM])
+    h, starts, times = _anchored(hashes, SPAN, n - MATCH + 1)
+    return h, starts, times + MATCH - 1
+
+
+def passage_windows(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums and factors over the hashes of a text's words, and so of its windows."""
+    words = data.split()
+    return _rolling(_mixed(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))))
+
+
+def word_contexts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, digest, first window and number of windows of PASSAGE words for each context of words."""
+    sums, down = passage_windows(data)
+    n = len(sums) - 1
+    if n < PASSAGE:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashes = _mixed((sums[RUN:] - sums[: n + 1 - RUN]) * down[: n + 1 - RUN])
+    h, starts, times = _anchored(hashes, PASSAGE - RUN + 1, n - PASSAGE + 1)
+    return h, _mixed((sums[starts + times + PASSAGE - 1] - sums[starts]) * down[starts] + times.astype(np.uint64)), starts, times
 
 
 def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Contexts of bytes, with a digest of each, and of words (`passage`), where lo and len count windows."""
+    digest = xxhash.xxh3_64_intdigest
     for batch in batches:
         size, parts = 0, []
         for doc_id, t, text in zip(batch["doc_id"], batch["t"], batch["text"], strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
             h, lo, length = contexts(data)
-            if len(h):
-                digest = xxhash.xxh3_64_intdigest
-                own = np.array([digest(data[s : s + k]) for s, k in zip(lo.tolist(), length.tolist(), strict=True)], dtype=np.uint64)
-                parts.append(pd.DataFrame({"h": h.view(np.int64), "c": own.view(np.int64), "doc_id": doc_id, "t": t, "lo": lo, "len": length}))
+            own = np.array([digest(data[s : s + k]) for s, k in zip(lo.tolist(), length.tolist(), strict=True)], dtype=np.uint64)
+            words = word_contexts(data)
+            if len(h) or len(words[0]):
+                passage = np.repeat([False, True], [len(h), len(words[0])])
+                h, own, lo, length = (np.concatenate(x) for x in zip((h, own, lo, length), words, strict=True))
+                parts.append(pd.DataFrame({"passage": passage, "h": h.view(np.int64), "c": own.view(np.int64), "doc_id": doc_id, "t": t, "lo": lo, "len": length}))
                 size += len(h)
             if size >= 100_000:
                 yield pd.concat(parts, ignore_index=True)
@@ -90,6 +128,19 @@ def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.concat(parts, ignore_index=True)
 
 
+def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The hashes of the windows that are asked for, each with the least and the greatest document known to have it."""
+    for batch in batches:
+        parts = []
+        for k, text, asked in zip(batch["k"], batch["text"], batch["asked"], strict=True):
+            sums, down = passage_windows(text.encode("utf-8", "surrogatepass"))
+            for x in asked:
+                at = np.arange(x["lo"], x["lo"] + x["len"])
+                parts.append(pd.DataFrame({"x": _mixed((sums[at + PASSAGE] - sums[at]) * down[at]).view(np.int64), "k": k, "one": x["one"], "other": x["other"]}))
+        if parts:
+            yield pd.concat(parts, ignore_index=True)
+
+
 def suffix_array(data: bytes, depth: int) -> np.ndarray:
     """Suffixes of data in the order of their first `depth` bytes or more, by two-stage sorting.
 
@@ -133,6 +184,26 @@ def _induce(sorted_: np.ndarray, text: np.ndarray, small: np.ndarray, large: lis
             large[c].append(run)
 
 
+def common_prefixes(data: bytes, order: np.ndarray, depth: int) -> np.ndarray:
+    """For neighbours in the order of suffixes, how many bytes they have in common, up to `depth`."""
+    text = np.frombuffer(data + bytes(depth + 8), np.uint8)
+    eights = np.lib.stride_tricks.as_strided(text, (len(data) + depth, 8), (1, 1)).copy().view("<u8").ravel()
+    one, other = order[:-1], order[1:]
+    most = np.minimum(depth, len(data) - np.maximum(one, other))
+    out = np.zeros(len(one), np.int64)
+    live = np.flatnonzero(most > 0)
+    for at in range(0, depth, 8):
+        apart = eights[one[live] + at] ^ eights[other[live] + at]
+        ends = apart != 0
+        low = apart[ends] & (~apart[ends] + np.uint64(1))
+        out[live[ends]] = at + np.log2(low.astype(np.float64)).astype(np.int64) // 8
+        live = live[~ends]
+        if not len(live):
+            break
+        out[live] = at + 8
+    return np.minimum(out, most)
+
+
 def repeated_starts(strings: list[bytes]) -> list[np.ndarray]:
     """For each string, the starts of its strings of MATCH bytes that also start elsewhere in any of them."""
     data = END.join(strings) + END
@@ -142,9 +213,8 @@ def repeated_starts(strings: list[bytes]) -> list[np.ndarray]:
     for first, length in zip(firsts.tolist(), lengths.tolist(), strict=True):
         whole[first : max(first, first + length - MATCH + 1)] = True
     order = suffix_array(data, MATCH)
-    order = order[whole[order]]
-    places = order.tolist()
-    same = np.array([data[i : i + MATCH] == data[j : j + MATCH] for i, j in zip(places[:-1], places[1:], strict=True)], dtype=bool)
+    order = order[whole[order]]  # suffixes between two with a common prefix of MATCH bytes have it too, so none is left out there
+    same = common_prefixes(data, order, MATCH) >= MATCH
     again = np.zeros(len(data), bool)
     again[order[:-1][same]] = True
     again[order[1:][same]] = True
@@ -196,15 +266,41 @@ def _remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "t", "n_removed", "n_spans", "kept", "spans"])
 
 
-def repeated_spans(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, t, spans) of the documents with repeated strings, and (doc_id, t, text) of those that may have some.
+def anchored(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """keyed(doc_id, t, text) documents, and (passage, h, c, doc_id, t, lo, len), their contexts with anchors that occur more than once, with `mixed`.
 
     t is a hash of the text, so that documents with one id but several texts are told apart. Ids are texts here.
     """
     keyed = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
-    anchors = cut(keyed.filter(F.octet_length("text") >= MATCH).mapInPandas(_anchors, "h long, c long, doc_id string, t long, lo int, len int"))
-    common = cut(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("all"), F.min("c").alias("one"), F.max("c").alias("other")).filter(F.col("all") > 1).select("h", (F.col("one") != F.col("other")).alias("mixed")))
-    shared = cut(anchors.join(common, "h"))
+    long = F.octet_length("text") >= 2 * PASSAGE - 1
+    anchors = cut(keyed.filter(long).mapInPandas(_anchors, "passage boolean, h long, c long, doc_id string, t long, lo int, len int"))
+    common = anchors.groupBy("passage", "h").agg(F.count(F.lit(1)).alias("all"), F.min("c").alias("one"), F.max("c").alias("other")).filter(F.col("all") > 1)
+    return keyed, cut(anchors.join(cut(common.select("passage", "h", (F.col("one") != F.col("other")).alias("mixed"))), ["passage", "h"]))
+
+
+def shared_windows(keyed: DataFrame, shared: DataFrame) -> DataFrame:
+    """(doc_id, t, n_shared_windows): how many windows of PASSAGE words of a document another document has too.
+
+    A context that two documents have is shared as a whole. Of the others, those with an anchor in common are compared window
+    by window, one document of each kind of context for all. Rows with the same id and text are one document.
+    """
+    own = shared.filter("passage").withColumn("k", F.xxhash64("doc_id", "t"))
+    kinds = cut(own.groupBy("h", "c").agg(F.min("k").alias("one"), F.max("k").alias("other"), F.bool_or("mixed").alias("mixed"), F.min(F.struct("doc_id", "t", "lo", "len")).alias("rep")))
+    copied = kinds.filter("one <> other").select("h", "c")
+    whole = salted_semi(own, copied, ["h", "c"], F.struct("doc_id", "lo")).select("doc_id", "t", F.col("len").cast("long").alias("n"))
+    asked = kinds.filter("mixed").groupBy(F.struct("rep.doc_id", "rep.t").alias("_key")).agg(F.collect_list(F.struct("rep.lo", "rep.len", "one", "other")).alias("asked"))
+    texts = keyed.withColumn("_key", F.struct("doc_id", "t")).join(cut(asked), "_key").dropDuplicates(["_key"])
+    windows = cut(texts.select(F.xxhash64("doc_id", "t").alias("k"), "text", "asked").mapInPandas(_windows, "x long, k long, one long, other long"))
+    again = cut(windows.groupBy("x").agg(F.min("one").alias("one"), F.max("other").alias("other")).filter("one <> other").select("x"))
+    single = salted_semi(windows.filter("one = other"), again, ["x"], F.col("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    keys = kinds.filter("mixed and one = other").select(F.col("one").alias("_k"), "rep.doc_id", "rep.t").distinct()
+    single = cut(single).join(keys, F.col("k") == F.col("_k")).select("doc_id", "t", "n")
+    return whole.union(single).groupBy("doc_id", "t").agg(F.sum("n").alias("n_shared_windows"))
+
+
+def repeated_spans(keyed: DataFrame, contexts_: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, t, spans) of the documents with repeated strings, and (doc_id, t, text) of those that may have some."""
+    shared = contexts_.filter(~F.col("passage")).drop("passage")
     whole = shared.filter(~F.col("mixed")).select("doc_id", "t", F.col("lo").alias("s"), (F.col("lo") + F.col("len")).alias("e"))
     mixed = shared.filter("mixed")
     kinds = cut(mixed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "t", "lo", "len")).alias("rep")))
@@ -230,20 +326,24 @@ def repeated_spans(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, Data
 
 
 def deduplicate(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans), one row per input row.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, n_shared_windows), one row per input row.
 
     A byte goes if a string of MATCH bytes that covers it also starts anywhere else, in the same document too. Null and
     empty texts, and those shorter than MATCH bytes, lose nothing. Equal rows are copies of each other and lose all of it. An
-    empty table gives no rows.
+    empty table gives no rows. n_shared_windows counts the windows of PASSAGE words, blanks between them aside, that a
+    document with another id or text has too; such passages may be shorter than MATCH bytes, and are told, not removed.
     """
-    spans, texts = repeated_spans(docs, crowd)
+    keyed, contexts_ = anchored(docs)
+    spans, texts = repeated_spans(keyed, contexts_, crowd)
     joined = texts.withColumn("_key", F.struct("doc_id", "t")).join(cut(spans.select(F.struct("doc_id", "t").alias("_key"), "spans")), "_key").drop("_key")
-    removed = cut(joined.mapInPandas(_remove, "doc_id string, t long, n_removed long, n_spans long, kept string, spans array<struct<s:int,e:int>>").select(F.struct("doc_id", "t").alias("_key"), "n_removed", "n_spans", "kept", "spans"))
+    removed = joined.mapInPandas(_remove, "doc_id string, t long, n_removed long, n_spans long, kept string, spans array<struct<s:int,e:int>>").select(F.struct("doc_id", "t").alias("_key"), "n_removed", "n_spans", "kept", "spans")
+    windows = shared_windows(keyed, contexts_).select(F.struct("doc_id", "t").alias("_key"), "n_shared_windows")
+    told = cut(cut(removed).join(cut(windows), "_key", "full"))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"), F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("t")).alias("_key"))
     none = F.lit(0).cast("long")
-    return rows.join(removed, "_key", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"), "spans")
+    return rows.join(told, "_key", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"), "spans", F.coalesce("n_shared_windows", none).alias("n_shared_windows"))
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(table(spark, sf_dir, "documents")).drop("spans")
+    return settled(spark, lambda: deduplicate(table(spark, sf_dir, "documents")).drop("spans"))[0]
