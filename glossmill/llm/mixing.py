@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glossmill.llm.common import cut, packed, prefix_sums, table, word_count
+from glossmill.llm.common import cut, packed, prefix_sums, row_hash, table, word_count
 
 #: Expected copies are whole multiples of 1/UNIT, so prefix sums are exact and do not depend on the partitioning.
 UNIT = 1 << 24
@@ -36,21 +36,22 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: f
     return ranked.select("source", "source_size", F.when(full, F.col("_cap")).otherwise(F.col("_w") * level).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = SEED, keep=()) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken), one row per input row.
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = SEED, keep: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken, keep..), one row per input row.
 
-    Within a source the documents stand in the order of size, then id. Each expects target / source_size copies; the
+    Within a source the documents stand in the order of size, then id, then what is to be kept. Each expects target / source_size copies; the
     expected copies are summed along the order, one random offset of the source is added, and a document is taken once for
     each whole number that its interval crosses. Neighbours in that order are of like size, so what is taken stays near the
     target. A text that is null has size 0; such rows get copies like any other, and weigh nothing. A null source is a
     source; equal rows are told apart only by their place; an empty table gives no rows.
     """
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keep))
+    keep = keep or {}
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *[c.alias(name) for name, c in keep.items()]))
     targets = source_targets(sized, weights, share, cap)
     step = F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size") * UNIT)).otherwise(0).cast("long")
     steps = targets.select(F.col("source").alias("_s"), "source_size", "target", step.alias("_step"))
     joined = sized.join(steps, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    summed = prefix_sums(joined, ["source"], ["size", "doc_id"], "_step", "_end")
+    summed = prefix_sums(joined, ["source"], ["size", "doc_id", *keep], "_step", "_end")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")))), 1, 6), 16, 10).cast("long")
     copies = F.expr(f"(_end + _offset) div {UNIT} - (_end - _step + _offset) div {UNIT}")
     return summed.withColumn("_offset", offset).withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("_end", "_step", "_offset")
@@ -61,11 +62,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def take_copies(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row as often as mix() takes it, with the columns that came in. Rows equal in id, source and text share their copies."""
-    of = F.struct("doc_id", "source", F.xxhash64("text").alias("text_hash")).alias("_key")
-    taken = mix(docs, keep=[of]).groupBy("_key").agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
+    """The mix itself: each row as often as mix() takes it, with the columns that came in.
+
+    Rows are told apart by two hashes of all their columns. Rows that are equal in all of them are interchangeable, and one
+    of them stands for all their copies. An empty table gives no rows.
+    """
+    key = F.struct(row_hash(docs).alias("x"), row_hash(docs, 1).alias("y"))
+    taken = mix(docs, keep={"_key": key}).groupBy("_key").agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
     first = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
-    rows = packed(docs, of).withColumn("_nth", first).filter("_nth = 1").join(cut(taken), "_key")
+    rows = packed(docs, key.alias("_key")).withColumn("_nth", first).filter("_nth = 1").join(cut(taken), "_key")
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")
 
 
