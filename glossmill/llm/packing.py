@@ -13,6 +13,7 @@ from glossmill.llm.common import cut, table, words_of
 #: Words a bin holds, and pieces a shard holds at most on average.
 CAPACITY = 2048
 SHARD = 4096
+WORD_RUN = r"[^\x20\x09-\x0D]+"
 
 
 def copy_cluster(text: Column) -> Column:
@@ -50,7 +51,7 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
     return bins, offsets
 
 
-def _pack_shard(capacity: int):
+def _pack_shard(capacity: int, columns: list[str]):
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n_words", "doc_id", "piece", "cluster"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         sources = pd.factorize(rows["source"])[0]  # -1: null
@@ -59,33 +60,50 @@ def _pack_shard(capacity: int):
         bins, offsets = best_fit(rows["n_words"].tolist(), sources.tolist(), clusters.tolist(), capacity)
         rows["bin_id"] = rows["shard"].map(lambda s: s << 24) + pd.Series(bins, dtype="int64")
         rows["bin_offset"] = pd.Series(offsets, dtype="int64")
-        return rows[["doc_id", "piece", "first_word", "n_words", "source", "bin_id", "bin_offset"]]
+        return rows.sort_values(["bin_id", "bin_offset"], kind="stable")[columns]
 
     return pack
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
-    """(doc_id, piece, first_word, n_words, source, bin_id, bin_offset): every word of every row is in one bin.
+def _piece_text(capacity: int) -> Column:
+    """The words of a piece and the blanks after each; the first piece has those before its first word too. All pieces in a row are the text."""
+    words, gaps = words_of(F.col("text")), F.split("text", WORD_RUN)
+    own = F.transform(F.slice(words, F.col("first_word").cast("int") + 1, F.col("n_words").cast("int")), lambda w, i: F.concat(w, F.get(gaps, (F.col("first_word") + i + 1).cast("int"))))
+    return F.when(F.col("words") <= capacity, F.coalesce("text", F.lit(""))).otherwise(F.concat(F.when(F.col("piece") == 0, F.get(gaps, F.lit(0))).otherwise(""), F.array_join(own, "")))
 
-    A text longer than a bin is cut into pieces; full pieces fill a bin alone. No bin holds two pieces of one source or of
-    one cluster of copies; a null source conflicts with nothing, and neither does a text without words by its cluster. Null
-    and empty texts are a piece of 0 words. Pieces are dealt into shards by a hash, so a hot source or a large group of
-    copies spreads evenly over all of them, and each shard is packed by itself, largest pieces first. Equal rows are packed
-    one by one. An empty table gives no rows.
+
+def _dealt(pieces: DataFrame, shard: int, shards: int) -> DataFrame:
+    """Adds the shard: a hash of the piece's values. Pieces that are equal more than `shard` / 4 times are dealt by their place as well."""
+    keyed = pieces.withColumn("_deal", F.xxhash64("doc_id", "piece", "source", "cluster"))
+    hot = cut(keyed.groupBy("_deal").count().filter(F.col("count") * 4 > shard).select("_deal", F.lit(True).alias("_hot")))
+    if hot.head(1):
+        keyed = keyed.join(hot, "_deal", "left").withColumn("_deal", F.when(F.col("_hot"), F.xxhash64("_deal", F.monotonically_increasing_id())).otherwise(F.col("_deal"))).drop("_hot")
+    return keyed.withColumn("shard", F.pmod("_deal", F.lit(shards))).drop("_deal")
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, texts: bool = True) -> DataFrame:
+    """(doc_id, piece, first_word, n_words, source, bin_id, bin_offset, text): every word of every row is in one bin.
+
+    A bin's training sequence is its pieces' text in the order of bin_offset; rows of a bin stand together in that order. text
+    is left out where `texts` is false. A text longer than a bin is cut into pieces, which in a row are the text again; full
+    pieces fill a bin alone. No bin holds two pieces of one source or of one cluster of copies; a null source conflicts with
+    nothing, and neither does a text without words by its cluster. Null and empty texts are a piece of 0 words. Pieces are
+    dealt into shards by a hash, so a hot source or a large group of copies spreads evenly over all of them, and each shard
+    is packed by itself, largest pieces first. Equal rows are packed one by one. An empty table gives no rows.
     """
     words = words_of(F.col("text"))
-    sized = docs.select("doc_id", "source", F.size(words).cast("long").alias("words"), F.when(F.size(words) > 0, copy_cluster(F.col("text"))).alias("cluster"))
+    sized = docs.select("doc_id", "source", F.size(words).cast("long").alias("words"), F.when(F.size(words) > 0, copy_cluster(F.col("text"))).alias("cluster"), "text")
     last = F.greatest(F.expr(f"(words + {capacity - 1}) div {capacity}"), F.lit(1).cast("long"))
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last - 1)))
     pieces = pieces.withColumn("first_word", F.col("piece") * capacity).withColumn("n_words", F.least(F.col("words") - F.col("first_word"), F.lit(capacity).cast("long")))
-    pieces = cut(pieces.drop("words"))
+    columns = ["doc_id", "piece", "first_word", "n_words", "source", "bin_id", "bin_offset"] + (["text"] if texts else [])
+    pieces = cut((pieces.withColumn("text", _piece_text(capacity)) if texts else pieces.drop("text")).drop("words"))
     shards = max(1, -(-pieces.count() // shard))
     kind = docs.schema["doc_id"].dataType.simpleString()
     pieces = pieces.withColumns({"doc_id": F.col("doc_id").cast("string"), "cluster": F.col("cluster").cast("string")})  # pandas would read numbers with nulls as floats
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "source", "cluster"), F.lit(shards)))
-    schema = "doc_id string, piece long, first_word long, n_words long, source string, bin_id long, bin_offset long"
-    return dealt.groupBy("shard").applyInPandas(_pack_shard(capacity), schema).withColumn("doc_id", F.col("doc_id").cast(kind))
+    schema = "doc_id string, piece long, first_word long, n_words long, source string, bin_id long, bin_offset long" + (", text string" if texts else "")
+    return _dealt(pieces, shard, shards).groupBy("shard").applyInPandas(_pack_shard(capacity, columns), schema).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), texts=False)
