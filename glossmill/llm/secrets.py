@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glossmill.llm.common import cut, packed, table
+from glossmill.llm.common import cut, exists, new_path, packed, settled, table
 
 
 @dataclass(frozen=True)
@@ -42,6 +42,7 @@ ADDED = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE + ADDED
+LEDGER = "blob string, rule string, spans array<struct<start:int,end:int>>"
 
 
 def blob_of(text: Column) -> Column:
@@ -104,26 +105,61 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> tuple
     return paths, findings, entries
 
 
-def digests(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> DataFrame:
-    """One row per input row: how often each base kind occurs, and the spans, joined back from blobs to all their paths."""
-    paths, findings, _ = scan(docs, ledger, rules)
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The entries stored at a path; none where nothing is stored yet. What is appended later is not seen."""
+    return spark.read.schema(LEDGER).parquet(path) if exists(spark, path) else spark.createDataFrame([], LEDGER)
+
+
+def extend(docs: DataFrame, path: str, rules=RULES) -> tuple[DataFrame, DataFrame]:
+    """(paths, entries): brings the ledger at `path` up to docs, and gives docs' blobs and the ledger's entries for the rules.
+
+    Only blobs and rule versions that the ledger does not hold are scanned, and only their entries are appended. Two runs at
+    once may append the same entries twice; they are equal, and read as one.
+    """
+    spark = docs.sparkSession
+    paths, _, entries = scan(docs, read_ledger(spark, path), rules)
+    entries.sortWithinPartitions("blob", "rule").write.mode("append").parquet(path)
+    return paths, read_ledger(spark, path).filter(F.col("rule").isin([r.name for r in rules]))
+
+
+def compact(spark: SparkSession, path: str, into: str) -> DataFrame:
+    """The ledger at `path` written to the new path `into`, each pair of blob and rule version once, in the order of blobs."""
+    once = read_ledger(spark, path).dropDuplicates(["blob", "rule"])
+    once.repartitionByRange("blob").sortWithinPartitions("blob", "rule").write.parquet(into)
+    return read_ledger(spark, into)
+
+
+def findings_of(entries: DataFrame, rules=RULES) -> DataFrame:
+    """(blob, kind, start, end): a row for each finding of the ledger's entries."""
+    kinds = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(r.kind))])
+    some = entries.filter(F.size("spans") > 0).dropDuplicates(["blob", "rule"])
+    return some.select("blob", kinds[F.col("rule")].alias("kind"), F.explode("spans").alias("s")).select("blob", "kind", "s.start", "s.end")
+
+
+def digests(docs: DataFrame, ledger: str | None = None, rules=RULES) -> DataFrame:
+    """One row per input row: how often each base kind occurs, and the spans, joined back from the ledger's blobs to all their paths.
+
+    `ledger` is the path of a stored ledger, which is extended; without one, a new ledger is made in the shared folder.
+    """
+    paths, entries = extend(docs, ledger or new_path(docs.sparkSession), rules)
     order = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(k))])
     each = F.struct(F.col("start").alias("at"), order[F.col("kind")].alias("nth"), F.concat_ws(":", "kind", "start", "end").alias("span"))
     count = lambda kind: F.sum((F.col("kind") == kind).cast("long"))
-    blobs = cut(findings.groupBy("blob").agg(*[count(r.kind).alias(f"n_{r.kind}") for r in BASE], F.array_sort(F.collect_list(each)).alias("all")))
+    blobs = cut(findings_of(entries, rules).groupBy("blob").agg(*[count(r.kind).alias(f"n_{r.kind}") for r in BASE], F.array_sort(F.collect_list(each)).alias("all")))
     text = lambda some: F.array_join(F.transform(some, lambda x: x["span"]), ",")
     known = blobs.select("blob", *[f"n_{r.kind}" for r in BASE], text(F.filter("all", lambda x: x["nth"] < len(BASE))).alias("base"), text(F.col("all")).alias("spans"))
     none = [F.coalesce(f"n_{r.kind}", F.lit(0).cast("long")).alias(f"n_{r.kind}") for r in BASE]
     return paths.join(known, "blob", "left").select("doc_id", *none, F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
-def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"))
+def op5_secrets(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """digests() of documents. The driver's runs name no ledger, so each scans every blob; a run with a stored one scans what is new."""
+    return settled(spark, lambda: digests(table(spark, sf_dir, "documents"), ledger))[0]
 
 
-def redact(docs: DataFrame, mask: str = "[secret]", rules=RULES) -> DataFrame:
-    """docs with every span of a secret replaced by the mask, and n_chars counted anew where there is one."""
-    _, findings, _ = scan(docs, None, rules)
+def redact(docs: DataFrame, mask: str = "[secret]", rules=RULES, ledger: str | None = None) -> DataFrame:
+    """docs with every span of a secret replaced by the mask, and n_chars counted anew where there is one; ledger as in digests()."""
+    findings = findings_of(extend(docs, ledger or new_path(docs.sparkSession), rules)[1], rules)
     order = Window.partitionBy("blob").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = findings.withColumn("opens", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
