@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import cut, prefix_sums, table
+from glossmill.llm.common import cut, prefix_sums, settled, table
 from glossmill.llm.components import components
 
 COSINE = 0.93
@@ -20,6 +20,10 @@ GRID = 8
 BLOCK = 512
 TILE = 16
 FAN = 16
+#: Tiles on either side of a comparing task. A block goes to as many tasks as there are groups of so many tiles near it.
+SQUARE = 16
+#: Directions beyond GRID that the search for principal ones carries along.
+EXTRA = 8
 #: Slack of distances, far above rounding: a pair at exactly the threshold is compared, never skipped.
 SLACK = 1e-6
 LO, HI = [f"lo{k}" for k in range(GRID)], [f"hi{k}" for k in range(GRID)]
@@ -31,30 +35,47 @@ def units(vectors: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = None
-    for batch in batches:
-        if len(batch):
-            x = units(batch["embedding"])
-            x = np.column_stack([x, np.ones(len(x))])
-            total = x.T @ x if total is None else total + x.T @ x
-    if total is not None:
+def _moments(basis: np.ndarray):
+    """Sums over a partition: of x (x . b) for each direction b of the basis, of x, and of 1; a row for each number."""
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros((basis.shape[0], basis.shape[1] + 1)), 0
+        for batch in batches:
+            if len(batch):
+                x = units(batch["embedding"])
+                total += x.T @ np.column_stack([x @ basis, np.ones(len(x))])
+                n += len(x)
         i, j = np.indices(total.shape)
-        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": total.ravel()})
+        yield pd.DataFrame({"i": np.append(i.ravel(), -1), "j": np.append(j.ravel(), -1), "s": np.append(total.ravel(), n)})
+
+    return moments
 
 
 def principal(distinct: DataFrame) -> tuple[int, np.ndarray]:
-    """Length of most vectors, and their leading principal directions (length x GRID), from all of them."""
+    """Length of most vectors, and directions close to their leading principal ones (length x GRID), from all of them.
+
+    Two steps of subspace iteration from a random basis: what a partition sends grows with the length, not with its square.
+    """
     most = distinct.groupBy(F.size("embedding").alias("dims")).count().orderBy(F.desc("count"), "dims").limit(1).collect()
     if not most:
         return 0, np.zeros((0, GRID))
     dims = most[0]["dims"]
-    sums = np.zeros((dims + 1, dims + 1))
-    for i, j, s in distinct.filter(F.size("embedding") == dims).select("embedding").mapInPandas(_moments, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s")).collect():
-        sums[i, j] = s
-    n, mean = sums[-1, -1], sums[:-1, -1] / sums[-1, -1]
-    values, vectors = np.linalg.eigh(sums[:-1, :-1] / n - np.outer(mean, mean))
-    leading = vectors[:, np.argsort(-values, kind="stable")[:GRID]]
+    vectors = distinct.filter(F.size("embedding") == dims).select("embedding")
+    basis = np.linalg.qr(np.random.default_rng(0).normal(size=(dims, min(dims, GRID + EXTRA))))[0]
+    for last in (False, True):
+        sums, n = np.zeros((dims, basis.shape[1] + 1)), 0.0
+        for i, j, s in vectors.mapInPandas(_moments(basis), "i int, j int, s double").groupBy("i", "j").agg(F.sum("s")).collect():
+            if i < 0:
+                n = s
+            else:
+                sums[i, j] = s
+        mean = sums[:, -1] / n
+        image = sums[:, :-1] / n - np.outer(mean, mean @ basis)
+        if not last:
+            basis = np.linalg.qr(image)[0]
+    inner = basis.T @ image
+    values, turns = np.linalg.eigh((inner + inner.T) / 2)
+    leading = basis @ turns[:, np.argsort(-values, kind="stable")[:GRID]]
     return dims, np.pad(leading, ((0, 0), (0, GRID - leading.shape[1])))
 
 
@@ -151,14 +172,14 @@ def _forest(links: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _compare(cosine: float, reach: float, block: int):
-    """Links between two tiles, or within one: (node, null, linked vectors) and the links (node, root, null) of a forest."""
+def _compare(cosine: float, reach: float, block: int, square: int):
+    """Links between two groups of tiles, or within one: (node, null, linked vectors) and the links (node, root, null) of a forest."""
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        rows = rows.drop_duplicates("seq").sort_values("seq", ignore_index=True)
+        i, j = int(rows["gi"].iloc[0]), int(rows["gj"].iloc[0])
+        rows = rows.sort_values("seq", ignore_index=True)
         width = int(rows["dims"].iloc[0])
-        tiles = rows["tile"].tolist()
+        group = (rows["tile"] // square).to_numpy()
         vectors = [np.frombuffer(u, np.float64).reshape(-1, width) for u in rows["units"]]
         times = [np.asarray(n, np.int64) for n in rows["n"]]
         lo, hi = rows[LO].to_numpy(), rows[HI].to_numpy()
@@ -172,15 +193,12 @@ def _compare(cosine: float, reach: float, block: int):
                 x = parent[x]
             return x
 
-        for a in range(len(vectors)):
-            if tiles[a] != i:
-                continue
-            for b in range(len(vectors)):
-                if tiles[b] != j or (i == j and b < a):
-                    continue
-                gap = np.maximum(0.0, np.maximum(lo[a] - hi[b], lo[b] - hi[a]))
-                if gap @ gap > reach * reach:
-                    continue
+        for a in np.flatnonzero(group == i).tolist():
+            gaps = np.maximum(0.0, np.maximum(lo[a] - hi, lo - hi[a]))
+            near = ((gaps**2).sum(1) <= reach * reach) & (group == j)
+            if i == j:
+                near[:a] = False
+            for b in np.flatnonzero(near).tolist():
                 links = vectors[a] @ vectors[b].T >= cosine
                 if a == b:
                     np.fill_diagonal(links, False)
@@ -205,7 +223,17 @@ def _compare(cosine: float, reach: float, block: int):
     return compare
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, tile: int = TILE, fan: int = FAN) -> DataFrame:
+def moves(pairs: DataFrame, square: int = SQUARE) -> DataFrame:
+    """(label, dims, gi, gj, tile): the tiles that each comparing task needs.
+
+    Pairs of tiles are dealt to tasks by the groups of `square` tiles that their two sides are in, so a tile goes to a task once
+    for all its partners there. Pairs that are not in `pairs` are apart, and the boxes of their blocks tell it again.
+    """
+    groups = pairs.select("label", "dims", F.floor(F.col("i") / square).alias("gi"), F.floor(F.col("j") / square).alias("gj"), F.explode(F.array("i", "j")).alias("tile"))
+    return groups.distinct()
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, tile: int = TILE, fan: int = FAN, square: int = SQUARE) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of vectors(vec_id, embedding, label).
 
     Vectors are compared where labels and lengths are equal. A vector that is null, empty or zero, or holds a null or
@@ -233,9 +261,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     most = heads.agg(F.max("tile")).first()[0]
     pairs = tile_pairs(heads, (most or 0) + 1, reach, fan)
     numbered = blocks.join(heads.select("part", "nth", "seq", "tile"), ["part", "nth"])
-    sides = pairs.select("label", "dims", F.col("i").alias("tile"), "i", "j").union(pairs.filter("i <> j").select("label", "dims", F.col("j").alias("tile"), "i", "j"))
-    work = sides.join(numbered.select("label", "dims", "tile", "seq", *LO, *HI, "n", "units"), ["label", "dims", "tile"])
-    found = cut(work.groupBy("label", "dims", "i", "j").applyInPandas(_compare(cosine, reach, block), "a long, b long, n long"))
+    work = moves(pairs, square).join(numbered.select("label", "dims", "tile", "seq", *LO, *HI, "n", "units"), ["label", "dims", "tile"])
+    found = cut(work.groupBy("label", "dims", "gi", "gj").applyInPandas(_compare(cosine, reach, block, square), "a long, b long, n long"))
     roots = components(found.filter("b is not null").select("a", "b"))
     counts = found.filter("b is null").groupBy("a").agg(F.sum("n").alias("links"))
     nodes = numbered.select("seq", F.posexplode(F.arrays_zip("k1", "k2"))).select((F.col("seq") * block + F.col("pos")).alias("node"), "col.k1", "col.k2")
@@ -250,4 +277,4 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
 
 
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "embeddings"))
+    return settled(spark, lambda: near_duplicates(table(spark, sf_dir, "embeddings")))[0]
