@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,9 +19,9 @@ from glossmill.llm.common import crc_mod, table
 BUCKETS = 1 << 13
 #: Documents of each language that the trigram models are fitted on, about, at most. All documents are scored.
 ROWS_PER_LANGUAGE = 1500
-#: Languages that models are fitted for, the most frequent ones.
-LANGUAGES = 200
 SMOOTHING = 0.5
+#: Languages whose counts a task holds before it sends them on.
+AT_ONCE = 256
 ROUNDS = 30
 #: What a further language must add to the log-likelihood, times half the log of the number of trigrams.
 PENALTY = 2.0
@@ -63,7 +64,7 @@ class LanguageModel:
     """Chance of each trigram bucket in each language, languages in code point order."""
 
     languages: tuple[str, ...]
-    chances: np.ndarray  # languages x buckets
+    chances: np.ndarray  # languages x buckets, of 32 bits
 
     def scores(self, texts: list[str | None]) -> list[tuple[str, float]]:
         found: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
@@ -89,7 +90,7 @@ class LanguageModel:
         seen = np.flatnonzero(counts)
         if not len(seen):
             return UNKNOWN, 0.0
-        shares = select_languages(self.chances[:, seen], counts[seen].astype(np.float64))
+        shares = select_languages(self.chances[:, seen].astype(np.float64), counts[seen].astype(np.float64))
         best = int(np.argmax(shares))
         return self.languages[best], float(min(1.0, shares[best]))
 
@@ -134,37 +135,46 @@ def select_languages(chances: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Trigram counts of each language in a partition."""
-    counts: dict[str, np.ndarray] = {}
+    """Trigram counts of each language, given by its number, in a partition; those of many languages are told on the way."""
+    counts: dict[int, np.ndarray] = {}
+
+    def told() -> Iterator[pd.DataFrame]:
+        for lang, own in counts.items():
+            seen = np.flatnonzero(own)
+            yield pd.DataFrame({"lang": lang, "bucket": seen, "n": own[seen]})
+        counts.clear()
+
     for batch in batches:
         for lang, texts in batch.groupby("lang")["text"]:
-            own = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
+            own = counts.setdefault(int(lang), np.zeros(BUCKETS, np.int64))
             for text in texts:
                 own += counted(text)
-    for lang, own in counts.items():
-        seen = np.flatnonzero(own)
-        yield pd.DataFrame({"lang": lang, "bucket": seen, "n": own[seen]})
+            if len(counts) >= AT_ONCE:
+                yield from told()
+    yield from told()
 
 
-def fit(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, languages: int = LANGUAGES) -> LanguageModel:
-    """Trigram models from documents with a language whose crc32 of the id modulo OF is not HELD.
+def fit(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> LanguageModel:
+    """Trigram models of all languages, from documents with a language whose crc32 of the id modulo OF is not HELD.
 
-    About `rows` documents of each language are taken, those with the smallest hashes of their ids; at most languages * BUCKETS
-    counts come to the driver.
+    About `rows` documents of each language are taken, those with the smallest hashes of their ids. BUCKETS numbers a language
+    come to the driver, 32 KiB.
     """
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), OF) != HELD))
-    per = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    per = {r["lang"]: min(1.0, rows / r["count"]) for r in usable.groupBy("lang").count().collect()}
     if not per:
-        return LanguageModel((), np.zeros((0, BUCKETS)))
-    rate = F.create_map(*[F.lit(x) for lang, n in per.items() for x in (lang, min(1.0, rows / n))])
+        return LanguageModel((), np.zeros((0, BUCKETS), np.float32))
+    rate = F.from_json(F.lit(json.dumps(per)), "map<string,double>")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     texts = usable.filter(F.col("text").isNotNull() & (draw < rate[F.col("lang")])).select("lang", "text")
-    counts = {lang: np.zeros(BUCKETS) for lang in sorted(per)}
-    for lang, bucket, n in texts.mapInPandas(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n")).collect():
-        if lang in counts:
-            counts[lang][bucket] = n
-    table_ = np.array([c for c in counts.values()]) + SMOOTHING
-    return LanguageModel(tuple(counts), table_ / table_.sum(1, keepdims=True))
+    languages = sorted(per)
+    number = F.from_json(F.lit(json.dumps({lang: k for k, lang in enumerate(languages)})), "map<string,long>")
+    counts = texts.select(number[F.col("lang")].alias("lang"), "text").mapInPandas(_count, "lang long, bucket long, n long")
+    found = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    chances = np.full((len(languages), BUCKETS), SMOOTHING, np.float32)
+    chances[found["lang"].to_numpy(np.int64), found["bucket"].to_numpy(np.int64)] += found["n"].to_numpy(np.float32)
+    chances /= chances.sum(1, keepdims=True, dtype=np.float64)
+    return LanguageModel(tuple(languages), chances)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
