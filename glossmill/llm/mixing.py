@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glossmill.llm.common import cut, packed, prefix_sums, row_hash, table, word_count
+from glossmill.llm.common import cut, packed, prefix_sums, row_hash, settled, table, word_count
 
 #: Expected copies are whole multiples of 1/UNIT, so prefix sums are exact and do not depend on the partitioning.
 UNIT = 1 << 24
@@ -58,7 +58,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0,
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return settled(spark, lambda: mix(table(spark, sf_dir, "documents")))[0].select("doc_id", "size", "source_size", "target", "taken")
 
 
 def take_copies(docs: DataFrame) -> DataFrame:

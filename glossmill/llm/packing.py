@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import cut, table, words_of
+from glossmill.llm.common import cut, settled, table, words_of
 
 #: Words a bin holds, and pieces a shard holds at most on average.
 CAPACITY = 2048
@@ -106,4 +106,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, texts: b
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), texts=False)
+    return settled(spark, lambda: pack(table(spark, sf_dir, "documents"), texts=False))[0]

@@ -14,7 +14,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
-from glossmill.llm.common import cut, packed, row_hash, table
+from glossmill.llm.common import cut, packed, row_hash, settled, table
 from glossmill.llm.components import components
 
 BITS = 64
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found, _ = settled(spark, lambda: near_duplicates(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
