@@ -65,31 +65,133 @@ def test_toxicity_on_held_out_rows(corpus):
     assert accuracy(toxicity.score_documents(docs, model), labels, "toxic") > 0.95
 
 
+def small_net(rng, words=6):
+    """A network over few words, whose names are letters, and their inputs."""
+    names = ["abcdefgh"[k:] * 2 for k in range(words)]
+    net = toxicity.initial(rng, words, 50)
+    net["Ec"], net["Ew"] = rng.normal(0, 1, net["Ec"].shape), rng.normal(0, 1, net["Ew"].shape)
+    owner, bucket = toxicity.grams_of(names)
+    return names, net, toxicity.Words(np.arange(words), owner, bucket % 50)
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
-    net = toxicity.initial(rng)
-    x = rng.normal(0, 1, (3, 5, toxicity.INPUTS))
-    x[:, :, -1] = 1
-    x[1, 3:] = 0
+    _, net, words = small_net(rng)
+    at = rng.integers(0, 6, (3, 7))
+    pool = np.ones((3, 7), bool)
+    pool[:, :2] = False
     weight = rng.normal(0, 1, 3)
-    _, memo = toxicity.forward(net, x, keep=True)
-    found = toxicity.gradients(net, memo, weight)
+
+    def run(net):
+        inputs, which = words.inputs(net)
+        x = inputs[at]
+        x[1, 5:] = 0
+        return toxicity.forward(net, x, pool & (x[:, :, -1] > 0)), which
+
+    (_, memo), which = run(net)
+    found, d_x = toxicity.gradients(net, memo, weight)
+    d_x[1, 5:] = 0
+    d_inputs = np.zeros((6, toxicity.INPUTS))
+    np.add.at(d_inputs, at.ravel(), d_x.reshape(-1, toxicity.INPUTS))
+    found |= words.gradients(net, which, d_inputs)
     for name, values in net.items():
-        at = tuple(rng.integers(0, n) for n in values.shape)
-        up, down = {k: v.copy() for k, v in net.items()}, {k: v.copy() for k, v in net.items()}
-        up[name][at] += 1e-5
-        down[name][at] -= 1e-5
-        slope = (toxicity.forward(up, x) @ weight - toxicity.forward(down, x) @ weight) / 2e-5
-        assert found[name][at] == pytest.approx(slope, rel=1e-4, abs=1e-7)
+        places = [tuple(rng.integers(0, n) for n in values.shape)] + ([(int(words.bucket[3]), 1), (int(words.bucket[-1]), 2)] if name == "Ec" else [])
+        for place in places:
+            if name == "Ew" and place[0] == 0:
+                continue  # unknown words stay at 0
+            up, down = {k: v.copy() for k, v in net.items()}, {k: v.copy() for k, v in net.items()}
+            up[name][place] += 1e-5
+            down[name][place] -= 1e-5
+            slope = (run(up)[0][0] @ weight - run(down)[0][0] @ weight) / 2e-5
+            assert found[name][place] == pytest.approx(slope, rel=1e-4, abs=1e-7)
+
+
+def plain_states(net, given, words):
+    """States of one text by loops over single words."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    h = toxicity.HIDDEN
+    out = {}
+    for d, order in (("f", range(len(words))), ("b", range(len(words) - 1, -1, -1))):
+        state, states = np.zeros(h), [None] * len(words)
+        for t in order:
+            if words[t]:
+                g, r_ = given[d][words[t]].astype(float), state @ net[f"U{d}"].astype(float)
+                z, r = sig(g[:h] + r_[:h]), sig(g[h : 2 * h] + r_[h : 2 * h])
+                c = np.tanh(g[2 * h :] + r * r_[2 * h :])
+                state = (1 - z) * c + z * state
+            states[t] = state
+        out[d] = states
+    return np.array([np.concatenate([a, b]) for a, b in zip(out["f"], out["b"], strict=True)])
+
+
+@pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 95, 96, 97, 300])
+def test_every_window_is_scored_as_by_plain_loops(n):
+    rng = np.random.default_rng(n)
+    net = toxicity.single(toxicity.initial(rng))
+    known = toxicity.KnownWords({}, net)
+    text = [f"word{rng.integers(0, 40)}" for _ in range(n)]
+    found, = toxicity.text_logits(net, known, [known.ids(text)])
+    ids, given = [known[w] for w in text], known.tables()
+    energy, value = [], []
+    for at in range(0, max(n, 1), toxicity.BLOCK):
+        low = at - toxicity.MARGIN
+        block = [ids[k] if 0 <= k < n else 0 for k in range(low, at + toxicity.BLOCK + toxicity.MARGIN)]
+        states = plain_states(net, given, block)[toxicity.MARGIN : -toxicity.MARGIN]
+        e = np.tanh(states @ net["A"]) @ net["v"]
+        energy += list(toxicity.REACH * np.tanh(e / toxicity.REACH))
+        value += list(states @ net["u"])
+    expected = []
+    for at in range(max(1, n - toxicity.WINDOW + 1)):
+        w = np.exp(energy[at : min(at + toxicity.WINDOW, max(n, 1))])
+        expected.append(float(w @ value[at : at + len(w)] / w.sum() + net["c"][0]))
+    assert found == pytest.approx(expected, abs=1e-4)
+
+
+def test_grams_of_words():
+    words = ["ab", "abc", "abcdefghij", "", "äöüß"]
+    owner, bucket = toxicity.grams_of(words)
+    count = [max(0, min(len(w), toxicity.PREFIX) - 2) + max(0, len(w) - toxicity.WITHIN + 1) for w in words]
+    assert np.bincount(owner, minlength=5).tolist() == count
+    for k, w in enumerate(words):
+        assert sorted(bucket[owner == k]) == sorted(toxicity.grams_of([w])[1])
+
+
+def test_a_toxic_passage_counts_at_every_offset(corpus):
+    docs, labels = corpus
+    model = toxicity.fit(labelled_sample(docs, labels, "toxic"))
+    clean = prose(random.Random(8), 300).split()
+    planted = [" ".join(clean[:at] + ["blockhead", "rotter"] + clean[at:]) for at in range(0, 300, 7)]
+    assert (model.scores(planted) > 0.7).all() and model.scores([" ".join(clean)])[0] < 0.5
+    one_by_one = [model.scores([t])[0] for t in planted]
+    assert one_by_one == model.scores(planted).tolist()
 
 
-@pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 56, 57, 1000])
-def test_windows_hold_every_word(n):
-    words = toxicity.WordInputs(toxicity.Lexicon({}, {}, {}))
-    text = [f"w{k}" for k in range(n)]
-    windows = words.windows(text)
-    assert {i for w in windows for i in w if i} == {words[w] for w in text}
-    assert len(windows) == max(1, -(-(n - toxicity.WINDOW) // toxicity.STRIDE) + 1)
+def test_the_sample_is_bounded_in_bytes(corpus):
+    docs, labels = corpus
+    whole = labelled_sample(docs, labels, "quality")
+    some = labelled_sample(docs, labels, "quality", size=20_000)
+    assert 0 < len(some) < len(whole) and set(some) <= set(whole)
+    assert all(sum(len(t.encode()) for t, y in some if y == label) <= 20_000 for label in (0, 1))
+
+
+def test_quality_features_and_score_by_hand():
+    import zstandard
+
+    rng = random.Random(1)
+    sample = [(prose(rng, 80), 1) if k % 2 else (" ".join(rng.choice(["$$$", "buy", "win!!"]) for _ in range(80)), 0) for k in range(80)]
+    model = quality.fit(sample)
+    score = model.scorer()
+    for text in ["", "river stone $$$ buy " * 300, prose(rng, 20)]:
+        data = text.encode()
+        sizes = []
+        for content in (model.good, model.bad):
+            words = zstandard.ZstdCompressionDict(content)
+            each = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(each.compress(data[i : i + quality.PIECE])) for i in range(0, len(data), quality.PIECE)))
+        g, b = sizes
+        x = ((b - g) / (b + g), np.log((b + g) / (2 * len(data)))) if data else (0.0, 0.0)
+        logit = x[0] * model.weights[0] + x[1] * model.weights[1] + model.weights[2]
+        assert score([text])[0] == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-9)
 
 
 @pytest.mark.parametrize("module", [quality, toxicity])
@@ -153,6 +255,38 @@ def test_language_mixture_is_the_likelihoods_maximum():
     assert shares[0] == pytest.approx(best, abs=0.01)
 
 
+def test_selected_languages_are_the_best_of_all_subsets():
+    from itertools import combinations
+
+    rng = np.random.default_rng(2)
+    chances = rng.dirichlet(np.full(60, 0.3), 4) * 0.99 + 0.01 / 60
+    for mix in ([1, 0, 0, 0], [0, 0.6, 0.4, 0], [0.4, 0, 0.3, 0.3], [0.25] * 4):
+        counts = rng.multinomial(3000, np.array(mix) @ chances).astype(float)
+        price = language.PENALTY * 0.5 * np.log(counts.sum())
+        reached = {}
+        for n in range(1, 5):
+            for some in combinations(range(4), n):
+                shares, likelihood = language.mixture(chances[list(some)], counts, np.full(n, 1 / n))
+                reached[some] = (likelihood - price * (n - 1), shares)
+        best = max(reached, key=lambda some: reached[some][0])
+        found = language.select_languages(chances, counts)
+        assert tuple(np.flatnonzero(found).tolist()) == best == tuple(np.flatnonzero(mix).tolist())
+        assert found[list(best)] == pytest.approx(reached[best][1], abs=0.01)
+
+
+def test_every_language_is_fitted(make_docs):
+    """250 languages, each with words of its own; the last one has the fewest rows."""
+    rng = random.Random(7)
+    words = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöüßéèñ") for _ in range(6)) for _ in range(8)] for k in range(250)}
+    rows = [(k * 10 + n, " ".join(rng.choices(words[lang], k=40)), lang, "s") for k, lang in enumerate(sorted(words)) for n in range(2 if k == 249 else 4)]
+    docs = make_docs(rows)
+    model = language.fit(docs)
+    kept = {r.lang for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    assert set(model.languages) == kept and len(kept) > 240
+    found = {r.doc_id: r.lang_pred for r in language.identify(docs, model).collect()}
+    assert all(found[d] == lang for d, _, lang, _ in rows if lang in kept)
+
+
 def test_language_of_odd_rows(languages, odd, none):
     model = language.fit(languages)
     found = language.identify(odd, model).collect()
