@@ -65,11 +65,16 @@ def _pack_shard(capacity: int, columns: list[str]):
     return pack
 
 
-def _piece_text(capacity: int) -> Column:
-    """The words of a piece and the blanks after each; the first piece has those before its first word too. All pieces in a row are the text."""
-    words, gaps = words_of(F.col("text")), F.split("text", WORD_RUN)
-    own = F.transform(F.slice(words, F.col("first_word").cast("int") + 1, F.col("n_words").cast("int")), lambda w, i: F.concat(w, F.get(gaps, (F.col("first_word") + i + 1).cast("int"))))
-    return F.when(F.col("words") <= capacity, F.coalesce("text", F.lit(""))).otherwise(F.concat(F.when(F.col("piece") == 0, F.get(gaps, F.lit(0))).otherwise(""), F.array_join(own, "")))
+def _piece_texts(words: Column, pieces: Column, capacity: int) -> Column:
+    """The text of every piece: its words and the blanks after each; the first piece has those before its first word too. In a row they are the text.
+
+    Words and blanks are bound to x, so that a text is split once for all its pieces.
+    """
+    split = F.array(F.struct(words.alias("words"), F.split("text", WORD_RUN).alias("gaps")))
+    part = lambda array, i, skip: F.slice(array, (i * capacity + 1 + skip).cast("int"), F.lit(capacity))
+    joined = lambda x, i: F.array_join(F.zip_with(part(x["words"], i, 0), part(x["gaps"], i, 1), lambda w, g: F.concat(w, F.coalesce(g, F.lit("")))), "")
+    each = F.transform(split, lambda x: F.transform(pieces, lambda i: F.concat(F.when(i == 0, F.get(x["gaps"], F.lit(0))).otherwise(""), joined(x, i))))
+    return F.when(F.size(pieces) == 1, F.array(F.coalesce("text", F.lit("")))).otherwise(F.get(each, F.lit(0)))
 
 
 def _dealt(pieces: DataFrame, shard: int, shards: int) -> DataFrame:
@@ -94,10 +99,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, texts: b
     words = words_of(F.col("text"))
     sized = docs.select("doc_id", "source", F.size(words).cast("long").alias("words"), F.when(F.size(words) > 0, copy_cluster(F.col("text"))).alias("cluster"), "text")
     last = F.greatest(F.expr(f"(words + {capacity - 1}) div {capacity}"), F.lit(1).cast("long"))
-    pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last - 1)))
-    pieces = pieces.withColumn("first_word", F.col("piece") * capacity).withColumn("n_words", F.least(F.col("words") - F.col("first_word"), F.lit(capacity).cast("long")))
+    numbers = F.sequence(F.lit(0).cast("long"), last - 1)
+    if texts:
+        pieces = sized.select("doc_id", "source", "words", "cluster", F.posexplode(_piece_texts(words, numbers, capacity)).alias("piece", "text"))
+    else:
+        pieces = sized.select("doc_id", "source", "words", "cluster", F.explode(numbers).alias("piece"))
+    pieces = pieces.withColumn("piece", F.col("piece").cast("long")).withColumn("first_word", F.col("piece") * capacity)
+    pieces = cut(pieces.withColumn("n_words", F.least(F.col("words") - F.col("first_word"), F.lit(capacity).cast("long"))).drop("words"))
     columns = ["doc_id", "piece", "first_word", "n_words", "source", "bin_id", "bin_offset"] + (["text"] if texts else [])
-    pieces = cut((pieces.withColumn("text", _piece_text(capacity)) if texts else pieces.drop("text")).drop("words"))
     shards = max(1, -(-pieces.count() // shard))
     kind = docs.schema["doc_id"].dataType.simpleString()
     pieces = pieces.withColumns({"doc_id": F.col("doc_id").cast("string"), "cluster": F.col("cluster").cast("string")})  # pandas would read numbers with nulls as floats
