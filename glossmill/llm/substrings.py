@@ -287,7 +287,7 @@ def shared_windows(keyed: DataFrame, shared: DataFrame) -> DataFrame:
     own = shared.filter("passage").withColumn("k", F.xxhash64("doc_id", "t"))
     kinds = cut(own.groupBy("h", "c").agg(F.min("k").alias("one"), F.max("k").alias("other"), F.bool_or("mixed").alias("mixed"), F.min(F.struct("doc_id", "t", "lo", "len")).alias("rep")))
     copied = kinds.filter("one <> other").select("h", "c")
-    whole = salted_semi(own, copied, ["h", "c"], F.struct("doc_id", "lo")).select("doc_id", "t", F.col("len").cast("long").alias("n"))
+    whole = salted_semi(own, copied, ["h", "c"], F.struct("doc_id", "lo")).select("doc_id", "t", "lo", F.col("len").cast("long").alias("n")).distinct().drop("lo")
     asked = kinds.filter("mixed").groupBy(F.struct("rep.doc_id", "rep.t").alias("_key")).agg(F.collect_list(F.struct("rep.lo", "rep.len", "one", "other")).alias("asked"))
     texts = keyed.withColumn("_key", F.struct("doc_id", "t")).join(cut(asked), "_key").dropDuplicates(["_key"])
     windows = cut(texts.select(F.xxhash64("doc_id", "t").alias("k"), "text", "asked").mapInPandas(_windows, "x long, k long, one long, other long"))
