@@ -201,6 +201,56 @@ def test_substrings(make_docs, crowd):
     assert found == dict(enumerate(removed(texts, substrings.MATCH)))
 
 
+def shared_windows(rows, width=51):
+    """For each (id, text), how many of its windows of words a row with another id or text has."""
+    has = {}
+    windows = [[tuple((t or "").encode().split()[k : k + width]) for k in range(len((t or "").encode().split()) - width + 1)] for _, t in rows]
+    for row, own in zip(rows, windows, strict=True):
+        for w in own:
+            has.setdefault(w, set()).add(row)
+    return [sum(len(has[w]) > 1 for w in own) for own in windows]
+
+
+def test_passages_across_many_files(spark, tmp_path):
+    """Passages of 51 to 120 words in documents of 32 input files; those of under 400 bytes are told by their words alone."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    planted = [text(n) for n in (50, 51, 51, 60, 70, 120)]
+    rows = []
+    for k in range(192):
+        body = text(rng.randrange(0, 150))
+        if k % 3 == 0:
+            body = f"{body}\n{planted[k // 3 % 6]}\t{text(rng.randrange(0, 80))}"
+        rows.append((k, body))
+    rows += [(500, text(40) + " " + planted[5] + " " + planted[5]), (501, rows[7][1]), (501, rows[7][1])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(32).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    assert docs.rdd.getNumPartitions() >= 8 and len(list((tmp_path / "docs").glob("*.parquet"))) == 32
+    found = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_shared_windows) for r in substrings.deduplicate(docs).collect())
+    expected = [(d, *x, n) for (d, _), x, n in zip(rows, removed([t for _, t in rows], substrings.MATCH), shared_windows(rows), strict=True)]
+    assert found == sorted(expected)
+    told = {r[0]: (r[2], r[5]) for r in found}
+    short = [k for k in range(3, 192, 18)]  # 51 words, under 400 bytes
+    assert all(told[k][1] > 0 for k in short) and any(told[k][0] == 0 for k in short)
+    assert sum(told[k][1] == 0 for k in range(0, 192, 18)) > 5  # 50 words, and by chance one more
+
+
+def test_common_prefixes():
+    rng = random.Random(5)
+    for _ in range(60):
+        data = bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 120)))
+        order = substrings.suffix_array(data, len(data) + 1)
+        depth = rng.choice([3, 8, 20, 400])
+        expected = []
+        for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
+            k = 0
+            while k < depth and max(a, b) + k < len(data) and data[a + k] == data[b + k]:
+                k += 1
+            expected.append(k)
+        assert substrings.common_prefixes(data, order, depth).tolist() == expected
+
+
 def test_substrings_of_odd_rows(odd, odd_rows, none):
     found = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.deduplicate(odd).collect()), key=repr)
     expected = removed([t for _, t, _, _ in odd_rows], substrings.MATCH)
@@ -261,5 +311,42 @@ def test_embeddings_equal_all_pairs(spark):
     assert found == sorted(expected, key=repr)
 
 
+def test_embeddings_of_several_tiles_at_the_default_sizes(spark):
+    """26,000 vectors of one label: four tiles of 16 blocks of 512; groups of tiles of two, so that blocks move between tasks."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(9000, 12))
+    x = centre[rng.integers(0, 9000, 26000)] + rng.normal(size=(26000, 12)) * rng.choice([0.05, 0.4], (26000, 1))
+    vectors = spark.createDataFrame([(k, v, 1) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    count, links = np.zeros(len(x), int), []
+    for at in range(0, len(x), 1000):
+        i, j = np.nonzero(unit[at : at + 1000] @ unit.T >= 0.93)
+        i += at
+        count += np.bincount(i[i != j], minlength=len(x))
+        links += [(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a < b]
+    root = union(range(len(x)), links)
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(vectors, square=2).collect()}
+    assert len(links) > 10_000 and found == {k: (int(count[k]), root[k]) for k in range(len(x))}
+
+
+def test_tiles_move_once_for_each_group_of_partners(spark):
+    pairs = spark.createDataFrame([("1", 4, i, j) for i in range(40) for j in range(i, 40)], "label string, dims int, i long, j long")
+    moved = embeddings.moves(pairs, 8)
+    times = [r["count"] for r in moved.groupBy("tile").count().collect()]
+    assert len(times) == 40 and max(times) <= 5
+    tasks = {(r.gi, r.gj) for r in moved.collect()}
+    assert tasks == {(a, b) for a in range(5) for b in range(a, 5)}
+
+
+def test_principal_directions(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 30)) * np.append(np.full(8, 6.0), np.full(22, 1.0))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    dims, directions = embeddings.principal(spark.createDataFrame([(v,) for v in x.tolist()], "embedding array<double>"))
+    assert dims == 30 and np.allclose(directions.T @ directions, np.eye(8), atol=1e-9)
+    best = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1][:8].sum()
+    assert np.trace(directions.T @ np.cov(x.T) @ directions) > 0.99 * best
+
+
 def test_no_embeddings(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0

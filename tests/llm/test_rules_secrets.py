@@ -1,8 +1,11 @@
 import hashlib
+import random
 import re
 from collections import Counter
+from math import log
 
 import pytest
+from pyspark.sql import functions as F
 
 from compare import DATA, of_duck, of_spark
 from glossmill.llm import queries, rules, secrets
@@ -40,6 +43,39 @@ def test_log_ratios_and_scores(spark, make_docs):
     assert set(rules.log_ratios(docs, spark.createDataFrame([], "_id long"))) == {0.0}
 
 
+def test_ratios_scores_and_verdicts_by_hand(spark, make_docs):
+    """All 32,768 ratios, and each document's score and verdict, from plain counts; only the hashes are Spark's."""
+    rng = random.Random(2)
+    vocabulary = [f"v{k}" for k in range(60)]
+    rows = [(k, " ".join(rng.choices(vocabulary[:40] if k % 2 else vocabulary[20:], k=rng.randrange(0, 60))), "en", "a") for k in range(60)] + [(60, None, "en", "a")]
+    trusted = set(range(1, 60, 4))
+    docs = make_docs(rows)
+    pairs = sorted({(a, b) for _, t, _, _ in rows for a, b in zip((t or "").split(), (t or "").split()[1:])})
+    one = {r.w: r.h for r in spark.createDataFrame([(w,) for w in vocabulary], "w string").selectExpr("w", "xxhash64(w) as h").collect()}
+    two = {(r.a, r.b): r.h for r in spark.createDataFrame(pairs, "a string, b string").selectExpr("a", "b", "xxhash64(xxhash64(a), xxhash64(b)) as h").collect()}
+
+    def grams(text):
+        words = (text or "").split()
+        return [one[w] % rules.BUCKETS for w in words] + [two[x] % rules.BUCKETS for x in zip(words, words[1:])]
+
+    raw, good = Counter(), Counter()
+    for d, t, _, _ in rows:
+        raw.update(grams(t))
+        if d in trusted:
+            good.update(grams(t))
+    n_raw, n_good = (sum(c.values()) + rules.BUCKETS * rules.SMOOTHING for c in (raw, good))
+    expected = [log((good[b] + rules.SMOOTHING) / n_good) - log((raw[b] + rules.SMOOTHING) / n_raw) for b in range(rules.BUCKETS)]
+    ratios = rules.log_ratios(docs, spark.createDataFrame([(d,) for d in trusted], "_id long"))
+    assert ratios == pytest.approx(expected, abs=1e-6)
+    for threshold in (-0.12, 0.05):
+        found = {r.doc_id: (r.score, r.kept) for r in rules.apply_rules(docs, ratios, threshold).collect()}
+        for d, t, _, _ in rows:
+            own = [expected[b] for b in grams(t)]
+            score = sum(own) / len(own) if own else 0.0
+            assert found[d][0] == pytest.approx(score, abs=1e-5)
+            assert found[d][1] == (not base_counts(t)[5] and found[d][0] >= threshold)
+
+
 def test_rules_without_rows(none):
     assert rules.apply_rules(none, [0.0] * rules.BUCKETS).count() == 0
 
@@ -94,6 +130,36 @@ def test_ledger_scans_only_unseen_pairs(make_docs, tmp_path, spark):
     assert {r.doc_id for r in joined} == {1, 2, 3}
 
 
+def scanned(path, spark):
+    return secrets.read_ledger(spark, path).count()
+
+
+def test_the_query_extends_its_ledger(spark, tmp_path):
+    """A first run scans every blob with every rule; a second one scans and appends nothing and gives the same rows."""
+    path = str(tmp_path / "ledger")
+    first = of_spark(secrets.op5_secrets(spark, DATA, path))
+    blobs = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("count(distinct coalesce(text, '')) as n").first().n
+    assert scanned(path, spark) == blobs * len(secrets.RULES)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", secrets.blob_of(F.col("text")).alias("blob"))
+    assert secrets.unseen(docs, secrets.read_ledger(spark, path)).count() == 0
+    assert of_spark(secrets.op5_secrets(spark, DATA, path)) == first == of_spark(secrets.op5_secrets(spark, DATA))
+    assert scanned(path, spark) == blobs * len(secrets.RULES)
+
+
+def test_findings_come_from_the_ledger(spark, make_docs, tmp_path):
+    """What the ledger says of a blob is told of all its paths, unread; double entries count once; compaction keeps each pair once."""
+    docs = make_docs([(1, LEAKS[0], "en", "a"), (2, LEAKS[0], "en", "b"), (3, "clean", "en", "b")])
+    path = str(tmp_path / "ledger")
+    blob = docs.filter("doc_id = 1").select(secrets.blob_of(F.col("text"))).first()[0]
+    said = [(blob, r.name, [(5, 9)] if r.kind == "hex" else []) for r in secrets.RULES]
+    spark.createDataFrame(said + said, secrets.LEDGER).write.parquet(path)
+    found = {r.doc_id: r.spans for r in secrets.digests(docs, path).collect()}
+    assert found == {1: "hex:5:9", 2: "hex:5:9", 3: ""}
+    assert scanned(path, spark) == 3 * len(secrets.RULES)
+    assert secrets.compact(spark, path, str(tmp_path / "compact")).count() == 2 * len(secrets.RULES)
+    assert {r.doc_id: r.spans for r in secrets.digests(docs, str(tmp_path / "compact")).collect()} == found
+
+
 def test_redaction(make_docs, odd, none):
     docs = make_docs([(1, LEAKS[2], "en", "a"), (2, "nothing here", "en", "a"), (3, None, "en", "a")])
     rows = {r.doc_id: r for r in secrets.redact(docs).collect()}
