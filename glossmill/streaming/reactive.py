@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 GAP = "30 minutes"
@@ -34,19 +34,24 @@ def stream_debounce(events: DataFrame, user: str, at: str, tie: str, value: str,
 
 
 def stream_distinct(events: DataFrame, user: str, at: str, tie: str, value: str) -> DataFrame:
-    """Streaming distinct_until_changed: the state of a user is the last value. Events of a micro-batch are put in order."""
+    """Streaming distinct_until_changed: the state of a user is the last value. Events of a micro-batch are put in order.
+
+    Null is a value of its own, as in the batch form.
+    """
     kinds = {f.name: f.dataType for f in events.schema}
     out = StructType([StructField(c, kinds[c]) for c in (user, at, tie, value)])
 
     def changed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches), ignore_index=True).sort_values([at, tie], ignore_index=True)
-        before = rows[value].shift()
-        new = rows[value] != before
-        new.iloc[0] = not state.exists or state.get[0] != rows[value].iloc[0]
-        state.update((rows[value].iloc[-1],))
+        null = rows[value].isna()
+        new = (rows[value] != rows[value].shift()) & ~(null & null.shift(fill_value=False))
+        first = None if null.iloc[0] else rows[value].iloc[0]
+        new.iloc[0] = not state.exists or state.get[0] != first
+        last = rows[value].iloc[-1]
+        state.update((None if null.iloc[-1] else getattr(last, "item", lambda: last)(),))
         yield rows.loc[new, [user, at, tie, value]]
 
-    return events.groupBy(user).applyInPandasWithState(changed, out, StructType([StructField("last", StringType())]), "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy(user).applyInPandasWithState(changed, out, StructType([StructField("last", kinds[value])]), "append", GroupStateTimeout.NoTimeout)
 
 
 def latest_queries(batch: DataFrame, user: str, at: str, tie: str, value: str) -> DataFrame:
