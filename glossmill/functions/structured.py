@@ -1,18 +1,40 @@
-"""Text from the nested JSON of dictionary archives. Depth is unbounded, which column expressions cannot follow."""
+"""Text from the nested JSON of dictionary archives, of any shape, which column expressions cannot follow.
+
+JSON that is nested deeper than DEEPEST levels counts as JSON that cannot be read.
+"""
 
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
+DEEPEST = 800
 INT_MIN, INT_MAX = -(1 << 31), (1 << 31) - 1
 
 
+def _depth(text: str) -> int:
+    """How deep the brackets outside of strings are nested."""
+    depth = deepest = 0
+    for c in _BRACKET.findall(text):
+        if c in "[{":
+            depth += 1
+            deepest = max(deepest, depth)
+        elif c in "]}":
+            depth -= 1
+    return deepest
+
+
+#: A bracket, or a whole string, in which none counts.
+_BRACKET = re.compile(r'[\[\]{}]|"(?:[^"\\]|\\.)*"', re.S)
+
+
 def parsed(text: str | None):
+    """The value of a JSON text; None for no text, for what is not JSON, and for what is nested too deep."""
     try:
-        return json.loads(text) if text is not None else None
+        return json.loads(text) if text is not None and _depth(text) <= DEEPEST else None
     except ValueError:
         return None
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,31 +14,42 @@ from pyspark.sql import functions as F
 from glossmill.functions import structured
 from glossmill.functions.text import nonblank
 
-MEMBER = "path string, ord int, member string, text string"
+MEMBER = "path string, ord int, member string, text string, error string"
 UNTITLED = "Unknown Dictionary"
 
 
 def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The JSON members; a member or archive that cannot be read is a row with an error for its text."""
+
+    def row(path: str, ord_: int, member: str | None, text: str | None, error: str | None = None) -> pd.DataFrame:
+        return pd.DataFrame({"path": [path], "ord": [ord_], "member": [member], "text": [text], "error": [error]})
+
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"], strict=True):
             try:
                 archive = zipfile.ZipFile(io.BytesIO(content))
-            except zipfile.BadZipFile:
+            except zipfile.BadZipFile as e:
+                yield row(path, -1, None, None, str(e))
                 continue
             for ord_, info in enumerate(archive.infolist()):
                 if not info.is_dir() and info.filename.endswith(".json"):
-                    text = archive.read(info).decode("utf-8", "replace")
-                    yield pd.DataFrame({"path": [path], "ord": [ord_], "member": [info.filename], "text": [text]})
+                    try:
+                        yield row(path, ord_, info.filename, archive.read(info).decode("utf-8", "replace"))
+                    except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, OSError) as e:  # damaged, unknown method, encrypted
+                        yield row(path, ord_, info.filename, None, str(e))
 
 
 def members(spark: SparkSession, path: str) -> DataFrame:
-    """(path, ord, member, text): the JSON members of every archive, one row each, so that a task holds one at a time."""
+    """(path, ord, member, text, error, kind): the JSON members of every archive, one row each, so that a task holds one at a time.
+
+    What cannot be read has no text but an error, and no kind, so that nothing is read from it.
+    """
     return unzipped(spark.read.format("binaryFile").load(path).select("path", "content"))
 
 
 def unzipped(files: DataFrame) -> DataFrame:
     """members() of files(path, content)."""
-    return files.mapInPandas(_unzip, MEMBER).withColumn("kind", member_kind(F.col("member")))
+    return files.mapInPandas(_unzip, MEMBER).withColumn("kind", F.when(F.col("error").isNull(), member_kind(F.col("member"))))
 
 
 def member_kind(member: Column) -> Column:
@@ -45,9 +57,9 @@ def member_kind(member: Column) -> Column:
 
 
 def index(rows: DataFrame) -> DataFrame:
-    """(path, title, version, revision, meta_only) of each archive; the last index counts."""
+    """(path, title, version, revision, meta_only) of each archive that can be opened; the last index counts."""
     last = F.max_by(F.when(F.col("kind") == "index", F.col("text")), F.when(F.col("kind") == "index", F.col("ord")))
-    found = rows.groupBy("path").agg(last.alias("text"), F.coalesce(F.bool_or(F.col("kind") == "meta"), F.lit(False)).alias("meta"), F.coalesce(F.bool_or(F.col("kind") == "terms"), F.lit(False)).alias("terms"))
+    found = rows.filter(F.col("member").isNotNull()).groupBy("path").agg(last.alias("text"), F.coalesce(F.bool_or(F.col("kind") == "meta"), F.lit(False)).alias("meta"), F.coalesce(F.bool_or(F.col("kind") == "terms"), F.lit(False)).alias("terms"))
     field = lambda name: F.get_json_object("text", f"$.{name}")
     return found.select("path", F.coalesce(field("title"), F.lit(UNTITLED)).alias("title"), F.coalesce(field("format"), field("version"), F.lit("3")).alias("version"), F.coalesce(field("revision"), F.lit("")).alias("revision"), (F.col("meta") & ~F.col("terms")).alias("meta_only"))
 
@@ -55,8 +67,8 @@ def index(rows: DataFrame) -> DataFrame:
 def _elements(rows: DataFrame, kind: str) -> DataFrame:
     """One row for each array element of the members of a kind, as variants; members that are not arrays give none."""
     parsed = rows.filter(F.col("kind") == kind).select("path", "ord", F.try_parse_json("text").alias("v")).filter(F.schema_of_variant("v").startswith("ARRAY"))
-    parsed.createOrReplaceTempView(f"_gloss_{kind}")
-    return rows.sparkSession.sql(f"select path, ord, e.pos, e.value as v from _gloss_{kind}, lateral variant_explode(v) as e").filter(F.schema_of_variant("v").startswith("ARRAY"))
+    elements = parsed.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer()).select("pos", F.col("value").alias("e")))
+    return elements.select("path", "ord", "pos", F.col("e").alias("v")).filter(F.schema_of_variant("v").startswith("ARRAY"))
 
 
 def _item(k: int) -> Column:
