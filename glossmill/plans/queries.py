@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import io
-import json
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +15,6 @@ from glossmill.operators import consolidate as merge
 from glossmill.operators import enrich, fulltext, search, stats, store
 from glossmill.plans import fixtures as fx
 from glossmill.plans import imports
-from glossmill.sources import archive
 from glossmill.sources.tables import shared_folder
 from glossmill.streaming import reactive
 
@@ -144,6 +140,20 @@ def consolidate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(merge.consolidate(rows))
 
 
+@query("consolidate_japanese", f"""with {E_}, {fx.JAPANESE_SQL}, ranked as (
+    select *, row_number() over (partition by case when trim(reading) <> '' then reading else expression end order by {RANK}, id)::int as rnk from japanese), {_merged_sql('ranked')},
+  extras as (select case when trim(reading) <> '' then reading else expression end as key, coalesce(arg_min(audio_file, rnk) filter (where audio_file <> ''), '') as audio_file,
+    coalesce(arg_min(example_sentence, rnk) filter (where trim(example_sentence) <> ''), '') as example_sentence,
+    coalesce(arg_min(example_sentence_translation, rnk) filter (where trim(example_sentence) <> ''), '') as example_sentence_translation from ranked group by key)
+  select merged.* exclude (ids), extras.* exclude (key) from merged join extras on key = reading""")
+def consolidate_japanese(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kana and kanji of one reading, blank readings, examples and audio files."""
+    rows = fx.japanese(spark, sf_dir)
+    rows = rows.withColumn("rnk", F.row_number().over(Window.partitionBy(merge.reading_key()).orderBy(*search.rank_keys(), "id")))
+    merged = merge.consolidate(rows)
+    return _flat(merged).join(merged.select(F.col("reading").alias("_key"), "audio_file", "example_sentence", "example_sentence_translation"), F.col("reading") == F.col("_key")).drop("_key")
+
+
 DETAIL_IDS = (3, 17, 42, 99)
 
 
@@ -195,11 +205,11 @@ def fts_ranked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Enrichment
 
-LOOKUP = "last as (select p_name as k, arg_max(p_size, p_partkey) as v, arg_max(concat(p_size % 4, ',0'), p_partkey) as w from part where p_size % 2 = 0 group by p_name)"
+LOOKUP = "last as (select p_name as k, arg_max(p_size, p_partkey) as v, arg_max(concat(p_size % 4, ',0'), p_partkey) as w from (select * replace (case when p_size % 2 = 0 then p_name else concat(p_name, '?') end as p_name) from part) group by p_name)"
 
 
 def _lookup(spark: SparkSession, sf_dir: str, value: str) -> DataFrame:
-    return enrich.last_by(fx.rank_lookup(spark, sf_dir).filter(F.col("rank") % 2 == 0), "expression", value, "pos")
+    return enrich.last_by(fx.rank_lookup(spark, sf_dir), "expression", value, "pos")
 
 
 @query("enrich_frequency", f"with {E_}, {LOOKUP} select id, coalesce(v, frequency)::int as frequency from entries left join last on k = expression")
@@ -311,12 +321,12 @@ def dictionary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.per_value(fx.entries(spark, sf_dir), "dictionary_name")
 
 
-@query("catalog_list", f"with {E_} select dictionary_name as name, count(*) as entry_count, min(id) as id, 0 as priority from entries group by all")
+@query("catalog_list", f"with {E_} select dictionary_name as name, count(*) as entry_count, min(id) as id, (min(id) % 3)::int as priority from entries group by all")
 def catalog_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog_ops.by_priority(fx.catalog(spark, sf_dir))
 
 
-@query("catalog_upsert", f"with {E_}, listed as (select dictionary_name as name, count(*) as entry_count, min(id) as id, 0 as priority from entries group by all) select * from listed where name <> 'Brand#11' union all select 'Brand#11', 7, 1000000, 1")
+@query("catalog_upsert", f"with {E_}, listed as (select dictionary_name as name, count(*) as entry_count, min(id) as id, (min(id) % 3)::int as priority from entries group by all) select * from listed where name <> 'Brand#11' union all select 'Brand#11', 7, 1000000, 1")
 def catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = spark.createDataFrame([("Brand#11", 7, 1_000_000, 1)], "name string, entry_count long, id long, priority int")
     return store.upsert(fx.catalog(spark, sf_dir), new, ["name"], ["id"])
@@ -533,67 +543,56 @@ def cards_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Nested JSON
 
-PAYLOADS = ("123", '"1,234"', '{"value":7}', '{"frequency":{"value":9}}', '{"reading":"x","frequency":5}', '{"displayValue":"33x"}', "[1]", "null")
-NESTED = (
-    '{"type":"structured-content","content":{"tag":"ul","content":[{"tag":"li","content":"a"},{"tag":"li","content":"b"}]}}',
-    '{"type":"structured-content","content":{"tag":"ruby","content":["食",{"tag":"rt","content":"た"}]}}',
-    '{"type":"image","path":"x"}',
-)
-ACCENTS = ('{"pitches":[{"position":2},{"position":0}]}', '{"pitches":[{"position":"HL"}]}', '{"pitches":[1]}')
-
-
-def _golden(name: str, values: tuple[str, ...], expected: tuple, function) -> None:
-    rows = ", ".join(f"({k}, {v if isinstance(v, int) else repr(v)})" for k, v in enumerate(expected))
-
-    @query(name, f"select n::int as n, parsed from (values {rows}) t(n, parsed)")
-    def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.createDataFrame(list(enumerate(values)), "n int, payload string").select("n", function("payload").alias("parsed"))
-
-
-_golden("parse_frequency", PAYLOADS, (123, 1234, 7, 9, 5, 33, 0, 0), structured.frequency)
-_golden("parse_pitch", ACCENTS, ("2,0", "", ""), structured.pitch)
-_golden("structured_text", NESTED, ("a; b", "食, た", '{"type":"image","path":"x"}'), structured.structured_text)
+@query("parse_frequency", """select p_partkey as id, (case when p_partkey % 9 in (0, 1, 2, 3, 4, 5) then p_size when p_partkey % 9 = 6 then 1000 + p_size else 0 end)::int as parsed from part""")
+def parse_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks as a number, a text, in objects of several kinds, with a thousands separator, and in no usable form."""
+    forms = ("%s", '"#%s"', '{"value":%s}', '{"frequency":{"value":%s}}', '{"reading":"x","frequency":"%s"}', '{"displayValue":"%s x"}', None, "[%s]", '{"value":{"n":%s}}')
+    size = F.col("p_size").cast("string")
+    payload = F.format_string('"1,%s"', F.lpad(size, 3, "0"))
+    for k, form in enumerate(forms):
+        if form:
+            payload = F.when(F.col("p_partkey") % len(forms) == k, F.format_string(form, size)).otherwise(payload)
+    return fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), structured.frequency(payload).alias("parsed"))
+
+
+@query("parse_pitch", """select p_partkey as id, case p_partkey % 4 when 0 then concat(p_size, ',0') when 1 then '3' else '' end as parsed from part""")
+def parse_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accents: two positions, a position beside one that is no number, an accent that is no object, and none at all."""
+    forms = ('{"pitches":[{"position":%s},{"position":0}]}', '{"pitches":[{"position":3},{"position":"H%s"}]}', '{"pitches":[%s]}', '{"pitch":[{"position":%s}]}')
+    payload = F.lit(None).cast("string")
+    for k, form in enumerate(forms):
+        payload = F.when(F.col("p_partkey") % len(forms) == k, F.format_string(form, F.col("p_size").cast("string"))).otherwise(payload)
+    return fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), structured.pitch(payload).alias("parsed"))
+
+
+@query("structured_text", """select p_partkey as id, case p_partkey % 4 when 0 then concat(p_type, '; ', p_brand) when 1 then concat(p_type, ', ', p_brand) when 2 then p_name else concat('{"type":"image","path":"', p_brand, '"}') end as parsed from part""")
+def structured_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists, ruby, deep nesting and an image."""
+    deep = '{"type":"structured-content","content":' + '{"tag":"div","content":[' * 40 + '"%s"' + "]}" * 40 + "}"
+    forms = (
+        ('{"type":"structured-content","content":{"tag":"ul","content":[{"tag":"li","content":"%s"},{"tag":"li","content":"%s"}]}}', ("p_type", "p_brand")),
+        ('{"type":"structured-content","content":{"tag":"ruby","content":["%s",{"tag":"rt","content":"%s"}]}}', ("p_type", "p_brand")),
+        (deep, ("p_name",)),
+        ('{"type":"image","path":"%s"}', ("p_brand",)),
+    )
+    payload = F.lit(None).cast("string")
+    for k, (form, columns) in enumerate(forms):
+        payload = F.when(F.col("p_partkey") % len(forms) == k, F.format_string(form, *columns)).otherwise(payload)
+    return fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), structured.structured_text(payload).alias("parsed"))
 
 
 # Archives
 
-BANK = (
-    ["食べる", "", "v1", "", 1, ["to eat", {"type": "text", "text": "to live on"}], 5, "P"],
-    ["ねこ", "", ["n", "P"], "", 1, "cat", None, ""],
-    ["short", "", "", "", 1],
-    [" ", "", "", "", 1, ["blank"]],
-    ["橋", "はし", "n", "", 1, [{"type": "structured-content", "content": [{"tag": "li", "content": "a"}, {"tag": "li", "content": "b"}]}], 7],
-)
-META = (["食べる", "freq", {"value": 7}], ["食べる", "freq", "1,234"], ["橋", "pitch", {"pitches": [{"position": 2}]}], ["ねこ", "freq", 0], ["ねこ", "other", 3])
-
-
-def sample_archive() -> bytes:
-    """A small archive with an index, a term bank that holds unusable rows, a broken bank, and a meta bank."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("index.json", json.dumps({"title": "Sample", "format": 3, "revision": "r1"}))
-        z.writestr("term_bank_1.json", json.dumps(BANK, ensure_ascii=False))
-        z.writestr("term_bank_2.json", "[broken")
-        z.writestr("term_meta_bank_1.json", json.dumps(META, ensure_ascii=False))
-        z.writestr("kanji_bank_1.json", "[]")
-    return out.getvalue()
-
-
-def _members(spark: SparkSession) -> DataFrame:
-    return archive.unzipped(spark.createDataFrame([("sample.zip", bytearray(sample_archive()))], "path string, content binary"))
-
 
-@query("import_entries", """select * from (values
-  (1::bigint, '食べる', '食べる', 'to eat|to live on', 1234, '', 'v1, P', 'Sample', 5), (2, 'ねこ', 'ねこ', 'cat', 0, '', 'n, P', 'Sample', 0), (3, '橋', 'はし', 'a; b', 0, '2', 'n', 'Sample', 7))
-  t(id, expression, reading, definitions, frequency, pitch_accent, parts_of_speech, dictionary_name, sequence_number)""")
+@query("import_entries", f"with {fx.ARCHIVE_SQL} select * from imported")
 def import_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries, _ = imports.import_archives(_members(spark))
+    entries, _ = imports.import_archives(fx.archive_members(spark, sf_dir))
     return entries.select("id", "expression", "reading", F.array_join("definitions", "|").alias("definitions"), "frequency", "pitch_accent", "parts_of_speech", "dictionary_name", "sequence_number")
 
 
-@query("import_catalog", "select 'Sample' as name, '3' as version, 'r1' as revision, 3::bigint as entry_count, true as enabled, 0 as priority")
+@query("import_catalog", f"with {fx.ARCHIVE_SQL} select p_brand as name, '3' as version, 'r1' as revision, coalesce(n, 0)::bigint as entry_count, true as enabled, 0 as priority from (select distinct p_brand from part) left join (select dictionary_name as d, count(*) as n from imported group by d) on d = p_brand")
 def import_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return imports.import_archives(_members(spark))[1]
+    return imports.import_archives(fx.archive_members(spark, sf_dir))[1]
 
 
 # Search input

@@ -21,3 +21,12 @@ def test_works_without_the_training_operators(tmp_path):
     subprocess.run(["rm", "-rf", str(tmp_path / "glossmill/llm")], check=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_works_where_only_caches_of_the_training_operators_are_left(tmp_path):
+    for name in ("glossmill", "__spark_entry__.py"):
+        subprocess.run(["cp", "-r", str(ROOT / name), str(tmp_path)], check=True)
+    subprocess.run(["rm", "-rf", str(tmp_path / "glossmill/llm")], check=True)
+    (tmp_path / "glossmill/llm/__pycache__").mkdir(parents=True)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 70 and not any(n.startswith('op') for n in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})

@@ -1,13 +1,16 @@
+import io
+import zipfile
 from datetime import datetime
 
 import pytest
+from archives import sample_archive
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from glossmill.functions import structured
 from glossmill.operators import cards, catalog, consolidate, enrich, fulltext, search, stats, store
 from glossmill.plans import imports
-from glossmill.plans.queries import sample_archive
 from glossmill.sources import archive, tables
 from glossmill.streaming import reactive
 
@@ -150,3 +153,54 @@ def test_settled_drops_what_was_stored_on_the_way(spark):
     assert sorted(r.id for r in df.collect()) == [0, 1, 2]
     kept = tables.stored(spark.range(2))
     assert exists(kept[1])
+
+
+def test_imported_rows_of_the_sample(spark):
+    entries, catalog = imports.import_archives(archive.unzipped(spark.createDataFrame([("sample.zip", bytearray(sample_archive()))], "path string, content binary")))
+    found = [(r.id, r.expression, r.reading, r.definitions, r.frequency, r.pitch_accent, r.parts_of_speech, r.sequence_number) for r in entries.orderBy("id").collect()]
+    assert found == [(1, "食べる", "食べる", ["to eat", "to live on"], 1234, "", "v1, P", 5), (2, "ねこ", "ねこ", ["cat"], 0, "", "n, P", 0), (3, "橋", "はし", ["a; b"], 0, "2", "n", 7)]
+    assert [(r.name, r.version, r.revision, r.entry_count) for r in catalog.collect()] == [("Sample", "3", "r1", 3)]
+
+
+def test_damaged_members_are_told_and_skipped(spark):
+    """A member whose bytes are damaged, one with a wrong checksum, and a file that is no archive."""
+    whole = sample_archive()
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(whole)) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as again:
+        for name in z.namelist():
+            again.writestr(name, z.read(name) if name != "term_bank_2.json" else b"[1,2,3]" * 500)
+    broken = bytearray(out.getvalue())
+    with zipfile.ZipFile(io.BytesIO(broken)) as z:
+        info = z.getinfo("term_bank_2.json")
+        at = info.header_offset + 30 + len(info.filename)
+    broken[at : at + info.compress_size] = bytes([0xFF]) * info.compress_size
+    files = [("a.zip", bytearray(whole)), ("b.zip", broken), ("c.zip", bytearray(b"no archive"))]
+    members = archive.unzipped(spark.createDataFrame(files, "path string, content binary"))
+    told = {(r.path, r.member) for r in members.collect() if r.error is not None}
+    assert told == {("b.zip", "term_bank_2.json"), ("c.zip", None)}
+    entries, catalog = imports.import_archives(members)
+    assert entries.count() == 6 and catalog.count() == 1
+
+
+def test_json_that_is_nested_too_deep_is_not_read(spark):
+    nested = lambda n: '{"type":"structured-content","content":' + '{"content":[' * n + '"x"' + "]}" * n + "}"
+    rows = spark.createDataFrame([(k, nested(n)) for k, n in enumerate((100, 5000, 200_000))] + [(3, '"]]]]" not json')], "id int, x string")
+    found = rows.select("id", structured.structured_text("x").alias("text"), structured.frequency("x").alias("rank"), structured.pitch("x").alias("pitch")).orderBy("id").collect()
+    assert [r.text for r in found][0] == "x" and [r.rank for r in found] == [0] * 4 and all(r.pitch == "" for r in found)
+    deep = spark.createDataFrame([("d.zip", 0, "term_bank_1.json", '[["a","b","","",1,' + "[" * 5000 + "]" * 5000 + ']]', None), ("d.zip", 1, "term_bank_2.json", '[["c","d","","",1,["e"]]]', None)], "path string, ord int, member string, text string, error string")
+    entries, _ = imports.import_archives(deep.withColumn("kind", archive.member_kind(F.col("member"))))
+    assert [r.expression for r in entries.collect()] == ["c"]
+
+
+def test_streamed_values_with_nulls_change_as_in_the_batch_form(spark, tmp_path):
+    values = [None, None, "a", "a", None, None, "b"]
+    for kind, of in (("string", lambda v: v), ("long", lambda v: None if v is None else ord(v)), ("double", lambda v: None if v is None else ord(v) / 2)):
+        root = tmp_path / kind
+        events = [(1, datetime(2024, 1, 1, 0, 0, k), k, of(v)) for k, v in enumerate(values)]
+        schema = f"user long, ts timestamp, id long, value {kind}"
+        for k, part in enumerate((events[:1], events[1:5], events[5:])):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(root / "in"))
+            stream = spark.readStream.schema(schema).parquet(str(root / "in"))
+            path = reactive.run_available(reactive.stream_distinct(stream, "user", "ts", "id", "value"), str(root / "run"))
+        batch = reactive.distinct_until_changed(spark.read.schema(schema).parquet(str(root / "in")), "user", "ts", "id", "value")
+        assert sorted(r.id for r in spark.read.parquet(path).collect()) == sorted(r.id for r in batch.collect()) == [0, 2, 4, 6]
