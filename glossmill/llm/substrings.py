@@ -45,6 +45,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 _BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
+#: 1 for the bytes of words, 0 for the six blanks.
+_IN_WORD = np.array([c not in b" \t\n\x0b\x0c\r" for c in range(256)], np.int8)
 
 
 @lru_cache(4)
@@ -78,26 +80,29 @@ def _anchored(hashes: np.ndarray, span: int, count: int) -> tuple[np.ndarray, np
     return hashes[anchor[starts]], starts, np.diff(np.append(starts, count))
 
 
-def contexts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def contexts(data: bytes, rolled: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor hash, first byte and length of each context; every string of MATCH bytes is in just one of them."""
     n = len(data)
     if n < MATCH:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    sums, down = _rolling(_BYTES[np.frombuffer(data, np.uint8)])
+    sums, down = rolled or _rolling(_BYTES[np.frombuffer(data, np.uint8)])
     hashes = _mixed((sums[GRAM:] - sums[: n + 1 - GRAM]) * down[: n + 1 - GRAM])
     h, starts, times = _anchored(hashes, SPAN, n - MATCH + 1)
     return h, starts, times + MATCH - 1
 
 
-def passage_windows(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def passage_windows(data: bytes, rolled: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums and factors over the hashes of a text's words, and so of its windows."""
-    words = data.split()
-    return _rolling(_mixed(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))))
+    codes = np.frombuffer(data, np.uint8)
+    sums, down = rolled or _rolling(_BYTES[codes])
+    edges = np.flatnonzero(np.diff(_IN_WORD[codes], prepend=np.int8(0), append=np.int8(0)))
+    starts, ends = edges[::2], edges[1::2]
+    return _rolling(_mixed((sums[ends] - sums[starts]) * down[starts]))
 
 
-def word_contexts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_contexts(data: bytes, rolled: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor hash, digest, first window and number of windows of PASSAGE words for each context of words."""
-    sums, down = passage_windows(data)
+    sums, down = passage_windows(data, rolled)
     n = len(sums) - 1
     if n < PASSAGE:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -107,25 +112,32 @@ def word_contexts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Contexts of bytes, with a digest of each, and of words (`passage`), where lo and len count windows."""
+    """Contexts of bytes, with a digest of each, and of words (`passage`), where lo and len count windows and t is the document's key."""
     digest = xxhash.xxh3_64_intdigest
+
+    def told() -> pd.DataFrame:
+        names = ("passage", "h", "c", "doc_id", "t", "lo", "len")
+        return pd.DataFrame({n: np.concatenate(x) for n, x in zip(names, zip(*parts, strict=True), strict=True)})
+
     for batch in batches:
         size, parts = 0, []
-        for doc_id, t, text in zip(batch["doc_id"], batch["t"], batch["text"], strict=True):
+        for doc_id, t, key, text in zip(batch["doc_id"], batch["t"], batch["k"], batch["text"], strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
-            h, lo, length = contexts(data)
-            own = np.array([digest(data[s : s + k]) for s, k in zip(lo.tolist(), length.tolist(), strict=True)], dtype=np.uint64)
-            words = word_contexts(data)
-            if len(h) or len(words[0]):
-                passage = np.repeat([False, True], [len(h), len(words[0])])
-                h, own, lo, length = (np.concatenate(x) for x in zip((h, own, lo, length), words, strict=True))
-                parts.append(pd.DataFrame({"passage": passage, "h": h.view(np.int64), "c": own.view(np.int64), "doc_id": doc_id, "t": t, "lo": lo, "len": length}))
-                size += len(h)
+            rolled = _rolling(_BYTES[np.frombuffer(data, np.uint8)])
+            h, lo, length = contexts(data, rolled)
+            if len(h):
+                own = np.array([digest(data[s : s + k]) for s, k in zip(lo.tolist(), length.tolist(), strict=True)], dtype=np.uint64)
+                parts.append((np.zeros(len(h), bool), h.view(np.int64), own.view(np.int64), np.full(len(h), doc_id, object), np.full(len(h), t, np.int64), lo, length))
+            size += len(h)
+            h, own, lo, length = word_contexts(data, rolled)
+            if len(h):
+                parts.append((np.ones(len(h), bool), h.view(np.int64), own.view(np.int64), np.full(len(h), None, object), np.full(len(h), key, np.int64), lo, length))
+            size += len(h)
             if size >= 100_000:
-                yield pd.concat(parts, ignore_index=True)
+                yield told()
                 size, parts = 0, []
         if parts:
-            yield pd.concat(parts, ignore_index=True)
+            yield told()
 
 
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,11 +146,13 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = []
         for k, text, asked in zip(batch["k"], batch["text"], batch["asked"], strict=True):
             sums, down = passage_windows(text.encode("utf-8", "surrogatepass"))
-            for x in asked:
-                at = np.arange(x["lo"], x["lo"] + x["len"])
-                parts.append(pd.DataFrame({"x": _mixed((sums[at + PASSAGE] - sums[at]) * down[at]).view(np.int64), "k": k, "one": x["one"], "other": x["other"]}))
+            at, other = (np.array([x[name] for x in asked], np.int64) for name in ("at", "other"))
+            times = at & 63
+            places = np.arange(times.sum()) + np.repeat((at >> 6) - np.cumsum(times) + times, times)
+            x = _mixed((sums[places + PASSAGE] - sums[places]) * down[places]).view(np.int64)
+            parts.append((x, np.full(len(x), k, np.int64), np.repeat(other, times)))
         if parts:
-            yield pd.concat(parts, ignore_index=True)
+            yield pd.DataFrame({n: np.concatenate(x) for n, x in zip(("x", "one", "other"), zip(*parts, strict=True), strict=True)})
 
 
 def suffix_array(data: bytes, depth: int) -> np.ndarray:
@@ -267,11 +281,13 @@ def _remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def anchored(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """keyed(doc_id, t, text) documents, and (passage, h, c, doc_id, t, lo, len), their contexts with anchors that occur more than once, with `mixed`.
+    """keyed(doc_id, t, k, text) documents, and (passage, h, c, doc_id, t, lo, len), their contexts with anchors that occur more than once, with `mixed`.
 
-    t is a hash of the text, so that documents with one id but several texts are told apart. Ids are texts here.
+    t is a hash of the text, so that documents with one id but several texts are told apart; k is a hash of both. Ids are texts
+    here. Contexts of words carry k alone, as t.
     """
     keyed = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    keyed = keyed.withColumn("k", F.xxhash64("doc_id", "t"))
     long = F.octet_length("text") >= 2 * PASSAGE - 1
     anchors = cut(keyed.filter(long).mapInPandas(_anchors, "passage boolean, h long, c long, doc_id string, t long, lo int, len int"))
     common = anchors.groupBy("passage", "h").agg(F.count(F.lit(1)).alias("all"), F.min("c").alias("one"), F.max("c").alias("other")).filter(F.col("all") > 1)
@@ -279,23 +295,21 @@ def anchored(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def shared_windows(keyed: DataFrame, shared: DataFrame) -> DataFrame:
-    """(doc_id, t, n_shared_windows): how many windows of PASSAGE words of a document another document has too.
+    """(k, n_shared_windows): how many windows of PASSAGE words of a document another document has too.
 
     A context that two documents have is shared as a whole. Of the others, those with an anchor in common are compared window
     by window, one document of each kind of context for all. Rows with the same id and text are one document.
     """
-    own = shared.filter("passage").withColumn("k", F.xxhash64("doc_id", "t"))
-    kinds = cut(own.groupBy("h", "c").agg(F.min("k").alias("one"), F.max("k").alias("other"), F.bool_or("mixed").alias("mixed"), F.min(F.struct("doc_id", "t", "lo", "len")).alias("rep")))
+    own = shared.filter("passage").select("h", "c", F.col("t").alias("k"), (F.col("lo").cast("long") * 64 + F.col("len")).alias("at"), "mixed")
+    kinds = cut(own.groupBy("h", "c").agg(F.min("k").alias("one"), F.max("k").alias("other"), F.max("mixed").alias("mixed"), F.min_by("at", "k").alias("at")))
     copied = kinds.filter("one <> other").select("h", "c")
-    whole = salted_semi(own, copied, ["h", "c"], F.struct("doc_id", "lo")).select("doc_id", "t", "lo", F.col("len").cast("long").alias("n")).distinct().drop("lo")
-    asked = kinds.filter("mixed").groupBy(F.struct("rep.doc_id", "rep.t").alias("_key")).agg(F.collect_list(F.struct("rep.lo", "rep.len", "one", "other")).alias("asked"))
-    texts = keyed.withColumn("_key", F.struct("doc_id", "t")).join(cut(asked), "_key").dropDuplicates(["_key"])
-    windows = cut(texts.select(F.xxhash64("doc_id", "t").alias("k"), "text", "asked").mapInPandas(_windows, "x long, k long, one long, other long"))
-    again = cut(windows.groupBy("x").agg(F.min("one").alias("one"), F.max("other").alias("other")).filter("one <> other").select("x"))
-    single = salted_semi(windows.filter("one = other"), again, ["x"], F.col("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    keys = kinds.filter("mixed and one = other").select(F.col("one").alias("_k"), "rep.doc_id", "rep.t").distinct()
-    single = cut(single).join(keys, F.col("k") == F.col("_k")).select("doc_id", "t", "n")
-    return whole.union(single).groupBy("doc_id", "t").agg(F.sum("n").alias("n_shared_windows"))
+    whole = salted_semi(own.select("h", "c", "k", "at"), copied, ["h", "c"], F.struct("k", "at")).select("k", "at").distinct().select("k", F.col("at").bitwiseAND(F.lit(63).cast("long")).alias("n"))
+    asked = cut(kinds.filter("mixed").groupBy(F.col("one").alias("_k")).agg(F.collect_list(F.struct("at", "other")).alias("asked")))
+    texts = keyed.join(asked, F.col("k") == F.col("_k")).dropDuplicates(["k"]).select("k", "text", "asked")
+    windows = cut(texts.mapInPandas(_windows, "x long, one long, other long"))
+    again = cut(windows.groupBy("x").agg(F.min("one").alias("least"), F.max("other").alias("most")).filter("least <> most").select("x"))
+    single = salted_semi(windows.filter("one = other"), again, ["x"], F.col("one")).select(F.col("one").alias("k"), F.lit(1).cast("long").alias("n"))
+    return whole.union(single).groupBy("k").agg(F.sum("n").alias("n_shared_windows"))
 
 
 def repeated_spans(keyed: DataFrame, contexts_: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
@@ -337,12 +351,13 @@ def deduplicate(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     spans, texts = repeated_spans(keyed, contexts_, crowd)
     joined = texts.withColumn("_key", F.struct("doc_id", "t")).join(cut(spans.select(F.struct("doc_id", "t").alias("_key"), "spans")), "_key").drop("_key")
     removed = joined.mapInPandas(_remove, "doc_id string, t long, n_removed long, n_spans long, kept string, spans array<struct<s:int,e:int>>").select(F.struct("doc_id", "t").alias("_key"), "n_removed", "n_spans", "kept", "spans")
-    windows = shared_windows(keyed, contexts_).select(F.struct("doc_id", "t").alias("_key"), "n_shared_windows")
-    told = cut(cut(removed).join(cut(windows), "_key", "full"))
+    windows = shared_windows(keyed, contexts_)
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"), F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("t")).alias("_key"))
+    id_, t = F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("t")
+    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"), F.struct(id_, t).alias("_key"), F.xxhash64(id_, t).alias("k"))
     none = F.lit(0).cast("long")
-    return rows.join(told, "_key", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"), "spans", F.coalesce("n_shared_windows", none).alias("n_shared_windows"))
+    joined = rows.join(cut(removed), "_key", "left").join(cut(windows), "k", "left")
+    return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"), "spans", F.coalesce("n_shared_windows", none).alias("n_shared_windows"))
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
