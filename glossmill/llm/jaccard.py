@@ -1,4 +1,9 @@
-"""Near-duplicates by the Jaccard similarity of their shingle sets, exact: a prefix-filtered join, verified."""
+"""Near-duplicates by the Jaccard similarity of their shingle sets.
+
+SimHash finds most of them first, by fingerprints of the same shingles. A prefix-filtered join then finds what fingerprints
+miss: in a few rounds each set is held against the leaders of its shingles, then every pair of different groups that may be
+similar enough; all are verified with the whole sets.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +12,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossmill.llm import simhash
 from glossmill.llm.common import cut, drop_table, stored
 from glossmill.llm.components import components
 
@@ -21,6 +27,8 @@ SEED = 42
 #: the number of candidates only: the prefixes of any one order lose no pair.
 CHUNK = 1 << 21
 HOT = 1 << 18
+#: Rounds in which sets are held against leaders only, before all pairs that are left.
+LED = 3
 
 _hash = xxhash.xxh64_intdigest
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -77,17 +85,18 @@ def hot_shingles(docs: DataFrame, most: int = HOT) -> tuple[np.ndarray, np.ndarr
 def _prefixes(hot: np.ndarray, counts: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps, sizes, heads = [], [], []
+            fps, sims, sizes, heads = [], [], [], []
             for text in batch["text"]:
                 found = shingles(text)
                 fps.append(_hash(found.tobytes(), SEED))
+                sims.append(simhash.fingerprint(text, SHINGLE))
                 sizes.append(len(found))
                 rank = np.zeros(len(found), np.int64)
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, found), len(hot) - 1)
                     rank = np.where(hot[at] == found, counts[at], 0)
                 heads.append(found[np.lexsort((found, rank))[: len(found) - needed(len(found)) + 1]])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "fp": np.array(fps, np.uint64).view(np.int64), "size": sizes, "head": heads})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "fp": np.array(fps, np.uint64).view(np.int64), "sim": np.array(sims, np.int64), "size": sizes, "head": heads})
 
     return prefixes
 
@@ -97,43 +106,92 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"fp": batch["fp"], "set": [shingles(t) for t in batch["text"]]})
 
 
-def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(a, b): fps of distinct(fp, text_hash, size, head), sets of docs, that are similar.
+def by_fingerprint(distinct: DataFrame) -> DataFrame:
+    """(fp, root) for the sets of distinct(fp, sim) that SimHash links to others: the smallest fp of their group."""
+    near = cut(components(simhash.links(distinct.select(F.col("sim").alias("fp")).distinct())))
+    grouped = distinct.join(near, F.col("sim") == F.col("node"), "left").select("fp", F.coalesce("root", "sim").alias("group"))
+    least = cut(grouped.groupBy("group").agg(F.min("fp").alias("root"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("group", "root"))
+    return cut(grouped.join(least, "group").select("fp", "root"))
+
+
+def postings(distinct: DataFrame) -> DataFrame:
+    """(h, fp, size): the sets whose prefixes hold a shingle that another prefix holds too."""
+    heads = distinct.select("fp", "size", F.explode("head").alias("h"))
+    common = cut(heads.groupBy(F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    return cut(heads.join(common, F.col("h") == F.col("_h")).select("h", "fp", "size"))
+
+
+def _rooted(heads: DataFrame, grouped: DataFrame) -> DataFrame:
+    return heads.join(grouped.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp"), "left").withColumn("root", F.coalesce("root", "fp")).drop("_fp")
+
+
+def _sizes_allow() -> Column:
+    top, of = SIMILAR
+    return (F.col("m") * of >= F.col("n") * top) & (F.col("n") * of >= F.col("m") * top)
+
+
+def led_pairs(heads: DataFrame, grouped: DataFrame, nth: int) -> DataFrame:
+    """(a, b): each set with the leaders of its prefix's shingles, chosen by the nth hash, that are not of its group of grouped(fp, root).
+
+    There are at most as many as postings, however large the groups of near copies are.
+    """
+    rooted = cut(_rooted(heads, grouped))
+    order = F.xxhash64(F.lit(nth), "fp")
+    leaders = rooted.groupBy(F.col("h").alias("_h")).agg(*[F.min_by(c, order).alias(x) for c, x in (("fp", "a"), ("size", "m"), ("root", "ra"))])
+    met = rooted.join(leaders, F.col("h") == F.col("_h")).select("a", F.col("fp").alias("b"), "m", F.col("size").alias("n"), "ra", F.col("root").alias("rb"))
+    return met.filter((F.col("ra") != F.col("rb")) & _sizes_allow()).select("a", "b").distinct()
+
+
+def all_pairs(heads: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(a, b): all sets with a common shingle in their prefixes that may be similar and are not of one group of grouped(fp, root).
 
     Two similar sets share a shingle of their prefixes: each prefix leaves out fewer shingles than the sets must share. All
-    that they share beyond both prefixes lies beyond the prefix that ends first, so at most what that one leaves out. Pairs
-    that can reach the similarity with it, and with their sizes, are verified with the whole sets.
+    that they share beyond both prefixes lies beyond the prefix that ends first, so at most what that one leaves out.
     """
     top, of = SIMILAR
-    heads = distinct.select("fp", "size", F.explode("head").alias("h"))
-    left, right = heads.select("h", F.col("fp").alias("a"), F.col("size").alias("m")), heads.select("h", F.col("fp").alias("b"), F.col("size").alias("n"))
-    sizes_allow = (F.col("m") * of >= F.col("n") * top) & (F.col("n") * of >= F.col("m") * top)
-    shared = left.join(right, "h").filter((F.col("a") < F.col("b")) & sizes_allow).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("m").alias("m"), F.first("n").alias("n"))
+    rooted = cut(_rooted(heads, grouped))
+    left, right = (rooted.select(F.col("h").alias(f"h_{a}"), F.col("fp").alias(a), F.col("size").alias(n), F.col("root").alias(r)) for a, n, r in (("a", "m", "ra"), ("b", "n", "rb")))
+    met = left.join(right, (F.col("h_a") == F.col("h_b")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _sizes_allow())
+    shared = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("m").alias("m"), F.min("n").alias("n"))
     beyond = F.expr(f"(greatest(m, n) * {top} + {of - 1}) div {of} - 1")
-    pairs = cut(shared.filter((F.col("c") + beyond) * (top + of) >= (F.col("m") + F.col("n")) * top).select("a", "b"))
+    return shared.filter((F.col("c") + beyond) * (top + of) >= (F.col("m") + F.col("n")) * top).select("a", "b")
+
+
+def verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs(a, b) of fps that are similar enough, by their whole sets."""
+    top, of = SIMILAR
     met = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
     keys = cut(distinct.select("fp", F.col("text_hash").alias("_hash")).join(met, "fp", "left_semi"))
     texts = docs.select("text", F.xxhash64("text").alias("text_hash"))
-    texts = texts.join(keys, F.col("text_hash") == F.col("_hash")).groupBy("fp").agg(F.first("text").alias("text"))
+    texts = texts.join(keys, F.col("text_hash") == F.col("_hash")).dropDuplicates(["fp"]).select("fp", "text")
     sets = cut(texts.mapInPandas(_sets, "fp long, set array<long>"))
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y"))
-    return both.filter(same * of >= (F.size("x") + F.size("y") - same) * top).select("a", "b")
+    return cut(both.filter(same * of >= (F.size("x") + F.size("y") - same) * top).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, fp, root), one row per input row.
 
     fp stands for the set of shingles, so copies are one fp and are never paired; null, empty and blank texts have the
-    empty set, and so do equal rows. root is the smallest fp that links reach. An empty table gives no rows.
+    empty set, and so do equal rows. root is the smallest fp that links reach: those of SimHash, at its distance, and those of
+    all other pairs that are similar enough. An empty table gives no rows.
     """
     hashed = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = hashed.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would read numbers with nulls as floats
-    heads, all_heads = stored(texts.mapInPandas(_prefixes(*hot_shingles(docs)), "doc_id string, text_hash long, fp long, size long, head array<long>"))
+    heads, all_heads = stored(texts.mapInPandas(_prefixes(*hot_shingles(docs)), "doc_id string, text_hash long, fp long, sim long, size long, head array<long>"))
     rows = cut(heads.select(F.col("doc_id").cast(kind).alias("doc_id"), "text_hash", "fp"))
-    distinct, of_sets = stored(heads.filter("size > 0").groupBy("fp").agg(F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("head").alias("head")))
+    distinct, of_sets = stored(heads.filter("size > 0").groupBy("fp").agg(F.min("text_hash").alias("text_hash"), F.min("sim").alias("sim"), F.min("size").alias("size"), F.first("head").alias("head")))
     drop_table(docs.sparkSession, all_heads)
-    roots = cut(components(links(docs, distinct)))
+    heads, grouped = postings(distinct), by_fingerprint(distinct)
+    for nth in range(LED + 1):
+        pairs = cut(led_pairs(heads, grouped, nth) if nth < LED else all_pairs(heads, grouped))
+        if not pairs.head(1):
+            continue
+        found = verified(docs, distinct, pairs)
+        if found.head(1):
+            grouped = cut(components(found.union(grouped.select("fp", "root"))).select(F.col("node").alias("fp"), "root"))
+    roots = grouped.withColumnRenamed("fp", "node")
     drop_table(docs.sparkSession, of_sets)
     return rows.join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "text_hash", "fp", F.coalesce("root", "fp").alias("root"))
