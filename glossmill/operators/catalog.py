@@ -26,6 +26,11 @@ def by_priority(catalog: DataFrame) -> DataFrame:
     return catalog.orderBy(F.desc("priority"), "id")
 
 
+def by_name(catalog: DataFrame, name: str) -> DataFrame:
+    """The dictionary of that name, the first by id if there are several."""
+    return catalog.filter(F.col("name") == name).orderBy("id").limit(1)
+
+
 def squeezed(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[ _-]", "")
 
@@ -49,4 +54,4 @@ def installed_simple(items: DataFrame, there: DataFrame) -> DataFrame:
     return items.join(names, F.col("_have").contains(F.replace(F.col("id"), F.lit("_"), F.lit(" "))) | _within(F.col("_have"), F.lower("name")), "left_semi")
 
 
-__all__ = ["KNOWN", "by_priority", "installed", "installed_simple", "known", "squeezed"]
+__all__ = ["KNOWN", "by_name", "by_priority", "installed", "installed_simple", "known", "squeezed"]

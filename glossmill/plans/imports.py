@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.operators import enrich, store
+from glossmill.operators import enrich, fulltext, store
 from glossmill.sources import archive
 from glossmill.sources.tables import cut
 
 ORDER = ["path", "ord", "pos"]
 
 
-def import_archives(members: DataFrame, entries: DataFrame | None = None, catalog: DataFrame | None = None, append: bool = False) -> tuple[DataFrame, DataFrame]:
+def import_archives(members: DataFrame, entries: DataFrame | None = None, catalog: DataFrame | None = None, append: bool = False, null_as_text: bool = False) -> tuple[DataFrame, DataFrame]:
     """(entries, catalog) with the archives of members() added.
 
     Dictionaries of the same names are replaced; with `append` their entries stay beside the new ones, and only the catalog
-    row is replaced. Ranks and accents of the archives go to all entries, those that were there before too. New ids follow
+    row is replaced. With `null_as_text` a JSON null for tags is the text "null". Ranks and accents of the archives go to all entries, those that were there before too. New ids follow
     the largest one there is, in the order of files, members and elements.
     """
     members = cut(members)
-    terms = cut(archive.terms(members))
+    terms = cut(archive.terms(members, null_as_text))
     meta = cut(archive.meta(members))
     listed = archive.index(members)
     first = 1 if entries is None else (entries.agg(F.max("id")).first()[0] or 0) + 1
@@ -38,3 +38,32 @@ def import_archives(members: DataFrame, entries: DataFrame | None = None, catalo
     if catalog is None:
         return new, store.latest(rows, ["name"], ["path"]).drop("path")
     return new, store.upsert(catalog.withColumn("path", F.lit("")), rows, ["name"], ["path"]).drop("path")
+
+
+#: Columns of entries that the full-text index covers.
+INDEXED = ("expression", "reading", "definition")
+
+
+def publish(entries: DataFrame, catalog: DataFrame, root: str) -> dict[str, str]:
+    """Writes entries, catalog and the index of just these entries as new versions below root, and returns their paths.
+
+    The index is in the order of tokens, so that a search reads few of its files' row groups. Who reads older versions keeps
+    them until their folders are removed.
+    """
+    paths = {"entries": store.write_version(entries, f"{root}/entries"), "catalog": store.write_version(catalog, f"{root}/catalog")}
+    stored = store.read_version(entries.sparkSession, paths["entries"], entries.schema)
+    texts = stored if "definition" in stored.columns else stored.withColumn("definition", F.array_join("definitions", "\n"))
+    tokens = fulltext.token_table(texts, "id", INDEXED)
+    paths["index"] = store.write_version(tokens.repartitionByRange("token").sortWithinPartitions("token"), f"{root}/index")
+    return paths
+
+
+def published(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entries, catalog, index) of a version."""
+    return tuple(store.read_version(spark, paths[name]) for name in ("entries", "catalog", "index"))
+
+
+def delete_dictionary(spark: SparkSession, paths: dict[str, str], root: str, name: str) -> dict[str, str]:
+    """A new version without a dictionary: its entries, its row of the catalog and its part of the index are gone."""
+    entries, catalog, _ = published(spark, paths)
+    return publish(store.without(entries, "dictionary_name", name), store.without(catalog, "name", name), root)

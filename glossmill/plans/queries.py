@@ -203,6 +203,15 @@ def fts_ranked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _row(fulltext.search(entries, index, fulltext.match_query("plate"), [*search.rank_keys(), F.length("expression"), "id"]))
 
 
+@query("fts_after_delete", f"with {E_} select {ROW} from entries where dictionary_name <> 'Brand#11' and ({_phrase_sql('expression', 'plate')} or {_phrase_sql('reading', 'plate')} or {_phrase_sql('definition', 'plate')})")
+def fts_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search in the tables and the index that are published once a dictionary is deleted."""
+    root = f"{shared_folder(spark)}/dictionaries/{uuid.uuid4().hex}"
+    first = imports.publish(fx.entries(spark, sf_dir), fx.catalog(spark, sf_dir), root)
+    entries, _, index = imports.published(spark, imports.delete_dictionary(spark, first, root, "Brand#11"))
+    return _row(entries.join(fulltext.match(index, fulltext.match_query("plate")), "id", "left_semi"))
+
+
 # Enrichment
 
 LOOKUP = "last as (select p_name as k, arg_max(p_size, p_partkey) as v, arg_max(concat(p_size % 4, ',0'), p_partkey) as w from (select * replace (case when p_size % 2 = 0 then p_name else concat(p_name, '?') end as p_name) from part) group by p_name)"
@@ -326,6 +335,11 @@ def catalog_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog_ops.by_priority(fx.catalog(spark, sf_dir))
 
 
+@query("catalog_by_name", f"with {E_} select dictionary_name as name, count(*) as entry_count, min(id) as id, (min(id) % 3)::int as priority from entries where dictionary_name = 'Brand#12' group by all")
+def catalog_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog_ops.by_name(fx.catalog(spark, sf_dir), "Brand#12")
+
+
 @query("catalog_upsert", f"with {E_}, listed as (select dictionary_name as name, count(*) as entry_count, min(id) as id, (min(id) % 3)::int as priority from entries group by all) select * from listed where name <> 'Brand#11' union all select 'Brand#11', 7, 1000000, 1")
 def catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = spark.createDataFrame([("Brand#11", 7, 1_000_000, 1)], "name string, entry_count long, id long, priority int")

@@ -75,16 +75,17 @@ def _item(k: int) -> Column:
     return F.to_json(F.try_variant_get("v", f"$[{k}]", "variant"))
 
 
-def _text(k: int) -> Column:
-    """Element k as text: the parts of a list are joined by ", ", an object is its JSON; a JSON null or nothing is empty."""
+def _text(k: int, null_as_text: bool = False) -> Column:
+    """Element k as text: the parts of a list are joined by ", ", an object is its JSON; a JSON null (unless it is to be "null") or nothing is empty."""
     listed = F.array_join(F.try_variant_get("v", f"$[{k}]", "array<string>"), ", ")
-    return F.coalesce(listed, F.try_variant_get("v", f"$[{k}]", "string"), F.lit(""))
+    null = F.when(F.is_variant_null(F.try_variant_get("v", f"$[{k}]", "variant")), "null") if null_as_text else F.lit(None).cast("string")
+    return F.coalesce(null, listed, F.try_variant_get("v", f"$[{k}]", "string"), F.lit(""))
 
 
-def terms(rows: DataFrame) -> DataFrame:
+def terms(rows: DataFrame, null_as_text: bool = False) -> DataFrame:
     """Entries of term banks, in the order of members and elements; short and blank ones are dropped. ids are not set here."""
     found = _elements(rows, "terms").filter(F.try_variant_get("v", "$[5]", "variant").isNotNull())
-    found = found.select("path", "ord", "pos", _text(0).alias("expression"), _text(1).alias("given"), _text(2).alias("tags"), structured.definitions(_item(5)).alias("definitions"), F.coalesce(F.try_variant_get("v", "$[6]", "int"), F.lit(0)).alias("sequence_number"), _text(7).alias("more_tags"))
+    found = found.select("path", "ord", "pos", _text(0).alias("expression"), _text(1).alias("given"), _text(2, null_as_text).alias("tags"), structured.definitions(_item(5)).alias("definitions"), F.coalesce(F.try_variant_get("v", "$[6]", "int"), F.lit(0)).alias("sequence_number"), _text(7, null_as_text).alias("more_tags"))
     found = found.filter(nonblank(F.col("expression")) | nonblank(F.col("given")))
     reading = F.when(nonblank(F.col("given")), F.col("given")).otherwise(F.col("expression"))
     pos = F.concat_ws(", ", F.when(nonblank(F.col("tags")), F.col("tags")), F.when(nonblank(F.col("more_tags")), F.col("more_tags")))

@@ -204,3 +204,19 @@ def test_streamed_values_with_nulls_change_as_in_the_batch_form(spark, tmp_path)
             path = reactive.run_available(reactive.stream_distinct(stream, "user", "ts", "id", "value"), str(root / "run"))
         batch = reactive.distinct_until_changed(spark.read.schema(schema).parquet(str(root / "in")), "user", "ts", "id", "value")
         assert sorted(r.id for r in spark.read.parquet(path).collect()) == sorted(r.id for r in batch.collect()) == [0, 2, 4, 6]
+
+
+def test_null_tags_are_texts_where_asked(spark):
+    rows = spark.createDataFrame([("a.zip", 0, "term_bank_1.json", '[["a","b",null,"",1,["x"],null,null],["c","d","n","",1,["y"],1]]')], "path string, ord int, member string, text string")
+    rows = rows.withColumn("kind", archive.member_kind(F.col("member")))
+    assert [r.parts_of_speech for r in archive.terms(rows).orderBy("pos").collect()] == ["", "n"]
+    assert [r.parts_of_speech for r in archive.terms(rows, null_as_text=True).orderBy("pos").collect()] == ["null, null", "n"]
+
+
+def test_published_versions_follow_deletes(spark, tmp_path):
+    entries, catalog = imports.import_archives(archive.unzipped(spark.createDataFrame([("sample.zip", bytearray(sample_archive()))], "path string, content binary")))
+    first = imports.publish(entries, catalog, str(tmp_path))
+    found = lambda paths: {r.id for r in fulltext.match(imports.published(spark, paths)[2], '"live on"').collect()}
+    assert found(first) == {1}
+    second = imports.delete_dictionary(spark, first, str(tmp_path), "Sample")
+    assert [t.count() for t in imports.published(spark, second)] == [0, 0, 0] and found(second) == set() and found(first) == {1}
