@@ -14,7 +14,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of documents that share 80 % of their five-word shingles."""
+    """One document of each group of near-duplicates: by SimHash of five-word shingles, and by a Jaccard similarity of 0.8 of those."""
     return simhash.one_of_each(docs, jaccard.near_duplicates)
 
 
@@ -29,7 +29,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bin and offset of every piece of every document."""
+    """Every piece of every document with its text, its bin and its place there; a bin's pieces in order are a sequence."""
     return packing.pack(docs)
 
 
