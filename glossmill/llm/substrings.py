@@ -290,8 +290,8 @@ def anchored(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = keyed.withColumn("k", F.xxhash64("doc_id", "t"))
     long = F.octet_length("text") >= 2 * PASSAGE - 1
     anchors = cut(keyed.filter(long).mapInPandas(_anchors, "passage boolean, h long, c long, doc_id string, t long, lo int, len int"))
-    common = anchors.groupBy("passage", "h").agg(F.count(F.lit(1)).alias("all"), F.min("c").alias("one"), F.max("c").alias("other")).filter(F.col("all") > 1)
-    return keyed, cut(anchors.join(cut(common.select("passage", "h", (F.col("one") != F.col("other")).alias("mixed"))), ["passage", "h"]))
+    common = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("all"), F.min("c").alias("one"), F.max("c").alias("other")).filter(F.col("all") > 1)
+    return keyed, cut(anchors.join(cut(common.select("h", (F.col("one") != F.col("other")).alias("mixed"))), "h"))
 
 
 def shared_windows(keyed: DataFrame, shared: DataFrame) -> DataFrame:
