@@ -10,6 +10,9 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting: shuffle files of a query go at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _made: ContextVar[list[str] | None] = ContextVar("_made", default=None)
 
 
@@ -27,10 +30,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """df as a table in the shared folder, computed once, and the table's path for drop_table()."""
-    path = new_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    """df as a table in the shared folder, computed once, and the table's path for drop_table().
+
+    What was shuffled for it goes from the executors' disks once it is written, not only when the driver's memory is collected.
+    """
+    spark = df.sparkSession
+    path, before = new_path(spark), spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def cut(df: DataFrame) -> DataFrame:
