@@ -14,7 +14,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of documents that share 80 % of their five-word shingles."""
+    """One document of each group of documents that share 80 % of their five-word shingles: SimHash groups, verified and completed."""
     return simhash.one_of_each(docs, jaccard.near_duplicates)
 
 

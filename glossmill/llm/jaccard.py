@@ -1,4 +1,9 @@
-"""Near-duplicates by the Jaccard similarity of their shingle sets, exact: a prefix-filtered join, verified."""
+"""Near-duplicates by the Jaccard similarity of their shingle sets, exact.
+
+SimHash groups the sets first, by fingerprints of the same shingles. What fingerprints miss is found along the rarest shingles
+of each set, its prefix: in a few rounds each set is held against some leaders of them, then every two sets of
+different groups that may be similar enough are paired. All links are verified with the whole sets.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +12,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossmill.llm import simhash
 from glossmill.llm.common import cut, drop_table, stored
 from glossmill.llm.components import components
 
@@ -21,6 +27,9 @@ SEED = 42
 #: the number of candidates only: the prefixes of any one order lose no pair.
 CHUNK = 1 << 21
 HOT = 1 << 18
+#: Rounds in which sets are held against leaders only, leaders of a shingle in each, and bits in which the fingerprints of a
+#: set and its leader may differ (sets at 0.8 differ in 10 on average). These too change the number of candidates only.
+ROUNDS, LEADERS, NEAR = 2, 4, 16
 
 _hash = xxhash.xxh64_intdigest
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -42,6 +51,14 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique((out * np.uint64(0xD6E8FEB86659FD93)).view(np.int64))
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """The SimHash of a set of shingles as a signed 64-bit number: a bit is set if it is in over half of their hashes."""
+    counts = np.zeros(simhash.BITS, np.int64)
+    for at in range(0, len(found), CHUNK):
+        counts += np.unpackbits(found[at : at + CHUNK].view(np.uint8)).reshape(-1, simhash.BITS).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(found)).view(np.int64)[0])
+
+
 def needed(n: int, similar: tuple[int, int] = SIMILAR) -> int:
     """The least number of shingles that a set of n shares with any set that is similar enough."""
     return -(-n * similar[0] // similar[1])
@@ -77,17 +94,18 @@ def hot_shingles(docs: DataFrame, most: int = HOT) -> tuple[np.ndarray, np.ndarr
 def _prefixes(hot: np.ndarray, counts: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps, sizes, heads = [], [], []
+            fps, sims, sizes, heads = [], [], [], []
             for text in batch["text"]:
                 found = shingles(text)
                 fps.append(_hash(found.tobytes(), SEED))
+                sims.append(fingerprint(found))
                 sizes.append(len(found))
                 rank = np.zeros(len(found), np.int64)
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, found), len(hot) - 1)
                     rank = np.where(hot[at] == found, counts[at], 0)
                 heads.append(found[np.lexsort((found, rank))[: len(found) - needed(len(found)) + 1]])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "fp": np.array(fps, np.uint64).view(np.int64), "size": sizes, "head": heads})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "fp": np.array(fps, np.uint64).view(np.int64), "sim": sims, "size": sizes, "head": heads})
 
     return prefixes
 
@@ -97,28 +115,89 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"fp": batch["fp"], "set": [shingles(t) for t in batch["text"]]})
 
 
-def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(a, b): fps of distinct(fp, text_hash, size, head), sets of docs, that are similar.
+def by_fingerprint(distinct: DataFrame) -> DataFrame:
+    """(a, b): the smallest fp of each group of sets of distinct(fp, sim) whose fingerprints SimHash links, with every other one."""
+    near = cut(components(simhash.links(distinct.select(F.col("sim").alias("fp")).distinct())))
+    grouped = cut(distinct.join(near, F.col("sim") == F.col("node"), "left").select(F.col("fp").alias("b"), F.coalesce("root", "sim").alias("group")))
+    least = grouped.groupBy("group").agg(F.min("b").alias("a"))
+    return grouped.join(least, "group").filter("a <> b").select("a", "b")
+
+
+def postings(distinct: DataFrame) -> DataFrame:
+    """(h, fp, sim, size): the sets of distinct(fp, sim, size, head) at each shingle that more than one prefix holds."""
+    heads = distinct.select("fp", "sim", "size", F.explode("head").alias("h"))
+    common = cut(heads.groupBy(F.col("h").alias("_h")).count().filter("count > 1").select("_h"))
+    return heads.join(common, F.col("h") == F.col("_h")).select("h", "fp", "sim", "size")
+
+
+def _rooted(posted: DataFrame, grouped: DataFrame) -> DataFrame:
+    """posted with the root of each set as grouped(fp, root) has it, at the shingles where more than one root is left.
+
+    major is the root that most of a shingle's sets have.
+    """
+    rooted = cut(posted.join(grouped.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp"), "left").select("h", "fp", "sim", "size", F.coalesce("root", "fp").alias("root")))
+    roots = rooted.groupBy(F.col("h").alias("_h"), "root").count().groupBy("_h").agg(F.count(F.lit(1)).alias("n"), F.max_by("root", F.struct("count", "root")).alias("major"))
+    return cut(rooted.join(roots.filter("n > 1").select("_h", "major"), F.col("h") == F.col("_h")).drop("_h"))
+
+
+def _sizes_allow() -> Column:
+    top, of = SIMILAR
+    return (F.col("m") * of >= F.col("n") * top) & (F.col("n") * of >= F.col("m") * top)
+
+
+def led_pairs(rooted: DataFrame, nth: int) -> DataFrame:
+    """(a, b): each set b with the leaders a of other roots whose fingerprints are nearest to its own; LEADERS pairs a set at most.
+
+    A shingle has LEADERS leaders, chosen by hashes that differ with nth, so there are at most as many candidates as LEADERS
+    times the postings, however large the groups of near copies are.
+    """
+    members = F.struct(F.col("fp").alias("a"), F.col("sim").alias("s"), F.col("size").alias("m"), F.col("root").alias("ra"))
+    chosen = [F.min_by(members, F.xxhash64(F.lit(nth * LEADERS + k), "h", "fp")) for k in range(LEADERS)]
+    leaders = rooted.groupBy("h").agg(F.array(*chosen).alias("led")).select(F.col("h").alias("_h"), F.posexplode("led").alias("k", "led")).select("_h", "k", "led.*")
+    apart = F.bit_count(F.col("sim").bitwiseXOR(F.col("s")))
+    met = rooted.withColumnRenamed("size", "n").join(leaders, F.col("h") == F.col("_h")).filter((F.col("ra") != F.col("root")) & _sizes_allow() & (apart <= NEAR))
+    return met.groupBy(F.col("fp").alias("b"), "k").agg(F.min_by("a", F.struct(apart, F.col("a"))).alias("a")).select("a", "b").distinct()
+
+
+def all_pairs(rooted: DataFrame) -> DataFrame:
+    """(a, b): all sets of different roots with a common shingle in their prefixes that may be similar.
 
     Two similar sets share a shingle of their prefixes: each prefix leaves out fewer shingles than the sets must share. All
-    that they share beyond both prefixes lies beyond the prefix that ends first, so at most what that one leaves out. Pairs
-    that can reach the similarity with it, and with their sizes, are verified with the whole sets.
+    that they share beyond both prefixes lies beyond the prefix that ends first, so at most what that one leaves out. One of
+    two sets of different roots is not of the shingle's major root, so only those others are paired with all of its sets,
+    and a group of near copies that has become one root is not paired with itself.
     """
     top, of = SIMILAR
-    heads = distinct.select("fp", "size", F.explode("head").alias("h"))
-    left, right = heads.select("h", F.col("fp").alias("a"), F.col("size").alias("m")), heads.select("h", F.col("fp").alias("b"), F.col("size").alias("n"))
-    sizes_allow = (F.col("m") * of >= F.col("n") * top) & (F.col("n") * of >= F.col("m") * top)
-    shared = left.join(right, "h").filter((F.col("a") < F.col("b")) & sizes_allow).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("m").alias("m"), F.first("n").alias("n"))
-    beyond = F.expr(f"(greatest(m, n) * {top} + {of - 1}) div {of} - 1")
-    pairs = cut(shared.filter((F.col("c") + beyond) * (top + of) >= (F.col("m") + F.col("n")) * top).select("a", "b"))
+    left = rooted.select("h", F.col("fp").alias("x"), F.col("size").alias("m"), F.col("root").alias("rx"), (F.col("root") == F.col("major")).alias("of_major"))
+    right = rooted.filter("root <> major").select(F.col("h").alias("_h"), F.col("fp").alias("y"), F.col("size").alias("n"), F.col("root").alias("ry"))
+    once = F.col("of_major") | (F.col("x") < F.col("y"))
+    met = left.join(right, (F.col("h") == F.col("_h")) & (F.col("rx") != F.col("ry")) & once & _sizes_allow())
+    shared = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.greatest("m", "n")).alias("most"), F.min(F.col("m") + F.col("n")).alias("both"))
+    beyond = F.expr(f"(most * {top} + {of - 1}) div {of} - 1")
+    return shared.filter((F.col("c") + beyond) * (top + of) >= F.col("both") * top).select("a", "b")
+
+
+def verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs(a, b) of fps of distinct(fp, text_hash), sets of docs, that are similar enough by their whole sets."""
+    top, of = SIMILAR
     met = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
     keys = cut(distinct.select("fp", F.col("text_hash").alias("_hash")).join(met, "fp", "left_semi"))
     texts = docs.select("text", F.xxhash64("text").alias("text_hash"))
     texts = texts.join(keys, F.col("text_hash") == F.col("_hash")).groupBy("fp").agg(F.first("text").alias("text"))
-    sets = cut(texts.mapInPandas(_sets, "fp long, set array<long>"))
+    sets, of_sets = stored(texts.mapInPandas(_sets, "fp long, set array<long>"))
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y"))
-    return both.filter(same * of >= (F.size("x") + F.size("y") - same) * top).select("a", "b")
+    found = cut(both.filter(same * of >= (F.size("x") + F.size("y") - same) * top).select("a", "b"))
+    drop_table(docs.sparkSession, of_sets)
+    return found
+
+
+def joined(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, grouped: DataFrame | None = None) -> DataFrame:
+    """(fp, root): grouped(fp, root) with the groups joined that pairs(a, b) link, as far as they are similar enough."""
+    found = verified(docs, distinct, cut(pairs))
+    if grouped is not None:
+        found = found.union(grouped.select("fp", "root"))
+    return cut(components(found).select(F.col("node").alias("fp"), "root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -130,10 +209,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hashed = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = hashed.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would read numbers with nulls as floats
-    heads, all_heads = stored(texts.mapInPandas(_prefixes(*hot_shingles(docs)), "doc_id string, text_hash long, fp long, size long, head array<long>"))
+    heads, all_heads = stored(texts.mapInPandas(_prefixes(*hot_shingles(docs)), "doc_id string, text_hash long, fp long, sim long, size long, head array<long>"))
     rows = cut(heads.select(F.col("doc_id").cast(kind).alias("doc_id"), "text_hash", "fp"))
-    distinct, of_sets = stored(heads.filter("size > 0").groupBy("fp").agg(F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("head").alias("head")))
+    firsts = [F.min("text_hash").alias("text_hash"), F.first("sim").alias("sim"), F.first("size").alias("size"), F.first("head").alias("head")]
+    prefixed, of_sets = stored(heads.filter("size > 0").groupBy("fp").agg(*firsts))
     drop_table(docs.sparkSession, all_heads)
-    roots = cut(components(links(docs, distinct)))
+    distinct, posted = cut(prefixed.select("fp", "text_hash", "sim")), cut(postings(prefixed))
     drop_table(docs.sparkSession, of_sets)
-    return rows.join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "text_hash", "fp", F.coalesce("root", "fp").alias("root"))
+    grouped = joined(docs, distinct, by_fingerprint(distinct))
+    for nth in range(ROUNDS):
+        grouped = joined(docs, distinct, led_pairs(_rooted(posted, grouped), nth), grouped)
+    grouped = joined(docs, distinct, all_pairs(_rooted(posted, grouped)), grouped)
+    return rows.join(grouped.withColumnRenamed("fp", "node"), F.col("fp") == F.col("node"), "left").select("doc_id", "text_hash", "fp", F.coalesce("root", "fp").alias("root"))

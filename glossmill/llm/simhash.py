@@ -224,9 +224,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """docs without near-duplicates as groups(docs) finds them: of each root, the row with the smallest id, then text hash, then row hash."""
-    found = groups(docs)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))).alias("first"))
-    keys = cut(first.select(F.struct(F.col("first.id").alias("doc_id"), F.col("first.hash").alias("text_hash")).alias("_key")))
+
+    def firsts() -> DataFrame:
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))).alias("first")
+        return groups(docs).groupBy("root").agg(first).select(F.struct(F.col("first.id").alias("doc_id"), F.col("first.hash").alias("text_hash")).alias("_key"))
+
+    keys, _ = settled(docs.sparkSession, firsts)
     keyed = packed(docs, F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash")).alias("_key"), row_hash(docs).alias("_hash"))
     kept = keyed.join(keys, "_key", "left_semi")
     return kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_hash"))).filter("_nth = 1").select("_row.*")
