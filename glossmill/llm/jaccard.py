@@ -125,9 +125,9 @@ def by_fingerprint(distinct: DataFrame) -> DataFrame:
 
 def postings(distinct: DataFrame) -> DataFrame:
     """(h, fp, sim, size): the sets of distinct(fp, sim, size, head) at each shingle that more than one prefix holds."""
-    heads = distinct.select("fp", "sim", "size", F.explode("head").alias("h"))
-    common = cut(heads.groupBy(F.col("h").alias("_h")).count().filter("count > 1").select("_h"))
-    return heads.join(common, F.col("h") == F.col("_h")).select("h", "fp", "sim", "size")
+    heads = distinct.select("fp", "sim", "size", F.explode("head").alias("h")).repartition("h")  # moved once for both
+    common = heads.groupBy("h").count().filter("count > 1").select("h")
+    return heads.join(common, "h", "left_semi").select("h", "fp", "sim", "size")
 
 
 def _rooted(posted: DataFrame, grouped: DataFrame) -> DataFrame:
@@ -135,9 +135,10 @@ def _rooted(posted: DataFrame, grouped: DataFrame) -> DataFrame:
 
     major is the root that most of a shingle's sets have.
     """
-    rooted = cut(posted.join(grouped.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp"), "left").select("h", "fp", "sim", "size", F.coalesce("root", "fp").alias("root")))
-    roots = rooted.groupBy(F.col("h").alias("_h"), "root").count().groupBy("_h").agg(F.count(F.lit(1)).alias("n"), F.max_by("root", F.struct("count", "root")).alias("major"))
-    return cut(rooted.join(roots.filter("n > 1").select("_h", "major"), F.col("h") == F.col("_h")).drop("_h"))
+    rooted = posted.join(grouped.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp"), "left").select("h", "fp", "sim", "size", F.coalesce("root", "fp").alias("root"))
+    rooted = rooted.repartition("h")  # moved once for all of the following
+    roots = rooted.groupBy("h", "root").count().groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max_by("root", F.struct("count", "root")).alias("major"))
+    return cut(rooted.join(roots.filter("n > 1").select("h", "major"), "h"))
 
 
 def _sizes_allow() -> Column:
