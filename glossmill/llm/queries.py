@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossmill.llm import embeddings, language, mixing, packing, quality, rules, secrets, simhash, substrings, toxicity
+from glossmill.llm import alignment, embeddings, fingerprints, language, mixing, packing, quality, ranking, rules, secrets, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_embeddings": embeddings.op9_embeddings,
     "op10_mixing": mixing.op10_mixing,
+    "op11_fingerprints": fingerprints.op11_fingerprints,
+    "op12_alignment": alignment.op12_alignment,
+    "op13_search": ranking.op13_search,
 }
-SQL = {"op5_secrets": secrets.SQL, "op10_mixing": mixing.SQL}
+SQL = {"op5_secrets": secrets.SQL, "op10_mixing": mixing.SQL, "op13_search": ranking.SQL}
