@@ -84,12 +84,17 @@ def text_vector(text: str | None) -> np.ndarray:
     return vector(paragraphs(text))
 
 
-def written(v: np.ndarray) -> str:
-    """A vector as text: the exact lanes, the bytes a lane takes, and the other lanes in as few bytes as hold them all."""
+def packed(v: np.ndarray) -> bytes:
+    """A vector's exact lanes, the bytes a lane takes, and the other lanes in as few bytes as hold them all."""
     lanes = v[EXACT:].view(np.int64)
     low, high = int(lanes.min()), int(lanes.max())
     width = next(w for w in _DTYPES if -(1 << 8 * w - 1) <= low and high < 1 << 8 * w - 1)
-    return base64.b64encode(v[:EXACT].astype("<u8").tobytes() + bytes([width]) + lanes.astype(_DTYPES[width]).tobytes()).decode()
+    return v[:EXACT].astype("<u8").tobytes() + bytes([width]) + lanes.astype(_DTYPES[width]).tobytes()
+
+
+def written(v: np.ndarray) -> str:
+    """packed() as text, in base 64."""
+    return base64.b64encode(packed(v)).decode()
 
 
 def read(fingerprint: str) -> np.ndarray:
@@ -176,7 +181,7 @@ def edit(text: str, following: str) -> tuple[str, int]:
     return (head + following[:n], head.count("\n")) if n else (text, len(paragraphs(text)))
 
 
-_RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_paragraphs long"
+_RESULT = "n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, n_paragraphs long"
 
 
 def _compared(text: str, v: np.ndarray, following: str, w: np.ndarray) -> tuple:
@@ -184,7 +189,7 @@ def _compared(text: str, v: np.ndarray, following: str, w: np.ndarray) -> tuple:
     edited, same = edit(text, following)
     u = v - vector(paragraphs(text)[same:]) + vector(paragraphs(edited)[same:])
     sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-    return len(text), sha, written(v), written(u), vector_likeness(v, u), vector_likeness(v, w), len(paragraphs(text))
+    return len(text), sha, packed(v), packed(u), vector_likeness(v, u), vector_likeness(v, w), len(paragraphs(text))
 
 
 #: Kinds of rows that a range of documents gives: results, its first document, its last one.
@@ -199,7 +204,7 @@ def _range_results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     def rows(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
         columns = list(zip(*found, strict=True))
-        kinds = [kind, pa.int32(), pa.int32(), pa.string(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int64()]
+        kinds = [kind, pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "_kind", "_part", "_text", *names])
 
     none = (None,) * len(names)
@@ -225,7 +230,7 @@ def _end_results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
         found = list(zip(*(_compared(a, text_vector(a), b, text_vector(b)) for a, b in texts), strict=True)) or [()] * len(names)
-        kinds = [pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int64()]
+        kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(found, kinds, strict=True)]], ["doc_id", *names])
 
 
@@ -248,7 +253,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     following = firsts.select("_of").select(F.col("_of").alias("_part"), F.coalesce(after, least).alias("_to"))
     ends = walked.filter(F.col("_kind") == _LAST).select("doc_id", "_text", "_part").join(following, "_part").join(firsts, F.col("_to") == F.col("_of"))
     last = ends.select("doc_id", "_text", "_next").mapInArrow(_end_results, f"doc_id {kind}, {_RESULT}")
-    return walked.filter(F.col("_kind") == _DONE).select(*last.columns).union(last)
+    text = lambda c: F.translate(F.base64(c), "\r\n", "").alias(c)  # noqa: E731  in one line, whatever the session's setting
+    both = walked.filter(F.col("_kind") == _DONE).select(*last.columns).union(last)
+    return both.select(*[text(c) if c.endswith("fingerprint") else c for c in both.columns])
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
