@@ -17,9 +17,10 @@ def import_archives(members: DataFrame, entries: DataFrame | None = None, catalo
 
     Dictionaries of the same names are replaced; with `append` their entries stay beside the new ones, and only the catalog
     row is replaced. With `null_as_text` a JSON null for tags is the text "null". Ranks and accents of the archives go to all entries, those that were there before too. New ids follow
-    the largest one there is, in the order of files, members and elements.
+    the largest one there is, in the order of files, members and elements. members are parts of archives, or their members'
+    texts. The count of an archive that has meta banks only is of the ranks and accents that it sets.
     """
-    members = cut(members)
+    members = cut(archive.readable(cut(archive.parsed(members))))
     terms = cut(archive.terms(members, null_as_text))
     meta = cut(archive.meta(members))
     listed = archive.index(members)
@@ -33,7 +34,8 @@ def import_archives(members: DataFrame, entries: DataFrame | None = None, catalo
     ranks = meta.filter(F.col("type") == "freq").select(F.col("expression").alias("_key"), F.col("frequency").alias("_value"))
     accents = meta.filter(F.col("type") == "pitch").select(F.col("expression").alias("_key"), F.col("pitch").alias("_value"))
     new = enrich.overwrite(enrich.overwrite(new, ranks, "frequency"), accents, "pitch_accent")
-    counts = terms.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    of_terms = terms.groupBy("path").agg(F.count(F.lit(1)).alias("n")).join(listed.filter("not meta_only"), "path", "left_semi")
+    counts = of_terms.unionByName(archive.meta_counts(members).join(listed.filter("meta_only"), "path", "left_semi"))
     rows = listed.join(counts, "path", "left").select(F.col("title").alias("name"), "version", "revision", F.coalesce("n", F.lit(0)).cast("long").alias("entry_count"), F.lit(True).alias("enabled"), F.lit(0).alias("priority"), "path")
     if catalog is None:
         return new, store.latest(rows, ["name"], ["path"]).drop("path")

@@ -15,6 +15,7 @@ from glossmill.operators import consolidate as merge
 from glossmill.operators import enrich, fulltext, search, stats, store
 from glossmill.plans import fixtures as fx
 from glossmill.plans import imports
+from glossmill.sources import archive
 from glossmill.sources.tables import shared_folder
 from glossmill.streaming import reactive
 
@@ -600,7 +601,10 @@ def structured_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("import_entries", f"with {fx.ARCHIVE_SQL} select * from imported")
 def import_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries, _ = imports.import_archives(fx.archive_members(spark, sf_dir))
+    return _imported(imports.import_archives(fx.archive_members(spark, sf_dir))[0])
+
+
+def _imported(entries: DataFrame) -> DataFrame:
     return entries.select("id", "expression", "reading", F.array_join("definitions", "|").alias("definitions"), "frequency", "pitch_accent", "parts_of_speech", "dictionary_name", "sequence_number")
 
 
@@ -609,6 +613,35 @@ def import_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imports.import_archives(fx.archive_members(spark, sf_dir))[1]
 
 
+@query("import_archive_files", f"with {fx.ARCHIVE_SQL} select * from imported")
+def import_archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The import of ZIP files, which tasks have written from the same members, a task a member."""
+    folder = f"{shared_folder(spark)}/archives/{uuid.uuid4().hex}"
+    archive.write(fx.archive_members(spark, sf_dir), folder).collect()
+    return _imported(imports.import_archives(archive.streamed(spark, folder))[0])
+
+
+@query("archive_parts", """select concat(p_brand, '.zip') as path, count(distinct (p_partkey - 1) // 500)::bigint as banks, count(*)::bigint as terms, (2 * count(*))::bigint as meta from part group by all""")
+def archive_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is in the ZIP files: their term banks, and the elements of both kinds of banks."""
+    folder = f"{shared_folder(spark)}/archives/{uuid.uuid4().hex}"
+    archive.write(fx.archive_members(spark, sf_dir), folder).collect()
+    count = lambda condition: F.count(F.when(F.expr(condition), 1))
+    name = F.element_at(F.split("path", "/"), -1)
+    return archive.streamed(spark, folder).groupBy(name.alias("path")).agg(count("kind = 'terms' and pos < 0").alias("banks"), count("kind = 'terms' and pos >= 0").alias("terms"), count("kind = 'meta' and pos >= 0").alias("meta"))
+
+
+META_ONLY = "listed as (select p_brand, count(distinct p_name) as pitches, count(distinct p_name) filter (where p_partkey % 5 <> 0) as ranks, count(*) filter (where p_partkey % 7 <> 0 and p_partkey % 13 <> 0) as n from part group by all)"
+
+
+@query("import_meta_only", f"with {META_ONLY} select p_brand as name, (case when p_brand like '%1' then ranks + pitches else n end)::bigint as entry_count, p_brand like '%1' as meta_only from listed")
+def import_meta_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog where archives of some brands have meta banks only: their count is of the ranks and accents that they set."""
+    members = fx.archive_members(spark, sf_dir).filter(~(F.col("path").endswith("1.zip") & (F.col("kind") == "terms")))
+    _, catalog = imports.import_archives(members)
+    return catalog.select("name", "entry_count").join(archive.index(members).select(F.col("title").alias("name"), "meta_only"), "name")
+
+
 # Search input
 
 K_ = "keystrokes as (select user_id, ts, event_id, event_type as value from events)"
