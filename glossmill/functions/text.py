@@ -80,7 +80,8 @@ def decode_list(stored: Column) -> Column:
 
 
 def encode_list(values: Column) -> Column:
-    return F.to_json(values)
+    """The list as it is stored; null is an empty list."""
+    return F.to_json(F.coalesce(values, F.array().cast("array<string>")))
 
 
 def escape_html(text: Column) -> Column:
@@ -97,9 +98,13 @@ def escape_like(text: Column) -> Column:
     return text
 
 
+# Characters that a deck's name does not have.
+FORBIDDEN = r"""[<>"';&|`$\\]"""
+
+
 def deck_name(name: Column) -> Column:
     """A deck name without markup and shell characters, 200 characters long at most; the default where none is left."""
-    clean = F.substring(F.regexp_replace(trimmed(name), r"""[<>"';&|`$\\]""", ""), 1, 200)
+    clean = F.substring(F.regexp_replace(trimmed(name), FORBIDDEN, ""), 1, 200)
     return F.when(nonblank(clean), clean).otherwise(DEFAULT_DECK)
 
 

@@ -65,6 +65,51 @@ JAPANESE_SQL = """japanese as (
   from entries e join part on id = p_partkey)"""
 
 
+# Letters stand for kana in the order of both, the last ones for characters that join the mora before them.
+LETTERS, KANA = "abcdefghijklmnopqrstuvwxyz", "あいうえおかきくけこさしすせそたちつてとなにゃゅっー"
+
+
+def kana_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings in kana and lists of accents, some of whose parts are no numbers; every seventeenth reading is empty."""
+    part = table(spark, sf_dir, "part")
+    spelt = F.translate(F.replace(F.col("p_name"), F.lit(" "), F.lit("")), LETTERS, KANA)
+    listed = F.when(F.col("p_partkey") % 5 == 0, "").when(F.col("p_partkey") % 5 == 1, F.concat((F.col("p_size") % 4).cast("string"), F.lit(", x,"), (F.col("p_size") % 9).cast("string"))).otherwise((F.col("p_size") % 12).cast("string"))
+    return part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 17 == 0, "").otherwise(spelt).alias("reading"), listed.alias("listed"), (F.col("p_size") % 12).cast("int").alias("d"))
+
+
+KANA_SQL = f"""words as (select p_partkey as id, case when p_partkey % 17 = 0 then '' else translate(replace(p_name, ' ', ''), '{LETTERS}', '{KANA}') end as reading,
+  case p_partkey % 5 when 0 then '' when 1 then concat(p_size % 4, ', x,', p_size % 9) else (p_size % 12)::varchar end as listed, (p_size % 12)::int as d from part)"""
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog of things that can be had: all parts, in four categories, those of odd keys with the name in the id alone."""
+    part = table(spark, sf_dir, "part")
+    category = F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), (F.col("p_size") % len(CATEGORIES) + 1).cast("int"))
+    odd = F.col("p_partkey") % 2 == 1
+    return part.select("p_partkey", F.when(odd, F.replace(F.col("p_name"), F.lit(" "), F.lit("_"))).otherwise(F.concat(F.lit("p_"), F.col("p_partkey").cast("string"))).alias("id"), F.when(odd, "-").otherwise(F.initcap("p_name")).alias("name"), category.alias("category"))
+
+
+def names_there(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of what is there: types of parts and single words of their names, some within names of items, some around them."""
+    part = table(spark, sf_dir, "part")
+    return part.filter("p_size % 3 = 0").select(F.col("p_type").alias("name")).union(part.filter("p_size = 7").select(F.concat(F.lit("The "), "p_name", F.lit(" No-1"))))
+
+
+CATEGORIES = ("DICTIONARY", "KANJI", "FREQUENCY", "PITCH_ACCENT")
+ITEMS_SQL = """items as (select p_partkey, case when p_partkey % 2 = 1 then replace(p_name, ' ', '_') else concat('p_', p_partkey) end as id,
+  case when p_partkey % 2 = 1 then '-' else concat(upper(p_name[1]), substr(split_part(p_name, ' ', 1), 2), ' ', upper(split_part(p_name, ' ', 2)[1]), substr(split_part(p_name, ' ', 2), 2)) end as name,
+  case p_size % 4 when 0 then 'DICTIONARY' when 1 then 'KANJI' when 2 then 'FREQUENCY' else 'PITCH_ACCENT' end as category from part),
+there as (select p_type as name from part where p_size % 3 = 0 union all select concat('The ', p_name, ' No-1') from part where p_size = 7)"""
+
+
+def named_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of dictionaries that are called as known ones, and of one that is not."""
+    from glossmill.operators.catalog import KNOWN
+
+    names = F.array(*[F.lit(k[1]) for k in KNOWN], F.lit("Own"))
+    return entries(spark, sf_dir).withColumn("dictionary_name", F.element_at(names, (F.col("sequence_number") % (len(KNOWN) + 1) + 1).cast("int")))
+
+
 def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of one archive a brand: its index, and a term bank and a meta bank for every 500 parts, as JSON.
 

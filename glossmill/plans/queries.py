@@ -12,7 +12,7 @@ from glossmill.functions import pitch, structured, text
 from glossmill.operators import cards as card_ops
 from glossmill.operators import catalog as catalog_ops
 from glossmill.operators import consolidate as merge
-from glossmill.operators import enrich, fulltext, search, stats, store
+from glossmill.operators import containment, enrich, fulltext, search, stats, store
 from glossmill.plans import fixtures as fx
 from glossmill.plans import imports
 from glossmill.sources import archive
@@ -348,29 +348,83 @@ def catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 KNOWN_SQL = "known as (select * from (values " + ", ".join(f"({', '.join(repr(x) for x in row)})" for row in catalog_ops.KNOWN) + ") t(id, name, category, file_size))"
-THERE = ("JMdict", "JPDBv2", "Kanjium-Pitch_Accent", "KANJIDIC (English)")
-THERE_SQL = "there as (select * from (values " + ", ".join(f"('{x}')" for x in THERE) + ") t(name))"
 _SQUEEZED = "regexp_replace(lower({}), '[ _-]', '', 'g')"
 
 
-@query("catalog_installed", f"""with {KNOWN_SQL}, {THERE_SQL} select id, name from known k where exists (select 1 from there t where
-  contains({_SQUEEZED.format('t.name')}, {_SQUEEZED.format('k.name')}) or contains({_SQUEEZED.format('k.name')}, {_SQUEEZED.format('t.name')})
-  or contains({_SQUEEZED.format('t.name')}, replace(lower(k.id), '_', '')) or contains(replace(lower(k.id), '_', ''), {_SQUEEZED.format('t.name')}))""")
+@query("catalog_known", f"""with {KNOWN_SQL}, counts as (select p_partkey % 7 as k, count(*) as n from part group by all)
+  select id, k.name, file_size, coalesce(n, 0)::bigint as entry_count from (select *, row_number() over () - 1 as k from known) k left join counts using (k)""")
+def catalog_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The known dictionaries, each with the number of its entries that are there."""
+    counts = stats.per_value(fx.named_entries(spark, sf_dir), "dictionary_name").withColumnRenamed("dictionary_name", "name")
+    return catalog_ops.known(spark).join(counts, "name", "left").select("id", "name", "file_size", F.coalesce("n", F.lit(0)).alias("entry_count"))
+
+
+@query("catalog_installed", f"""with {fx.ITEMS_SQL}, names as (select distinct {_SQUEEZED.format('name')} as t from there) select p_partkey, id, name from items i where exists (select 1 from names where
+  contains(t, {_SQUEEZED.format('i.name')}) or contains({_SQUEEZED.format('i.name')}, t) or contains(t, replace(lower(i.id), '_', '')) or contains(replace(lower(i.id), '_', ''), t))""")
 def catalog_installed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    there = spark.createDataFrame([(x,) for x in THERE], "name string")
-    return catalog_ops.installed(catalog_ops.known(spark), there).select("id", "name")
+    return catalog_ops.installed(fx.items(spark, sf_dir), fx.names_there(spark, sf_dir)).select("p_partkey", "id", "name")
 
 
-@query("catalog_installed_simple", f"""with {KNOWN_SQL}, {THERE_SQL} select id, name from known k where exists (select 1 from there t where
-  contains(lower(t.name), replace(k.id, '_', ' ')) or contains(lower(t.name), lower(k.name)) or contains(lower(k.name), lower(t.name)))""")
+@query("catalog_installed_simple", f"""with {fx.ITEMS_SQL}, names as (select distinct lower(name) as t from there) select p_partkey, id, name from items i where exists (select 1 from names where
+  contains(t, replace(i.id, '_', ' ')) or contains(t, lower(i.name)) or contains(lower(i.name), t))""")
 def catalog_installed_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    there = spark.createDataFrame([(x,) for x in THERE], "name string")
-    return catalog_ops.installed_simple(catalog_ops.known(spark), there).select("id", "name")
+    return catalog_ops.installed_simple(fx.items(spark, sf_dir), fx.names_there(spark, sf_dir)).select("p_partkey", "id", "name")
+
 
+@query("containing_pairs", "select distinct h.p_name as haystack, n.needle from part h, (select distinct lower(p_type) as needle from part union select distinct split_part(p_name, ' ', 2)[:k] from part, range(0, 4) t(k)) n where contains(h.p_name, n.needle)")
+def containing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts with the types and the beginnings of words that they contain, the empty one included."""
+    part = fx.table(spark, sf_dir, "part")
+    second = F.split_part("p_name", F.lit(" "), F.lit(2))
+    needles = part.select(F.lower("p_type").alias("text")).union(part.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.substring(second, F.lit(1), k)))))
+    return containment.containing(part.select(F.col("p_name").alias("text")), needles)
 
-@query("catalog_by_category", f"with {KNOWN_SQL} select id, name, case category when 'DICTIONARY' then 'Słownik' end as label from known where category = 'DICTIONARY'")
+
+@query("catalog_by_category", f"with {fx.ITEMS_SQL} select p_partkey, name, 'Słownik' as label from items where category = 'DICTIONARY'")
 def catalog_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog_ops.known(spark, "DICTIONARY").select("id", "name", text.category_label(F.col("category")).alias("label"))
+    return catalog_ops.of_category(fx.items(spark, sf_dir), "DICTIONARY").select("p_partkey", "name", text.category_label(F.col("category")).alias("label"))
+
+
+@query("catalog_labels", f"with {fx.ITEMS_SQL} select p_partkey, case category " + " ".join(f"when '{k}' then '{v}'" for k, v in text.CATEGORY_LABELS.items()) + " end as label from items")
+def catalog_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.items(spark, sf_dir).select("p_partkey", text.category_label(F.col("category")).alias("label"))
+
+
+LISTED = "listed as (select dictionary_name as name, count(*) as entry_count, min(id) as id, (min(id) % 3)::int as priority from entries group by all)"
+
+
+@query("catalog_update", f"with {E_}, {LISTED} select name, entry_count, id, (case when id = (select min(id) from listed) then 99 else priority end)::int as priority from listed")
+def catalog_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary of the least id gets another priority."""
+    listed = fx.catalog(spark, sf_dir)
+    return catalog_ops.changed(listed, listed.agg(F.min("id")).first()[0], priority=99)
+
+
+@query("catalog_delete_by_id", f"with {E_}, {LISTED} select * from listed where id <> (select max(id) from listed)")
+def catalog_delete_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = fx.catalog(spark, sf_dir)
+    return store.without(listed, "id", listed.agg(F.max("id")).first()[0])
+
+
+@query("catalog_delete_by_name", f"with {E_}, {LISTED} select * from listed where name <> 'Brand#12'")
+def catalog_delete_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.without(fx.catalog(spark, sf_dir), "name", "Brand#12")
+
+
+@query("export_delete_all", f"with {X_} select count(*) as n from export_log where false")
+def export_delete_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.emptied(_exports(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("export_forced", f"with {E_}, {X_} select id, expression as front from entries")
+def export_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of all entries, whether the deck has them or not."""
+    return card_ops.export(fx.entries(spark, sf_dir), fx.export_log(spark, sf_dir), "1-URGENT", force=True)[0].select("id", "front")
+
+
+@query("encode_definitions", f"with {E_} select id, definition as encoded from entries")
+def encode_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.entries(spark, sf_dir).select("id", text.encode_list(F.col("definitions")).alias("encoded"))
 
 
 @query("has_dictionaries", f"with {E_} select count(*) > 0 as found from entries")
@@ -486,43 +540,35 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.progress(F.col("turn") - 1, F.col("turn")).alias("done"))
 
 
-WORDS = (("たべる", "2"), ("きゃっとー", "0,1"), ("かみ", "2, 1,x"), ("め", "1"), ("", "0"), ("とうきょう", ""), ("がっこう", "0"))
-WORDS_SQL = "words as (select * from (values " + ", ".join(f"('{r}', '{p}')" for r, p in WORDS) + ") t(reading, listed))"
 MORAE_SQL = f"regexp_extract_all(reading, '(?s).[{pitch.JOINED}]*')"
+COUNTED = f"{fx.KANA_SQL}, counted as (select id, len({MORAE_SQL})::int as n, d from words)"
 
 
-def _words(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(WORDS, "reading string, listed string")
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.kana_words(spark, sf_dir).select("id", F.size(pitch.morae(F.col("reading"))).alias("n"), "d")
 
 
-@query("morae", f"with {WORDS_SQL} select reading, array_to_string({MORAE_SQL}, '|') as morae, len({MORAE_SQL})::int as n from words")
+@query("morae", f"with {fx.KANA_SQL} select id, array_to_string({MORAE_SQL}, '|') as morae, len({MORAE_SQL})::int as n from words")
 def morae(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = pitch.morae(F.col("reading"))
-    return _words(spark).select("reading", F.array_join(units, "|").alias("morae"), F.size(units).alias("n"))
-
-
-_GRID = "grid as (select n::int as n, d::int as d from range(0, 7) a(n), range(0, 8) b(d))"
-
-
-def _grid(spark: SparkSession) -> DataFrame:
-    return spark.range(56).select((F.col("id") / 8).cast("int").alias("n"), (F.col("id") % 8).cast("int").alias("d"))
+    return fx.kana_words(spark, sf_dir).select("id", F.array_join(units, "|").alias("morae"), F.size(units).alias("n"))
 
 
-@query("pitch_pattern", f"""with {_GRID} select n, d, case when n = 0 then '' when n = 1 then case when d <> 0 then 'H' else 'L' end
-  else array_to_string(list_transform(range(0, n), lambda i: case when (d = 0 and i > 0) or (d = 1 and i = 0) or (d > 1 and i > 0 and i < d) then 'H' else 'L' end), '') end as pattern from grid""")
+@query("pitch_pattern", f"""with {COUNTED} select id, case when n = 0 then '' when n = 1 then case when d <> 0 then 'H' else 'L' end
+  else array_to_string(list_transform(range(0, n), lambda i: case when (d = 0 and i > 0) or (d = 1 and i = 0) or (d > 1 and i > 0 and i < d) then 'H' else 'L' end), '') end as pattern from counted""")
 def pitch_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.array_join(F.transform(pitch.pitch_pattern(F.col("n"), F.col("d")), lambda h: F.when(h, "H").otherwise("L")), "")
-    return _grid(spark).select("n", "d", shown.alias("pattern"))
+    return _counted(spark, sf_dir).select("id", shown.alias("pattern"))
 
 
-@query("pitch_label", f"with {_GRID} select n, d, case when d = 0 then '平板' when d = 1 then '頭高' when d = n then '尾高' else '中高' end as label from grid")
+@query("pitch_label", f"with {COUNTED} select id, case when d = 0 then '平板' when d = 1 then '頭高' when d = n then '尾高' else '中高' end as label from counted")
 def pitch_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grid(spark).select("n", "d", pitch.pitch_label(F.col("n"), F.col("d")).alias("label"))
+    return _counted(spark, sf_dir).select("id", pitch.pitch_label(F.col("n"), F.col("d")).alias("label"))
 
 
-@query("pitch_positions", f"with {WORDS_SQL} select reading, array_to_string(list_filter(list_transform(string_split(listed, ','), lambda x: try_cast(trim(x) as int)), lambda x: x is not null), ',') as positions from words")
+@query("pitch_positions", f"with {fx.KANA_SQL} select id, array_to_string(list_filter(list_transform(string_split(listed, ','), lambda x: try_cast(trim(x) as int)), lambda x: x is not null), ',') as positions from words")
 def pitch_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _words(spark).select("reading", F.array_join(pitch.positions(F.col("listed")).cast("array<string>"), ",").alias("positions"))
+    return fx.kana_words(spark, sf_dir).select("id", F.array_join(pitch.positions(F.col("listed")).cast("array<string>"), ",").alias("positions"))
 
 
 def _pitch_html_sql(rows: str) -> str:
@@ -541,9 +587,9 @@ def _pitch_html_sql(rows: str) -> str:
 ), pitched as (select key, string_agg(html, '&nbsp;&nbsp;' order by k) as html from spans group by key)"""
 
 
-@query("pitch_html", f"with {WORDS_SQL}, {_pitch_html_sql('select reading as key, reading, listed from words')} select reading, coalesce(html, '') as html from words left join pitched on key = reading")
+@query("pitch_html", f"with {fx.KANA_SQL}, {_pitch_html_sql('select id as key, reading, listed from words')} select id, coalesce(html, '') as html from words left join pitched on key = id")
 def pitch_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _words(spark).select("reading", pitch.pitch_html(F.col("reading"), F.col("listed")).alias("html"))
+    return fx.kana_words(spark, sf_dir).select("id", pitch.pitch_html(F.col("reading"), F.col("listed")).alias("html"))
 
 
 @query("cards", f"with {E_} select id, expression as front, reading, concat(p_type, '<br>', p_brand) as meaning, {LABEL_SQL.format('frequency')} as frequency, '' as audio, '' as sentence from entries")
@@ -621,7 +667,7 @@ def import_archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _imported(imports.import_archives(archive.streamed(spark, folder))[0])
 
 
-@query("archive_parts", """select concat(p_brand, '.zip') as path, count(distinct (p_partkey - 1) // 500)::bigint as banks, count(*)::bigint as terms, (2 * count(*))::bigint as meta from part group by all""")
+@query("archive_parts", """select concat(p_brand, '.zip') as path, count(distinct floor((p_partkey - 1) / 500))::bigint as banks, count(*)::bigint as terms, (2 * count(*))::bigint as meta from part group by all""")
 def archive_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is in the ZIP files: their term banks, and the elements of both kinds of banks."""
     folder = f"{shared_folder(spark)}/archives/{uuid.uuid4().hex}"
