@@ -10,6 +10,7 @@ the links, BLOCK at a time.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -33,6 +34,8 @@ HELD, SALTS = 1 << 22, 16
 #: The most frequent pairs, whose counts every task gets; those of all others are joined. The number changes no result.
 HOT = 1 << 18
 
+# Fixed value: the pattern that splits a text before merges, as byte-level vocabularies use it.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # The printable characters that byte-level vocabularies write as themselves; the other bytes are, in order,
 # the characters from U+0100 on.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -52,15 +55,37 @@ class Side:
         self.joins = [[f"{k}{sign}" for k in range(len(tokens))] for sign in (",", "|", ";")]
 
 
+def _ranks(model: dict) -> dict[bytes, int] | None:
+    """Bytes and id of each token, if merges are ranked as their ids are; then a library that takes ranks gives the same ids."""
+    to_byte = byte_of_character()
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    ids = [model["vocab"].get(m, -1) for m in merged]
+    if ids != list(range(len(to_byte), len(to_byte) + len(ids))) or len(model["vocab"]) != len(to_byte) + len(ids):
+        return None
+    return {bytes(map(to_byte.__getitem__, t)): k for t, k in model["vocab"].items()}
+
+
 @lru_cache(2)
 def byte_level(content: bytes) -> Side:
-    """A byte-level BPE from its file; strings of special tokens are ordinary text. Texts get a space before them."""
+    """A byte-level BPE from its file; strings of special tokens are ordinary text. Texts get a space before them.
+
+    Where the file's merges are ranked by id and its texts are split by the usual pattern alone, tiktoken encodes by them, which
+    takes a fifth of the time; any other file is left to its own library.
+    """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    described, to_byte = json.loads(content), byte_of_character()
+    ranks = _ranks(described["model"]) if described["model"].get("type") == "BPE" else None
+    usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    if ranks and not described.get("normalizer") and usual.items() <= (described.get("pre_tokenizer") or {}).items():
+        import tiktoken
+
+        own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        tokens = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
+        return Side(lambda texts: [own.encode_ordinary(" " + t) for t in texts], tokens)
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_str(content.decode())
     own.encode_special_tokens = True
-    to_byte = byte_of_character()
     names = [own.id_to_token(k) or "" for k in range(own.get_vocab_size())]
     tokens = [bytes(map(to_byte.__getitem__, t)) if all(c in to_byte for c in t) else t.encode() for t in names]
     return Side(lambda texts: [e.ids for e in own.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], tokens)

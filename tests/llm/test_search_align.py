@@ -145,6 +145,18 @@ def plain_summaries(texts):
 ODD_TEXTS = [None, "", " ", "x", "  two  blanks\n\n\tand a tab ", "<|endoftext|> and <s> and </s>", "▁ is a character", "naïve Übermut 東京 ก็ 😀‍👩", "a" * 3000, "\x00\x01", "ﬁ ligature", "1234567 12,5", "é\u0301 e\u0301"]
 
 
+def test_ids_are_those_of_the_files_own_library(duck):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(f"{alignment.FOLDER}/{alignment.A}")
+    own.encode_special_tokens = True
+    a, b = sides()
+    every = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    texts = [t or "" for t in ODD_TEXTS] + [r[0] for r in duck.execute("select text from documents").fetchall()] + ["".join(f"a{c}b {c}1{c}!" for c in every[k : k + 500]) for k in range(0, len(every), 500)]
+    assert [list(x) for x in a.encode(texts)] == [e.ids for e in own.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert len(a.tokens) == own.get_vocab_size() - 1 and len(b.tokens) == 32000  # but for the special token
+
+
 @pytest.mark.parametrize("hot", [0, 5, 1 << 18])
 def test_alignment_equals_walking(spark, make_docs, duck, hot):
     texts = ODD_TEXTS + [r[0] for r in duck.execute("select text from documents where length(text) < 3000 order by doc_id limit 60").fetchall()]
