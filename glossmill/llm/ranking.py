@@ -34,25 +34,42 @@ SHARD = 1 << 20
 QUERIES = 256
 
 _TERM = re.compile(TERM)
-_LOWER = {c: c + 32 for c in range(65, 91)}
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def terms_of(text: str | None) -> list[str]:
-    return _TERM.findall(text.translate(_LOWER)) if text else []
+    return _TERM.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass")) if text else []
 
 
-def packed_numbers(values: np.ndarray) -> bytes:
-    """Numbers from 0 on as groups of seven bits, the lowest first; all but a number's last byte have the highest bit set."""
+def _packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, ends): numbers from 0 on as groups of seven bits, the lowest first, and where each one ends.
+
+    All but a number's last byte have the highest bit set.
+    """
     values = values.astype(np.uint64)
     n = np.ones(len(values), np.int64)
     for k in range(1, 9):
-        n += values >= np.uint64(1 << 7 * k)
+        more = values >= np.uint64(1 << 7 * k)
+        if not more.any():
+            break
+        n += more
     ends = np.cumsum(n)
     nth = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
     out = (np.repeat(values, n) >> (7 * nth).astype(np.uint64) & np.uint64(127)).astype(np.uint8)
     out[nth < np.repeat(n, n) - 1] |= 128
-    return out.tobytes()
+    return out, ends
+
+
+def packed_numbers(values: np.ndarray) -> bytes:
+    return _packed(values)[0].tobytes()
+
+
+def _packed_lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The numbers from each start to the next one as bytes, all packed at once."""
+    raw, ends = _packed(values)
+    offsets = np.append(0, ends)[starts].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
 
 
 def unpacked_numbers(raw: bytes) -> np.ndarray:
@@ -80,7 +97,7 @@ class _Shard:
         self.terms.append(terms)
         self.n += len(terms)
 
-    def rows(self, kind: pa.DataType, shard: int) -> pa.RecordBatch:
+    def rows(self, kind: pa.DataType, shard: int) -> Iterator[pa.RecordBatch]:
         """One row of the documents, without a term, and one for each term."""
         order = sorted(range(len(self.ids)), key=lambda k: (self.ids[k] is None, self.ids[k] or 0, self.sizes[k]))
         known: dict[str, int] = {}
@@ -92,21 +109,12 @@ class _Shard:
         starts = np.searchsorted(term, np.arange(len(known) + 1))
         gaps = np.diff(place, prepend=0)
         gaps[starts[:-1]] = place[starts[:-1]]
-        blocks = [packed_numbers(gaps[i:j]) for i, j in zip(starts[:-1], starts[1:], strict=True)]
-        times = [packed_numbers(tf[i:j]) for i, j in zip(starts[:-1], starts[1:], strict=True)]
-        n = len(known)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([shard] * (n + 1), pa.int64()),
-                pa.array([None, *known], pa.string()),
-                pa.array([len(order), *np.diff(starts).tolist()], pa.int64()),
-                pa.array([self.n, *np.add.reduceat(tf, starts[:-1]).tolist()] if n else [0], pa.int64()),
-                pa.array([packed_numbers(sizes), *blocks], pa.binary()),
-                pa.array([None, *times], pa.binary()),
-                pa.array([[self.ids[k] for k in order], *[None] * n], pa.list_(kind)),
-            ],
-            ["shard", "term", "df", "total", "places", "times", "ids"],
-        )
+        n, names = len(known), ["shard", "term", "df", "total", "places", "times", "ids"]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(kind)]
+        head = [[shard], [None], [len(order)], [self.n], [packed_numbers(sizes)], [None], [[self.ids[k] for k in order]]]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(head, kinds, strict=True)], names)
+        columns = [pa.array(np.full(n, shard)), pa.array(known, pa.string()), pa.array(np.diff(starts)), pa.array(np.add.reduceat(tf, starts[:-1]))]
+        yield pa.RecordBatch.from_arrays([*columns, _packed_lists(gaps, starts), _packed_lists(tf, starts), pa.nulls(n, kinds[-1])], names)
 
 
 def _shards(of_task: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -120,11 +128,11 @@ def _shards(of_task: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 terms = terms_of(text)
                 if terms:
                     if open_.ids and open_.n + len(terms) > of_task:
-                        yield open_.rows(kind, first + nth)
+                        yield from open_.rows(kind, first + nth)
                         nth, open_ = nth + 1, _Shard()
                     open_.add(doc_id, terms)
         if open_.ids:
-            yield open_.rows(kind, first + nth)
+            yield from open_.rows(kind, first + nth)
 
     return shards
 
