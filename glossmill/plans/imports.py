@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,34 +14,56 @@ from glossmill.sources.tables import cut
 ORDER = ["path", "ord", "pos"]
 
 
+class Imported(NamedTuple):
+    """What archives hold: entries without ids, ranks and accents, and a row of the catalog for each archive, with its path."""
+
+    terms: DataFrame
+    meta: DataFrame
+    listed: DataFrame
+
+
+def read(members: DataFrame, null_as_text: bool = False) -> Imported:
+    """Reads parts of archives, or their members' texts. What cannot be read is left out; archive.errors() tells it.
+
+    The count of an archive that has meta banks only is of the ranks and accents that it sets.
+    """
+    parts = cut(archive.readable(cut(archive.parsed(members))))
+    terms, meta, index = cut(archive.terms(parts, null_as_text)), cut(archive.meta(parts)), archive.index(parts)
+    of_terms = terms.groupBy("path").agg(F.count(F.lit(1)).alias("n")).join(index.filter("not meta_only"), "path", "left_semi")
+    counts = of_terms.unionByName(archive.meta_counts(parts).join(index.filter("meta_only"), "path", "left_semi"))
+    rows = index.join(counts, "path", "left").select(F.col("title").alias("name"), "version", "revision", F.coalesce("n", F.lit(0)).cast("long").alias("entry_count"), F.lit(True).alias("enabled"), F.lit(0).alias("priority"), "path")
+    return Imported(terms, meta, cut(rows))
+
+
+def new_entries(terms: DataFrame, first: int) -> DataFrame:
+    """Entries with ids from `first` on, in the order of files, members and elements."""
+    empty = F.lit("")
+    return store.numbered(terms, ORDER, first).drop(*ORDER).withColumns({"example_sentence": empty, "example_sentence_translation": empty, "audio_file": empty})
+
+
+def with_meta(entries: DataFrame, meta: DataFrame) -> DataFrame:
+    """Entries with the ranks and accents of meta, in all dictionaries."""
+    ranks = meta.filter(F.col("type") == "freq").select(F.col("expression").alias("_key"), F.col("frequency").alias("_value"))
+    accents = meta.filter(F.col("type") == "pitch").select(F.col("expression").alias("_key"), F.col("pitch").alias("_value"))
+    return enrich.overwrite(enrich.overwrite(entries, ranks, "frequency"), accents, "pitch_accent")
+
+
 def import_archives(members: DataFrame, entries: DataFrame | None = None, catalog: DataFrame | None = None, append: bool = False, null_as_text: bool = False) -> tuple[DataFrame, DataFrame]:
     """(entries, catalog) with the archives of members() added.
 
     Dictionaries of the same names are replaced; with `append` their entries stay beside the new ones, and only the catalog
     row is replaced. With `null_as_text` a JSON null for tags is the text "null". Ranks and accents of the archives go to all entries, those that were there before too. New ids follow
-    the largest one there is, in the order of files, members and elements. members are parts of archives, or their members'
-    texts. The count of an archive that has meta banks only is of the ranks and accents that it sets.
+    the largest one there is, in the order of files, members and elements.
     """
-    members = cut(archive.readable(cut(archive.parsed(members))))
-    terms = cut(archive.terms(members, null_as_text))
-    meta = cut(archive.meta(members))
-    listed = archive.index(members)
-    first = 1 if entries is None else (entries.agg(F.max("id")).first()[0] or 0) + 1
-    new = store.numbered(terms, ORDER, first).drop("path", "ord")
-    empty = F.lit("")
-    new = new.drop("pos").withColumns({"example_sentence": empty, "example_sentence_translation": empty, "audio_file": empty})
+    got = read(members, null_as_text)
+    new = new_entries(got.terms, 1 if entries is None else (entries.agg(F.max("id")).first()[0] or 0) + 1)
     if entries is not None:
         kept = entries if append else entries.join(new.select("dictionary_name").distinct(), "dictionary_name", "left_anti")
         new = kept.select(*new.columns).union(new)
-    ranks = meta.filter(F.col("type") == "freq").select(F.col("expression").alias("_key"), F.col("frequency").alias("_value"))
-    accents = meta.filter(F.col("type") == "pitch").select(F.col("expression").alias("_key"), F.col("pitch").alias("_value"))
-    new = enrich.overwrite(enrich.overwrite(new, ranks, "frequency"), accents, "pitch_accent")
-    of_terms = terms.groupBy("path").agg(F.count(F.lit(1)).alias("n")).join(listed.filter("not meta_only"), "path", "left_semi")
-    counts = of_terms.unionByName(archive.meta_counts(members).join(listed.filter("meta_only"), "path", "left_semi"))
-    rows = listed.join(counts, "path", "left").select(F.col("title").alias("name"), "version", "revision", F.coalesce("n", F.lit(0)).cast("long").alias("entry_count"), F.lit(True).alias("enabled"), F.lit(0).alias("priority"), "path")
+    new = with_meta(new, got.meta)
     if catalog is None:
-        return new, store.latest(rows, ["name"], ["path"]).drop("path")
-    return new, store.upsert(catalog.withColumn("path", F.lit("")), rows, ["name"], ["path"]).drop("path")
+        return new, store.latest(got.listed, ["name"], ["path"]).drop("path")
+    return new, store.upsert(catalog.withColumn("path", F.lit("")), got.listed, ["name"], ["path"]).drop("path")
 
 
 #: Columns of entries that the full-text index covers.

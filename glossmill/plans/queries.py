@@ -12,12 +12,12 @@ from glossmill.functions import pitch, structured, text
 from glossmill.operators import cards as card_ops
 from glossmill.operators import catalog as catalog_ops
 from glossmill.operators import consolidate as merge
-from glossmill.operators import containment, enrich, fulltext, search, stats, store
+from glossmill.operators import containment, enrich, fulltext, postings, search, stats, store
 from glossmill.plans import fixtures as fx
-from glossmill.plans import imports
+from glossmill.plans import imports, library
 from glossmill.sources import archive
 from glossmill.sources.tables import shared_folder
-from glossmill.streaming import reactive
+from glossmill.streaming import live, reactive
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -688,6 +688,88 @@ def import_meta_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.select("name", "entry_count").join(archive.index(members).select(F.col("title").alias("name"), "meta_only"), "name")
 
 
+# A library in versions
+
+LIBRARY_SQL = """batched as (select *, case when p_brand like '%1' then 2 else 1 end as batch from part
+), usable as (select *, p_partkey % 3 as kind from batched where p_partkey % 7 <> 0 and p_partkey % 13 <> 0
+), ranks as (
+  select batch, p_name as k, arg_max(p_size, struct_pack(b := p_brand, p := p_partkey)) filter (where p_partkey % 5 <> 0) as rank,
+    arg_max(concat(p_size % 5, ',0'), struct_pack(b := p_brand, p := p_partkey)) as pitch from batched group by all
+), imported as (
+  select row_number() over (order by u.batch, p_brand, p_partkey) as id, p_name as expression, case when p_partkey % 4 = 0 then p_name else split_part(p_name, ' ', 2) end as reading,
+    case kind when 2 then concat(p_type, '; ', p_brand) else concat(p_type, '|', p_brand) end as definitions,
+    coalesce(second.rank, case when u.batch = 1 then first.rank end, 0)::int as frequency, coalesce(second.pitch, case when u.batch = 1 then first.pitch end, '') as pitch_accent,
+    'n, v, P' as parts_of_speech, p_brand as dictionary_name, p_partkey::int as sequence_number
+  from usable u left join ranks first on first.batch = 1 and first.k = p_name left join ranks second on second.batch = 2 and second.k = p_name
+), kept as (select * from imported where dictionary_name <> 'Brand#11')"""
+
+
+def _library(spark: SparkSession, sf_dir: str) -> str:
+    """A library of three versions: most archives, those whose names end with a 1 as well, and all but one dictionary."""
+    root, members = f"{shared_folder(spark)}/libraries/{uuid.uuid4().hex}", fx.archive_members(spark, sf_dir)
+    second = F.col("path").endswith("1.zip")
+    for change in (lambda: library.add(spark, root, members.filter(~second)), lambda: library.add(spark, root, members.filter(second)), lambda: library.delete(spark, root, "Brand#11")):
+        result = change()
+        if not result.success:
+            raise RuntimeError(result.error)
+    return root
+
+
+@query("library_entries", f"with {LIBRARY_SQL} select * from kept")
+def library_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _imported(library.entries(spark, _library(spark, sf_dir)))
+
+
+@query("library_first_version", f"with {LIBRARY_SQL} select id, expression, dictionary_name, coalesce(rank, 0)::int as frequency from imported left join ranks on batch = 1 and k = expression where dictionary_name not like '%1'")
+def library_first_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the first version held, read when there are newer ones."""
+    return library.entries(spark, _library(spark, sf_dir), 1).select("id", "expression", "dictionary_name", "frequency")
+
+
+@query("library_catalog", f"with {LIBRARY_SQL} select p_brand as name, coalesce(n, 0)::bigint as entry_count from (select distinct p_brand from part) left join (select dictionary_name as d, count(*) as n from imported group by d) on d = p_brand where p_brand <> 'Brand#11'")
+def library_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.catalog(spark, _library(spark, sf_dir)).select("name", "entry_count")
+
+
+@query("library_find", f"with {LIBRARY_SQL} select {ROW} from kept where {_phrase_sql('expression', 'gear')} or {_phrase_sql('reading', 'gear')} order by {RANK}, length(expression), id limit 50")
+def library_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search in an index that has followed two imports and a delete."""
+    return _row(library.find(spark, _library(spark, sf_dir), "gear"))
+
+
+@query("library_index", f"with {LIBRARY_SQL} select id from kept where {_phrase_sql('definitions', 'economy brand')} or {_phrase_sql('expression', 'hot gear')}")
+def library_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases in the segments and tombstones, without a limit."""
+    root = _library(spark, sf_dir)
+    tokens = postings.tokens(spark, library.index(spark, root))
+    return fulltext.match(tokens, '"economy brand"').union(fulltext.match(tokens, '"hot gear"')).distinct()
+
+
+@query("library_merged_index", f"with {LIBRARY_SQL} select id from kept where {_phrase_sql('definitions', 'economy brand')}")
+def library_merged_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in the one segment that is left when the library is tidied up."""
+    root = _library(spark, sf_dir)
+    library.tidy(spark, root)
+    return fulltext.match(postings.tokens(spark, library.index(spark, root)), '"economy brand"')
+
+
+@query("library_emissions", f"""with {LIBRARY_SQL}, names as (select distinct batch, p_brand as name from batched), sizes as (select dictionary_name as name, count(*) as n from imported group by all),
+  touched as (select 1 as version, name from names where batch = 1 union select 2, name from names where batch = 2
+    union select 2, dictionary_name from imported where dictionary_name not like '%1' and expression in (select p_name from batched where batch = 2))
+  select version::bigint as version, name, coalesce(n, 0)::bigint as n from touched left join sizes using (name) union all select 3, 'Brand#11', 0""")
+def library_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes of the dictionaries that each version has changed, as a stream over the versions tells them."""
+    root = _library(spark, sf_dir)
+
+    def sizes(version: int, names: list[str]) -> DataFrame:
+        asked = spark.createDataFrame([(n,) for n in names], "name string")
+        counts = stats.per_value(library.entries(spark, root, version).filter(F.col("dictionary_name").isin(names)), "dictionary_name")
+        return asked.join(counts.withColumnRenamed("dictionary_name", "name"), "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"))
+
+    path = live.follow(spark, root, _stream_root(spark), sizes)
+    return spark.read.schema("name string, n long, version long").parquet(path).select("version", "name", "n")
+
+
 # Search input
 
 K_ = "keystrokes as (select user_id, ts, event_id, event_type as value from events)"
@@ -728,3 +810,23 @@ def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = reactive.stream_distinct(_keystroke_stream(spark, sf_dir), "user_id", "ts", "event_id", "value")
     return spark.read.schema(changed.schema).parquet(reactive.run_available(changed, _stream_root(spark))).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("live_debounce", f"with {K_}, {DEBOUNCED} select user_id, ts::timestamp as ts, event_id, value from calm")
+def live_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions by keyed state and timers: each user's last one is told without later input."""
+    root = _stream_root(spark)
+    calm = live.debounce(_keystroke_stream(spark, sf_dir), "user_id", "ts", "event_id", "value")
+    live.run_until_quiet(live.start(calm, root))
+    return spark.read.schema(calm.schema).parquet(f"{root}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("live_results", f"""with {K_}, last as (select user_id, arg_max(value, struct_pack(t := ts, e := event_id)) as value from keystrokes group by user_id)
+  select user_id, coalesce(value, '') as value from (select user_id from keystrokes union select c_custkey from customer) left join last using (user_id)""")
+def live_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest query of each user in a table that a stream keeps, and an empty one for customers without any."""
+    root, keys, order = _stream_root(spark), ["user_id"], ["ts", "event_id"]
+    stream = live.latest(_keystroke_stream(spark, sf_dir), "user_id", "ts", "event_id", "value")
+    live.run_until_quiet(live.start(stream, root, lambda batch, n: live.put_batch(batch, n, f"{root}/table", keys, order)))
+    users = fx.table(spark, sf_dir, "events").select("user_id").union(fx.table(spark, sf_dir, "customer").select("c_custkey")).distinct()
+    return live.observed(users, live.results(spark, f"{root}/table", stream.schema, keys, order), keys, {"value": ""})
