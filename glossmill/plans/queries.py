@@ -6,16 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from glossmill.functions import pitch, structured, text
 from glossmill.operators import cards as card_ops
 from glossmill.operators import catalog as catalog_ops
 from glossmill.operators import consolidate as merge
-from glossmill.operators import containment, enrich, fulltext, postings, search, stats, store
+from glossmill.operators import containment, enrich, fulltext, postings, prefixes, search, stats, store
 from glossmill.plans import fixtures as fx
 from glossmill.plans import imports, library
-from glossmill.sources import archive
+from glossmill.sources import archive, notes
 from glossmill.sources.tables import shared_folder
 from glossmill.streaming import live, reactive
 
@@ -137,8 +136,7 @@ def consolidate_single(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("consolidate_table", f"with {E_}, ranked as (select *, row_number() over (partition by reading order by {RANK}, id)::int as rnk from entries), {_merged_sql('ranked')} select * exclude (ids) from merged")
 def consolidate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.entries(spark, sf_dir).withColumn("rnk", F.row_number().over(Window.partitionBy("reading").orderBy(*search.rank_keys(), "id")))
-    return _flat(merge.consolidate(rows))
+    return _flat(merge.consolidate_all(fx.entries(spark, sf_dir)))
 
 
 @query("consolidate_japanese", f"""with {E_}, {fx.JAPANESE_SQL}, ranked as (
@@ -149,12 +147,17 @@ def consolidate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
   select merged.* exclude (ids), extras.* exclude (key) from merged join extras on key = reading""")
 def consolidate_japanese(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kana and kanji of one reading, blank readings, examples and audio files."""
-    rows = fx.japanese(spark, sf_dir)
-    rows = rows.withColumn("rnk", F.row_number().over(Window.partitionBy(merge.reading_key()).orderBy(*search.rank_keys(), "id")))
-    merged = merge.consolidate(rows)
+    merged = merge.consolidate_all(fx.japanese(spark, sf_dir))
     return _flat(merged).join(merged.select(F.col("reading").alias("_key"), "audio_file", "example_sentence", "example_sentence_translation"), F.col("reading") == F.col("_key")).drop("_key")
 
 
+@query("consolidate_hot_reading", f"""with {E_}, hot as (select * replace (case when id % 2 = 0 then 'plate' else reading end as reading) from entries),
+  ranked as (select *, row_number() over (partition by reading order by {RANK}, id)::int as rnk from hot), {_merged_sql('ranked')} select * exclude (ids) from merged""")
+def consolidate_hot_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reading that more than half of all entries have."""
+    return _flat(merge.consolidate_all(fx.entries(spark, sf_dir).withColumn("reading", F.when(F.col("id") % 2 == 0, "plate").otherwise(F.col("reading")))))
+
+
 DETAIL_IDS = (3, 17, 42, 99)
 
 
@@ -213,6 +216,20 @@ def fts_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _row(entries.join(fulltext.match(index, fulltext.match_query("plate")), "id", "left_semi"))
 
 
+def _prefix_paths(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    return prefixes.build(fx.entries(spark, sf_dir), f"{shared_folder(spark)}/prefixes/{uuid.uuid4().hex}")
+
+
+def _indexed(name: str, q: str) -> None:
+    @query(name, f"with {E_} select {ROW}, rnk from ({_combined_sql(q)})")
+    def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _row(prefixes.combined(spark, _prefix_paths(spark, sf_dir), q), "rnk")
+
+
+for _name, _q in (("prefix_index_phrase", "hot gear"), ("prefix_index_reading", "Pla"), ("prefix_index_wildcards", "h_t %ar"), ("prefix_index_all", "%")):
+    _indexed(_name, _q)
+
+
 # Enrichment
 
 LOOKUP = "last as (select p_name as k, arg_max(p_size, p_partkey) as v, arg_max(concat(p_size % 4, ',0'), p_partkey) as w from (select * replace (case when p_size % 2 = 0 then p_name else concat(p_name, '?') end as p_name) from part) group by p_name)"
@@ -602,6 +619,19 @@ def cards_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return card_ops.cards(fx.entries(spark, sf_dir)).select("id", "pitch_accent")
 
 
+@query("deck_notes", f"""with {E_}, cards as (select expression, reading, min(struct_pack(f := expression, m := concat(p_type, '<br>', p_brand), q := {LABEL_SQL.format('frequency')})) as c from entries group by all)
+  select d.name, expression, reading, c.f as front from cards, (values ('Deck'), ('Other')) d(name)""")
+def deck_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards in two decks. The first export runs twice and adds nothing the second time; a note is in a deck once."""
+    path = f"{shared_folder(spark)}/notes/{uuid.uuid4().hex}"
+    entries = fx.entries(spark, sf_dir)
+    made = card_ops.cards(entries)
+    rows = entries.select(F.col("id").alias("_id"), "expression", F.col("reading")).join(made.select("id", *[F.col(c).alias(f"field_{c}") for c in card_ops.FIELDS]), F.col("_id") == F.col("id"))
+    for deck, export in (("Deck", "a"), ("Deck", "a"), ("Other", "b")):
+        notes.export_notes(rows, path, deck, export)
+    return notes.notes(spark, path).select("name", "expression", "reading", F.col("field_front").alias("front"))
+
+
 # Nested JSON
 
 @query("parse_frequency", """select p_partkey as id, (case when p_partkey % 9 in (0, 1, 2, 3, 4, 5) then p_size when p_partkey % 9 = 6 then 1000 + p_size else 0 end)::int as parsed from part""")
