@@ -49,8 +49,9 @@ def byte_of_character() -> dict[str, int]:
 class Side:
     """A tokenizer: ids of texts, and the bytes of each id."""
 
-    def __init__(self, encode: Callable[[list[str]], list], tokens: list[bytes]):
+    def __init__(self, encode: Callable[[list[str]], list], tokens: list[bytes], whole: bool = False):
         self.encode, self.tokens = encode, tokens
+        self.whole = whole  # tokens always join to the text's bytes, so that need not be looked at
         self.sizes = np.array([len(t) for t in tokens], np.int64)
         self.joins = [[f"{k}{sign}" for k in range(len(tokens))] for sign in (",", "|", ";")]
 
@@ -81,7 +82,7 @@ def byte_level(content: bytes) -> Side:
 
         own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         tokens = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
-        return Side(lambda texts: [own.encode_ordinary(" " + t) for t in texts], tokens)
+        return Side(lambda texts: [own.encode_ordinary(" " + t) for t in texts], tokens, True)
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_str(content.decode())
@@ -108,7 +109,7 @@ def _both(a: Side, b: Side, texts: list[str | None]) -> tuple[list, list]:
     ours, theirs = a.encode(asked), b.encode(asked)
     for k, text in enumerate(asked):
         raw = b" " + text.encode("utf-8", "surrogatepass")
-        if not text or b"".join(map(a.tokens.__getitem__, ours[k])) != raw or b"".join(map(b.tokens.__getitem__, theirs[k])) != raw:
+        if not text or any(not side.whole and b"".join(map(side.tokens.__getitem__, ids[k])) != raw for side, ids in ((a, ours), (b, theirs))):
             ours[k], theirs[k] = [], []
     return ours, theirs
 
