@@ -22,6 +22,9 @@ TILE = 16
 FAN = 16
 #: Tiles on either side of a comparing task. A block goes to as many tasks as there are groups of so many tiles near it.
 SQUARE = 16
+#: Tiles times dimensions on a side of a comparing task: wider vectors meet in smaller groups. A task's vectors take 134 MB at most
+#: up to 1,024 dimensions, as 2 * 1,024 / dims tiles of 16 * 512 vectors of 8 * dims bytes, and two tiles beyond.
+WIDE = 1024
 #: Directions beyond GRID that the search for principal ones carries along.
 EXTRA = 8
 #: Slack of distances, far above rounding: a pair at exactly the threshold is compared, never skipped.
@@ -179,7 +182,7 @@ def _compare(cosine: float, reach: float, block: int, square: int):
         i, j = int(rows["gi"].iloc[0]), int(rows["gj"].iloc[0])
         rows = rows.sort_values("seq", ignore_index=True)
         width = int(rows["dims"].iloc[0])
-        group = (rows["tile"] // square).to_numpy()
+        group = (rows["tile"] // square_of(width, square)).to_numpy()
         vectors = [np.frombuffer(u, np.float64).reshape(-1, width) for u in rows["units"]]
         times = [np.asarray(n, np.int64) for n in rows["n"]]
         lo, hi = rows[LO].to_numpy(), rows[HI].to_numpy()
@@ -223,13 +226,19 @@ def _compare(cosine: float, reach: float, block: int, square: int):
     return compare
 
 
+def square_of(dims: int, square: int = SQUARE) -> int:
+    """Tiles on a side of a comparing task for vectors of so many dimensions."""
+    return max(1, min(square, WIDE // max(dims, 1)))
+
+
 def moves(pairs: DataFrame, square: int = SQUARE) -> DataFrame:
     """(label, dims, gi, gj, tile): the tiles that each comparing task needs.
 
-    Pairs of tiles are dealt to tasks by the groups of `square` tiles that their two sides are in, so a tile goes to a task once
+    Pairs of tiles are dealt to tasks by the groups of square_of() tiles that their two sides are in, so a tile goes to a task once
     for all its partners there. Pairs that are not in `pairs` are apart, and the boxes of their blocks tell it again.
     """
-    groups = pairs.select("label", "dims", F.floor(F.col("i") / square).alias("gi"), F.floor(F.col("j") / square).alias("gj"), F.explode(F.array("i", "j")).alias("tile"))
+    size = F.greatest(F.lit(1), F.least(F.lit(square), F.floor(F.lit(WIDE) / F.greatest("dims", F.lit(1)))))
+    groups = pairs.select("label", "dims", F.floor(F.col("i") / size).alias("gi"), F.floor(F.col("j") / size).alias("gj"), F.explode(F.array("i", "j")).alias("tile"))
     return groups.distinct()
 
 

@@ -78,11 +78,14 @@ def _piece_texts(words: Column, pieces: Column, capacity: int) -> Column:
 
 
 def _dealt(pieces: DataFrame, shard: int, shards: int) -> DataFrame:
-    """Adds the shard: a hash of the piece's values. Pieces that are equal more than `shard` / 4 times are dealt by their place as well."""
+    """Adds the shard: a hash of the piece's values. Pieces that are equal more than `shard` / 4 times are dealt by their place as well.
+
+    The place, _place, is a column of the stored table, so a task that is run again deals as it did before.
+    """
     keyed = pieces.withColumn("_deal", F.xxhash64("doc_id", "piece", "source", "cluster"))
     hot = cut(keyed.groupBy("_deal").count().filter(F.col("count") * 4 > shard).select("_deal", F.lit(True).alias("_hot")))
     if hot.head(1):
-        keyed = keyed.join(hot, "_deal", "left").withColumn("_deal", F.when(F.col("_hot"), F.xxhash64("_deal", F.monotonically_increasing_id())).otherwise(F.col("_deal"))).drop("_hot")
+        keyed = keyed.join(hot, "_deal", "left").withColumn("_deal", F.when(F.col("_hot"), F.xxhash64("_deal", "_place")).otherwise(F.col("_deal"))).drop("_hot")
     return keyed.withColumn("shard", F.pmod("_deal", F.lit(shards))).drop("_deal")
 
 
@@ -105,7 +108,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, texts: b
     else:
         pieces = sized.select("doc_id", "source", "words", "cluster", F.explode(numbers).alias("piece"))
     pieces = pieces.withColumn("piece", F.col("piece").cast("long")).withColumn("first_word", F.col("piece") * capacity)
-    pieces = cut(pieces.withColumn("n_words", F.least(F.col("words") - F.col("first_word"), F.lit(capacity).cast("long"))).drop("words"))
+    pieces = pieces.withColumn("n_words", F.least(F.col("words") - F.col("first_word"), F.lit(capacity).cast("long"))).drop("words")
+    pieces = cut(pieces.withColumn("_place", F.monotonically_increasing_id()))
     columns = ["doc_id", "piece", "first_word", "n_words", "source", "bin_id", "bin_offset"] + (["text"] if texts else [])
     shards = max(1, -(-pieces.count() // shard))
     kind = docs.schema["doc_id"].dataType.simpleString()

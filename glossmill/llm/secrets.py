@@ -42,6 +42,8 @@ ADDED = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE + ADDED
+#: Entries of a page of the ledger, the least that is skipped or read.
+PAGE = 1000
 LEDGER = "blob string, rule string, spans array<struct<start:int,end:int>>"
 
 
@@ -59,6 +61,12 @@ def _matches(rule: Rule) -> Column:
     return F.transform(F.when(todo, found), lambda m, k: F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.least).alias("least"), k.alias("k"), m["gap"].alias("gap"), m["hit"].alias("hit"), m["tested"].alias("tested")))
 
 
+def of_batch(ledger: DataFrame, paths: DataFrame) -> DataFrame:
+    """The entries of the blobs in paths(blob), stored. Of a ledger in the order of blobs, pages outside of their range are not read."""
+    low, high = paths.agg(F.min("blob"), F.max("blob")).first()
+    return ledger.filter(F.col("blob").between(low or "", high or "")).join(paths.select("blob").distinct(), "blob", "left_semi")
+
+
 def unseen(versions: DataFrame, ledger: DataFrame | None, rules=RULES) -> DataFrame:
     """(blob, id, todo): each blob that some rule has not seen, a version to read it from, and those rules' names."""
     names = F.array(*[F.lit(r.name) for r in rules])
@@ -93,6 +101,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> tuple
     """
     kinds = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(r.kind))])
     paths = cut(docs.select("doc_id", blob_of(F.col("text")).alias("blob")))
+    ledger = None if ledger is None else of_batch(ledger, paths)
     todo = cut(unseen(paths, ledger, rules))
     new = cut(scan_blobs(docs, todo, rules))
     spans = new.groupBy("blob", "rule").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
@@ -100,7 +109,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> tuple
     entries = pairs.join(spans, ["blob", "rule"], "left").select("blob", "rule", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
     findings = new.select("blob", kinds[F.col("rule")].alias("kind"), "start", "end")
     if ledger is not None:
-        known = ledger.filter(F.col("rule").isin([r.name for r in rules])).join(paths.select("blob").distinct(), "blob", "left_semi")
+        known = ledger.filter(F.col("rule").isin([r.name for r in rules]))
         findings = findings.union(known.select("blob", kinds[F.col("rule")].alias("kind"), F.explode("spans").alias("s")).select("blob", "kind", "s.start", "s.end"))
     return paths, findings, entries
 
@@ -111,21 +120,25 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def extend(docs: DataFrame, path: str, rules=RULES) -> tuple[DataFrame, DataFrame]:
-    """(paths, entries): brings the ledger at `path` up to docs, and gives docs' blobs and the ledger's entries for the rules.
+    """(paths, entries): brings the ledger at `path` up to docs, and gives docs' blobs and the ledger's entries for them and the rules.
 
     Only blobs and rule versions that the ledger does not hold are scanned, and only their entries are appended. Two runs at
     once may append the same entries twice; they are equal, and read as one.
     """
     spark = docs.sparkSession
     paths, _, entries = scan(docs, read_ledger(spark, path), rules)
-    entries.sortWithinPartitions("blob", "rule").write.mode("append").parquet(path)
-    return paths, read_ledger(spark, path).filter(F.col("rule").isin([r.name for r in rules]))
+    _stored(entries.sortWithinPartitions("blob", "rule"), path)
+    return paths, of_batch(read_ledger(spark, path).filter(F.col("rule").isin([r.name for r in rules])), paths)
+
+
+def _stored(entries: DataFrame, path: str) -> None:
+    entries.write.mode("append").option("parquet.page.row.count.limit", PAGE).parquet(path)
 
 
 def compact(spark: SparkSession, path: str, into: str) -> DataFrame:
     """The ledger at `path` written to the new path `into`, each pair of blob and rule version once, in the order of blobs."""
     once = read_ledger(spark, path).dropDuplicates(["blob", "rule"])
-    once.repartitionByRange("blob").sortWithinPartitions("blob", "rule").write.parquet(into)
+    _stored(once.repartitionByRange("blob").sortWithinPartitions("blob", "rule"), into)
     return read_ledger(spark, into)
 
 

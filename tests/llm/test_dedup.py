@@ -350,3 +350,17 @@ def test_principal_directions(spark):
 
 def test_no_embeddings(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_wide_vectors_meet_in_small_groups(spark):
+    """At 1,536 dimensions a comparing task holds two tiles of 8,192 vectors, 201 MB, and finds what a product of all finds."""
+    assert [embeddings.square_of(d) for d in (1, 64, 128, 768, 1024, 1536)] == [16, 16, 8, 1, 1, 1]
+    assert all(2 * embeddings.square_of(d) * embeddings.TILE * embeddings.BLOCK * d * 8 <= 202e6 for d in (64, 100, 300, 768, 1024, 1536))
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(12, 1536))
+    x = np.vstack([base + rng.normal(size=base.shape) * s for s in (0.05, 0.1, 0.3, 0.35)])
+    table = spark.createDataFrame([(k, v.tolist(), "a") for k, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= embeddings.COSINE
+    found = {r.vec_id: r.n_links for r in embeddings.near_duplicates(table, block=4, tile=2).collect()}
+    assert found == {k: int(near[k].sum()) - 1 for k in range(len(x))}

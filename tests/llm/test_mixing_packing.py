@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from compare import DATA, of_spark
@@ -244,3 +245,13 @@ def test_pipeline(spark):
         assert k == 4 or docs.columns == columns
     assert counts[0] > counts[1] > counts[2] == counts[3] and counts[4] > counts[3]
     assert sorted(map(tuple, corpus_pipeline.run(spark, DATA).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_hot_pieces_are_dealt_alike_when_a_task_runs_again(spark):
+    """The shard follows from the stored table, whatever partition a row is read in."""
+    equal = spark.range(0, 400, numPartitions=1).selectExpr("1L as doc_id", "0L as piece", "'a' as source", "7L as cluster", "id as _place")
+    deal = lambda df: sorted((r._place, r.shard) for r in packing._dealt(df, 40, 9).collect())
+    once = deal(equal)
+    assert len({s for _, s in once}) == 9
+    for n in (3, 8):
+        assert deal(equal.repartition(n)) == once == deal(equal.orderBy(F.rand(n)))

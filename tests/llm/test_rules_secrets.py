@@ -160,6 +160,37 @@ def test_findings_come_from_the_ledger(spark, make_docs, tmp_path):
     assert {r.doc_id: r.spans for r in secrets.digests(docs, str(tmp_path / "compact")).collect()} == found
 
 
+def scan_rows(plan):
+    """Rows that the scans of an executed plan gave."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return scan_rows(plan.executedPlan())
+    if "QueryStage" in name:
+        return scan_rows(plan.plan())
+    below = plan.children()
+    if below.isEmpty():
+        return {plan.toString()[:40]: plan.metrics().apply("numOutputRows").value()} if "FileSourceScan" in name else {}
+    found = {}
+    for k in range(below.size()):
+        found |= scan_rows(below.apply(k))
+    return found
+
+
+def test_a_batch_reads_its_part_of_the_ledger(spark, make_docs, tmp_path):
+    """One new row over a ledger of 20,000 blobs."""
+    path = str(tmp_path / "ledger")
+    many = spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("blob"))
+    old = many.select("blob", F.explode(F.array(*[F.lit(r.name) for r in secrets.RULES])).alias("rule"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    secrets._stored(old.repartitionByRange(4, "blob").sortWithinPartitions("blob", "rule"), path)
+    docs = make_docs([(1, LEAKS[0], "en", "a")])
+    _, entries = secrets.extend(docs, path)
+    assert len(entries.collect()) == len(secrets.RULES)
+    read = scan_rows(entries._jdf.queryExecution().executedPlan())
+    assert 0 < max(read.values()) < 0.1 * 20_000 * len(secrets.RULES)
+    _, again = secrets.extend(make_docs([(1, LEAKS[0], "en", "a"), (2, "5", "en", "a")]), path)
+    assert again.select("blob").distinct().count() == 2 and scanned(path, spark) == 20_001 * len(secrets.RULES)
+
+
 def test_redaction(make_docs, odd, none):
     docs = make_docs([(1, LEAKS[2], "en", "a"), (2, "nothing here", "en", "a"), (3, None, "en", "a")])
     rows = {r.doc_id: r for r in secrets.redact(docs).collect()}
