@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from glossmill.operators import containment, enrich, fulltext, postings, prefixe
 from glossmill.plans import fixtures as fx
 from glossmill.plans import imports, library
 from glossmill.sources import archive, notes
-from glossmill.sources.tables import shared_folder
+from glossmill.sources.tables import cut, shared_folder
 from glossmill.streaming import live, reactive
 
 QUERIES: dict = {}
@@ -85,6 +86,19 @@ for _name, _q in (("search_combined", "plate"), ("search_combined_expression", "
     _combined(_name, _q)
 
 
+MANY = "asked as (select distinct split_part(p_name, ' ', 1) as query from part union select distinct trim(upper(p_name[:k])) from part, range(1, 6) t(k))"
+
+
+@query("search_many", f"""with {E_}, {MANY}, hits as (select query, entries.*, row_number() over (partition by query order by case when expression = query then 0 when reading = query then 1 else 2 end, {RANK}, length(expression), id)::int as rnk
+  from asked join entries on starts_with({LOWER.format('expression')}, {LOWER.format('query')}) or starts_with({LOWER.format('reading')}, {LOWER.format('query')})) select query, {ROW}, rnk from hits where rnk <= 50""")
+def search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many queries at once: first words and beginnings of names, in capitals too."""
+    part = fx.table(spark, sf_dir, "part")
+    beginnings = F.explode(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.upper(F.substring("p_name", F.lit(1), k))))
+    asked = part.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("query")).union(part.select(beginnings))
+    return search.combined_many(fx.entries(spark, sf_dir), asked).select("query", "id", "expression", "reading", "frequency", "rnk")
+
+
 @query("search_blank", f"with {E_} select {ROW} from entries where false")
 def search_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _row(search.combined(fx.entries(spark, sf_dir), "  "))
@@ -817,6 +831,24 @@ def debounce_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reactive.distinct_until_changed(calm, "user_id", "ts", "event_id", "value")
 
 
+HOT_K = "keystrokes as (select case when event_id % 2 = 0 then -1 else user_id end as user_id, ts, event_id, event_type as value from events)"
+
+
+@query("debounce_hot_user", f"with {HOT_K}, {DEBOUNCED} select * from calm")
+def debounce_hot_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user who has half of all events."""
+    return reactive.debounce(_hot_keystrokes(spark, sf_dir), "user_id", "ts", "event_id", spread=True)
+
+
+@query("distinct_hot_user", f"with {HOT_K} select * exclude (before) from (select *, lag(value) over (partition by user_id order by ts, event_id) as before from keystrokes) where before is null or value <> before")
+def distinct_hot_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reactive.distinct_until_changed(_hot_keystrokes(spark, sf_dir), "user_id", "ts", "event_id", "value", spread=True)
+
+
+def _hot_keystrokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.keystrokes(spark, sf_dir).withColumn("user_id", F.when(F.col("event_id") % 2 == 0, -1).otherwise(F.col("user_id")).cast("long"))
+
+
 @query("latest_queries", f"with {K_} select user_id, arg_max(value, struct_pack(t := ts, e := event_id)) as value from keystrokes group by user_id")
 def latest_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reactive.latest_queries(fx.keystrokes(spark, sf_dir), "user_id", "ts", "event_id", "value")
@@ -860,3 +892,65 @@ def live_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     live.run_until_quiet(live.start(stream, root, lambda batch, n: live.put_batch(batch, n, f"{root}/table", keys, order)))
     users = fx.table(spark, sf_dir, "events").select("user_id").union(fx.table(spark, sf_dir, "customer").select("c_custkey")).distinct()
     return live.observed(users, live.results(spark, f"{root}/table", stream.schema, keys, order), keys, {"value": ""})
+
+
+TYPED = "typed as (select user_id, ts, event_id, ['small ring', 'bolt', 'Hot', 'zzz', 'r'][(event_id % 5 + 1)::int] as value from events)"
+LAST_TYPED = f"{TYPED}, last as (select user_id, arg_max(value, struct_pack(t := ts, e := event_id)) as value from typed group by user_id)"
+
+
+def _typed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.array(*[F.lit(w) for w in ("small ring", "bolt", "Hot", "zzz", "r")])
+    return _keystroke_stream(spark, sf_dir).withColumn("value", F.element_at(words, (F.col("event_id") % 5 + 1).cast("int")))
+
+
+def _searched(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Runs the search screen as a stream: each user's latest query is searched, merged by reading, and kept in the history if it found something."""
+    entries = fx.entries(spark, sf_dir)
+    stream = live.latest(_typed_stream(spark, sf_dir), "user_id", "ts", "event_id", "value")
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch = cut(batch.withColumnRenamed("value", "query"))
+        found = cut(merge.consolidate(search.combined_many(entries, batch), ("query",)))
+        shown = batch.join(found.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min_by("primary_expression", "first_rank").alias("best")), "query", "left")
+        live.put_batch(shown.select("user_id", "ts", "event_id", "query", F.coalesce("n", F.lit(0)).alias("n"), "best"), number, f"{root}/results", ["user_id"], ["ts", "event_id"])
+        kept = store.with_hits(batch.select("query", "ts", "event_id"), found)
+        live.put_batch(kept.select("query", "ts", "event_id"), number, f"{root}/history", ["query"], ["ts", "event_id"])
+
+    live.run_until_quiet(live.start(stream, root, each))
+
+
+@query("live_search", f"""with {E_}, {LAST_TYPED}, asked as (select distinct value as query from last), hits as (select query, entries.*, row_number() over (partition by query
+  order by case when expression = query then 0 when reading = query then 1 else 2 end, {RANK}, length(expression), id)::int as rnk
+  from asked join entries on starts_with(expression, {LOWER.format('query')}) or starts_with(reading, {LOWER.format('query')})), {_merged_sql('(select * from hits where rnk <= 50)', 'query,')},
+  shown as (select query, count(*) as n, arg_min(primary_expression, first_rank) as best from merged group by query)
+  select user_id, value as query, coalesce(n, 0)::bigint as n, best from last left join shown on query = value""")
+def live_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each user sees at the end: the number of merged records of the latest query, and the first of them."""
+    root = _stream_root(spark)
+    _searched(spark, sf_dir, root)
+    return live.results(spark, f"{root}/results", "user_id long, ts timestamp, event_id long, query string, n long, best string", ["user_id"], ["ts", "event_id"]).select("user_id", "query", "n", "best")
+
+
+@query("live_search_history", f"""with {TYPED}, last as (select user_id, arg_max(value, struct_pack(t := ts, e := event_id)) as query, max(struct_pack(t := ts, e := event_id)) as place from typed group by user_id)
+  select query, (max(place)).e as event_id from last where query in ('small ring', 'bolt', 'Hot') group by query""")
+def live_search_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The side effect of the same stream: queries of two characters or more that found something, with their last event."""
+    root = _stream_root(spark)
+    _searched(spark, sf_dir, root)
+    return live.results(spark, f"{root}/history", "query string, ts timestamp, event_id long", ["query"], ["ts", "event_id"]).select("query", "event_id")
+
+
+@query("live_caught", f"with {K_}, last as (select user_id, arg_max(value, struct_pack(t := ts, e := event_id)) as value from keystrokes group by user_id) select user_id, case when user_id = (select min(user_id) from keystrokes) then '' else value end as value from last")
+def live_caught(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search that fails for one user: that one gets the empty result, all others theirs, and the stream goes on."""
+    root, keys, order = _stream_root(spark), ["user_id"], ["ts", "event_id"]
+    failing = fx.table(spark, sf_dir, "events").agg(F.min("user_id")).first()[0]
+    fails = lambda rows: rows.withColumn("value", F.when(F.col("user_id") == failing, F.raise_error(F.lit("no result")).cast("string")).otherwise(F.col("value")))
+    stream = live.latest(_keystroke_stream(spark, sf_dir), "user_id", "ts", "event_id", "value")
+
+    def each(batch: DataFrame, number: int) -> None:
+        found = live.caught(batch, fails, "user_id", lambda rows: rows.withColumn("value", F.lit("")))
+        live.put_batch(reduce(DataFrame.union, found), number, f"{root}/table", keys, order)
+
+    live.run_until_quiet(live.start(stream, root, each))
+    return live.results(spark, f"{root}/table", stream.schema, keys, order).select("user_id", "value")

@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pandas as pd
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -18,6 +20,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from glossmill.sources import versions
+from glossmill.sources.tables import cut
 
 #: Seconds between two inputs of one session, by their own times, and seconds of silence after which a session is over.
 GAP, QUIET = 30 * 60, 3
@@ -206,6 +209,26 @@ def observed(keys: DataFrame, found: DataFrame, on: list[str], empty: dict) -> D
     return joined.select(*on, *[F.when(F.col("_there"), F.col(c)).otherwise(F.lit(v).cast(found.schema[c].dataType)).alias(c) for c, v in empty.items()])
 
 
+def caught(batch: DataFrame, search: Callable[[DataFrame], DataFrame], key: str, empty: Callable[[DataFrame], DataFrame], deepest: int = 24) -> list[DataFrame]:
+    """search(batch) as stored tables, with empty(rows) for the rows that make it fail, so that what fails for one user ends no stream.
+
+    A batch that fails is halved by the hash of its key and tried again, until what fails is one key's rows; a batch of n keys
+    of which f fail is tried some f * log2(n) times. Rows of keys whose hashes agree in `deepest` bits stay together.
+    """
+    bits = F.xxhash64(key)
+
+    def tried(rows: DataFrame, depth: int) -> list[DataFrame]:
+        try:
+            return [cut(search(rows))]
+        except (PySparkException, Py4JError):
+            if depth == deepest or rows.select(key).distinct().limit(2).count() < 2:
+                return [cut(empty(rows))]
+            side = F.shiftrightunsigned(bits, depth).bitwiseAND(F.lit(1))
+            return [found for half in (0, 1) for found in tried(rows.filter(side == half), depth + 1)]
+
+    return tried(cut(batch), 0)
+
+
 # Results that follow the versions of a library
 
 

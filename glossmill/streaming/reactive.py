@@ -5,23 +5,56 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
+from glossmill.sources.tables import cut
+
 GAP = "30 minutes"
 
 
-def debounce(events: DataFrame, user: str, at: str, tie: str, gap: str = GAP) -> DataFrame:
-    """Events that no other event of the user follows within the gap."""
-    following = F.lead(at).over(Window.partitionBy(user).orderBy(at, tie))
-    return events.withColumn("_next", following).filter(F.col("_next").isNull() | (F.col("_next") >= F.col(at) + F.expr(f"interval {gap}"))).drop("_next")
+def _beside(events: DataFrame, user: str, at: str, tie: str, after: Column | None = None, before: Column | None = None) -> DataFrame:
+    """events with _next: `after` of the user's following event, and _before, _nth: `before` of the one before it, and whether there is any.
+
+    Events are put into ranges of (user, time), so a user with a large part of all events is in many tasks. Within a range the
+    neighbour is the next row; at its ends it is the end of the user's nearest other range, of a table of two values a range
+    and user.
+    """
+    order = [F.col(user).asc_nulls_first(), F.col(at), F.col(tie)]
+    value = F.struct((F.lit(True) if after is None else after).alias("after"), (F.lit(True) if before is None else before).alias("before"))
+    ranged = cut(events.withColumn("_value", value).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    own = Window.partitionBy("_part", user).orderBy(at, tie)
+    inner = ranged.withColumns({"_inner_next": F.lead("_value").over(own), "_inner_before": F.lag("_value").over(own)})
+    place = F.struct(F.col(at).alias("_at"), F.col(tie).alias("_tie"))
+    ends = ranged.groupBy("_part", F.col(user).alias("_user")).agg(F.min_by("_value", place).alias("_first"), F.max_by("_value", place).alias("_last"))
+    across = Window.partitionBy("_user").orderBy("_part")
+    ends = ends.select("_user", F.col("_part").alias("_of"), F.lead("_first").over(across).alias("_outer_next"), F.lag("_last").over(across).alias("_outer_before"))
+    joined = inner.join(ends, (F.col("_part") == F.col("_of")) & F.col(user).eqNullSafe(F.col("_user")))
+    following, previous = F.coalesce("_inner_next", "_outer_next"), F.coalesce("_inner_before", "_outer_before")
+    found = joined.withColumns({"_next": following["after"], "_before": previous["before"], "_nth": F.when(previous.isNull(), 1).otherwise(2)})
+    return found.drop("_value", "_part", "_inner_next", "_inner_before", "_user", "_of", "_outer_next", "_outer_before")
+
+
+def debounce(events: DataFrame, user: str, at: str, tie: str, gap: str = GAP, spread: bool = False) -> DataFrame:
+    """Events that no other event of the user follows within the gap.
+
+    `spread` is for tables in which one user has a large part of all events: ranges of time take the place of a window a user.
+    """
+    if spread:
+        beside = _beside(events, user, at, tie, after=F.col(at)).drop("_before", "_nth")
+    else:
+        beside = events.withColumn("_next", F.lead(at).over(Window.partitionBy(user).orderBy(at, tie)))
+    return beside.filter(F.col("_next").isNull() | (F.col("_next") >= F.col(at) + F.expr(f"interval {gap}"))).drop("_next")
 
 
-def distinct_until_changed(events: DataFrame, user: str, at: str, tie: str, value: str) -> DataFrame:
-    """Events whose value differs from the user's event before."""
+def distinct_until_changed(events: DataFrame, user: str, at: str, tie: str, value: str, spread: bool = False) -> DataFrame:
+    """Events whose value differs from the user's event before; `spread` as in debounce()."""
+    if spread:
+        found = _beside(events, user, at, tie, before=F.col(value))
+        return found.filter((F.col("_nth") == 1) | ~F.col(value).eqNullSafe(F.col("_before"))).drop("_next", "_before", "_nth")
     before = F.lag(value).over(Window.partitionBy(user).orderBy(at, tie))
     nth = F.row_number().over(Window.partitionBy(user).orderBy(at, tie))
     return events.withColumn("_before", before).withColumn("_nth", nth).filter((F.col("_nth") == 1) | ~F.col(value).eqNullSafe(F.col("_before"))).drop("_before", "_nth")

@@ -56,6 +56,17 @@ def test_the_index_finds_what_a_scan_finds(spark, tmp_path, query):
         assert of_spark(prefixes.combined(spark, paths, query, wildcards=wildcards).select("id", "rnk")) == of_spark(search.combined(entries, query, wildcards=wildcards).select("id", "rnk"))
 
 
+def test_many_queries_find_what_each_finds(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aAbBä%") for _ in range(rng.randrange(5)))
+    rows = [(k, word(), rng.choice([word(), None]), [], rng.randrange(3), *["x"] * 6) for k in range(200)]
+    entries, asked = spark.createDataFrame(rows, ENTRY), ["a", "A", " ab ", "%", "ä", "bbbbbbbb", "", "  ", None, "aa"]
+    found = search.combined_many(entries, spark.createDataFrame([(q,) for q in asked], "query string"), 7).select("query", "id", "rnk")
+    expected = sorted((q, r.id, r.rnk) for q in {(q or "").strip() for q in asked} for r in search.combined(entries, q, 7, wildcards=False).collect())
+    assert sorted(tuple(r) for r in found.collect()) == expected
+    assert search.combined_many(entries, spark.createDataFrame([], "query string")).count() == 0
+
+
 # Consolidation
 
 

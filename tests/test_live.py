@@ -96,3 +96,27 @@ def test_only_changed_names_are_emitted(spark, tmp_path):
 @pytest.mark.parametrize("name", ["live_debounce", "live_results"])
 def test_queries(spark, duck, name):
     assert of_spark(lexicon.QUERIES[name](spark, DATA)) == of_duck(duck, lexicon.SQL[name])
+
+
+@pytest.mark.parametrize("operator", ["debounce", "distinct"])
+def test_a_spread_user_is_as_in_one_window(spark, operator):
+    events = [(1 if k % 3 else k % 5, at, k, value) for k, (_, at, _, value) in enumerate(keystrokes(7, n=200))] + [(None, datetime(2024, 1, 1), 900, "a"), (None, datetime(2024, 1, 1), 901, "a")]
+    table = spark.createDataFrame(events, SCHEMA).repartition(5)
+    apply = (lambda spread: reactive.debounce(table, "user", "ts", "id", spread=spread)) if operator == "debounce" else (lambda spread: reactive.distinct_until_changed(table, "user", "ts", "id", "value", spread=spread))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert of_spark(apply(True)) == of_spark(apply(False))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_what_fails_for_some_keys_is_empty_for_them_alone(spark):
+    rows = spark.createDataFrame([(k, f"v{k}") for k in range(40)] * 2, "k long, v string")
+    bad = {3, 17}
+    search = lambda df: df.withColumn("v", F.when(F.col("k").isin(*bad), F.raise_error(F.lit("broken")).cast("string")).otherwise(F.col("v")))
+    found = live.caught(rows, search, "k", lambda df: df.withColumn("v", F.lit("")))
+    assert sorted(tuple(r) for part in found for r in part.collect()) == sorted((k, "" if k in bad else f"v{k}") for k in range(40) for _ in range(2))
+    assert len(live.caught(rows, lambda df: df, "k", lambda df: df)) == 1 and live.caught(rows.limit(0), search, "k", lambda df: df)[0].count() == 0
