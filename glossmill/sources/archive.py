@@ -29,6 +29,8 @@ UNTITLED = "Unknown Dictionary"
 #: Bytes that are read at once, rows and bytes of their texts that are handed on together, and the longest element: what a
 #: variant can hold.
 CHUNK, ROWS, BATCH, LONGEST = 1 << 20, 8192, 8 << 20, 128 << 20
+#: Bytes of members, as they are when decompressed, that a task reads together; a larger member is a task of its own.
+TASK = 32 << 20
 #: pos of the row that says that there is a bank, and of the row that tells an error.
 HEAD = -1
 
@@ -157,9 +159,11 @@ def parts(rows: DataFrame) -> DataFrame:
     return rows.select("path", F.col("ord").cast("int").alias("ord"), "member", "text", error.alias("error")).mapInArrow(_cut, PART)
 
 
-class _Member(InputPartition):
-    def __init__(self, path: str, ord_: int = HEAD, info: tuple | None = None, error: str | None = None):
-        self.path, self.ord, self.info, self.error = path, ord_, info, error
+class _Members(InputPartition):
+    """What a task reads: (path, place, what the central directory says of it, or an error)."""
+
+    def __init__(self, members: list[tuple[str, int, tuple | None, str | None]]):
+        self.members = members
 
 
 _INFO = ("filename", "header_offset", "compress_size", "file_size", "CRC", "compress_type", "flag_bits")
@@ -191,38 +195,52 @@ def _listed(path: str) -> list[str]:
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, task_bytes: int):
+        self.path, self.task_bytes = path, task_bytes
 
     def partitions(self) -> list[InputPartition]:
-        """One for each JSON member, from the central directories: the tails of the files are all that is read here."""
+        """A task a member, small ones together, from the central directories: the tails of the files are all that is read here."""
         system, _ = _file_system(self.path)
-        found: list[InputPartition] = []
+        found: list[tuple] = []
         for path in _listed(self.path):
             try:
                 with system.open_input_file(path) as file:
                     listed = _directory(file)
             except (zipfile.BadZipFile, OSError) as e:
-                found.append(_Member(path, error=str(e)))
+                found.append((path, HEAD, None, str(e)))
                 continue
-            found += [_Member(path, k, tuple(getattr(i, name) for name in _INFO)) for k, i in enumerate(listed) if not i.is_dir() and i.filename.endswith(".json")]
-        return found
-
-    def read(self, partition: _Member) -> Iterator[pa.RecordBatch]:
-        if partition.info is None:
-            yield from _batches([(partition.path, HEAD, None, None, HEAD, None, partition.error)])
-            return
-        info = zipfile.ZipInfo()
-        for name, value in zip(_INFO, partition.info, strict=True):
-            setattr(info, name, value)
+            found += [(path, k, tuple(getattr(i, name) for name in _INFO), None) for k, i in enumerate(listed) if not i.is_dir() and i.filename.endswith(".json")]
+        tasks: list[list[tuple]] = []
+        size = 0
+        for member in found:
+            own = member[2][_INFO.index("file_size")] if member[2] else 0
+            if not tasks or size + own > self.task_bytes:
+                tasks.append([])
+                size = 0
+            tasks[-1].append(member)
+            size += own
+        return [_Members(t) for t in tasks]
+
+    def _rows(self, members: list[tuple]) -> Iterator[tuple]:
         system, _ = _file_system(self.path)
-        with system.open_input_file(partition.path) as file:
-            yield from _batches(_parts(partition.path, partition.ord, info.filename, _chunks(file, info)))
+        for path, ord_, told, error in members:
+            if told is None:
+                yield path, HEAD, None, None, HEAD, None, error
+                continue
+            info = zipfile.ZipInfo()
+            for name, value in zip(_INFO, told, strict=True):
+                setattr(info, name, value)
+            with system.open_input_file(path) as file:
+                yield from _parts(path, ord_, info.filename, _chunks(file, info))
+
+    def read(self, partition: _Members) -> Iterator[pa.RecordBatch]:
+        yield from _batches(self._rows(partition.members))
 
 
 class DictionaryArchives(DataSource):
-    """spark.read.format("dictionary_archive").load(path): the parts of archives, a task a member, members of any size.
+    """spark.read.format("dictionary_archive").load(path): the parts of archives, members of any size.
 
+    A task reads one member, or several of `taskBytes` bytes together (uncompressed, 32 MiB unless the option says otherwise).
     The path is a file, a folder or a pattern in a store that pyarrow reads; members() reads from any store that Spark reads.
     """
 
@@ -234,7 +252,7 @@ class DictionaryArchives(DataSource):
         return PART
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], int(self.options.get("taskBytes", TASK)))
 
 
 def _zipped(folder: str):
@@ -277,10 +295,10 @@ def write(members: DataFrame, folder: str) -> DataFrame:
     return rows.select("path", "member", "text").mapInArrow(_zipped(folder), "path string, members long")
 
 
-def streamed(spark: SparkSession, path: str) -> DataFrame:
+def streamed(spark: SparkSession, path: str, task_bytes: int | None = None) -> DataFrame:
     """Parts of all archives at a path, by the data source: archives and members may have any size."""
     spark.dataSource.register(DictionaryArchives)
-    return spark.read.format(DictionaryArchives.name()).load(path)
+    return spark.read.format(DictionaryArchives.name()).option("taskBytes", task_bytes or TASK).load(path)
 
 
 def member_kind(member: Column) -> Column:

@@ -70,8 +70,10 @@ def test_both_ways_of_reading_give_the_same_parts(spark, tmp_path, method):
 
 def test_a_member_is_a_task(spark, tmp_path):
     (tmp_path / "a.zip").write_bytes(zipped([(f"term_bank_{k}.json", "[[1]]") for k in range(7)]))
-    rows = archive.streamed(spark, str(tmp_path / "a.zip")).withColumn("task", F.spark_partition_id()).filter("pos = 0")
+    rows = archive.streamed(spark, str(tmp_path / "a.zip"), 1).withColumn("task", F.spark_partition_id()).filter("pos = 0")
     assert rows.select("member", "task").distinct().count() == 7 == rows.select("task").distinct().count()
+    for size, tasks in ((10, 4), (15, 3), (None, 1)):  # members of five bytes; small ones share a task
+        assert archive.streamed(spark, str(tmp_path / "a.zip"), size).select(F.spark_partition_id()).distinct().count() == tasks
 
 
 def test_a_bank_of_141_mb_in_an_archive_of_over_two_gib(spark, tmp_path):
