@@ -8,11 +8,13 @@ from pyspark.sql.window import Window
 
 from glossmill.sources.tables import cut, drop_table, exists, new_path, settled, stored
 
-__all__ = ["BLANKS", "BLANK_RUN", "crc_mod", "cut", "drop_table", "exists", "new_path", "packed", "prefix_sums", "row_hash", "salted_semi", "settled", "stored", "table", "word_count", "words_of"]
+__all__ = ["BLANKS", "BLANK_RUN", "PLACES", "crc_mod", "cut", "drop_table", "exists", "may_be_among", "new_path", "packed", "prefix_sums", "row_hash", "salted_semi", "settled", "stored", "table", "word_count", "words_of"]
 
 #: The six characters that separate words: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
+#: Bits of a bitmap of keys: 262,144 longs at most, whatever the table.
+PLACES = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,3 +70,17 @@ def salted_semi(rows: DataFrame, keys: DataFrame, on: list[str], spread: Column,
     """rows whose `on` is in keys, with each key dealt to `salts` places by a hash of `spread`, so that no task gets all rows of a hot one."""
     places = keys.select(*on, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
     return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts))).join(places, [*on, "_salt"], "left_semi").drop("_salt")
+
+
+def may_be_among(rows: DataFrame, key: Column, keys: DataFrame, places: int = PLACES) -> DataFrame:
+    """rows with _among: false only where `key`, a long, is none of the values of the first column of keys.
+
+    The keys' places in a bitmap of `places` bits go to every task, so rows that no join would keep need not be shuffled for
+    one. More keys than places make it pass more, and a join after it stays exact. A null key is among none.
+    """
+    place = lambda c: F.pmod(c, F.lit(places))
+    of_keys = keys.select(place(F.col(keys.columns[0])).alias("_at")).filter("_at is not null")
+    bits = of_keys.groupBy(F.expr("_at div 64").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_at % 64 as int))")).alias("_bits"))
+    found = rows.withColumn("_at", place(key)).join(F.broadcast(bits), F.expr("_at div 64") == F.col("_word"), "left")
+    hit = F.expr("shiftright(_bits, cast(_at % 64 as int)) & 1") == 1
+    return found.withColumn("_among", F.coalesce(hit, F.lit(False))).drop("_at", "_word", "_bits")

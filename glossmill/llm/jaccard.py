@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.llm import simhash
-from glossmill.llm.common import cut, drop_table, stored
+from glossmill.llm.common import cut, drop_table, may_be_among, stored
 from glossmill.llm.components import components
 
 #: Words of a shingle, and the least similarity of near-duplicates as a fraction.
@@ -27,6 +27,8 @@ SEED = 42
 #: the number of candidates only: the prefixes of any one order lose no pair.
 CHUNK = 1 << 21
 HOT = 1 << 18
+#: Characters of texts whose shingles a task holds at once; one text at least.
+HELD = 1 << 22
 #: Rounds in which sets are held against leaders only, leaders of a shingle in each, and bits in which the fingerprints of a
 #: set and its leader may differ (sets at 0.8 differ in 10 on average). These too change the number of candidates only.
 ROUNDS, LEADERS, NEAR = 2, 4, 16
@@ -91,9 +93,17 @@ def hot_shingles(docs: DataFrame, most: int = HOT) -> tuple[np.ndarray, np.ndarr
     return hot[at], n[at]
 
 
+def _held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of the batches in batches of HELD characters."""
+    for batch in batches:
+        upto = batch["text"].str.len().fillna(0).astype("int64").cumsum() // HELD
+        for _, part in batch.groupby(upto.to_numpy(), sort=False):
+            yield part
+
+
 def _prefixes(hot: np.ndarray, counts: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _held(batches):
             fps, sims, sizes, heads = [], [], [], []
             for text in batch["text"]:
                 found = shingles(text)
@@ -111,7 +121,7 @@ def _prefixes(hot: np.ndarray, counts: np.ndarray) -> Callable[[Iterator[pd.Data
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+    for batch in _held(batches):
         yield pd.DataFrame({"fp": batch["fp"], "set": [shingles(t) for t in batch["text"]]})
 
 
@@ -184,6 +194,7 @@ def verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFram
     met = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
     keys = cut(distinct.select("fp", F.col("text_hash").alias("_hash")).join(met, "fp", "left_semi"))
     texts = docs.select("text", F.xxhash64("text").alias("text_hash"))
+    texts = may_be_among(texts, F.col("text_hash"), keys.select("_hash")).filter("_among")  # other texts are not moved
     texts = texts.join(keys, F.col("text_hash") == F.col("_hash")).groupBy("fp").agg(F.first("text").alias("text"))
     sets, of_sets = stored(texts.mapInPandas(_sets, "fp long, set array<long>"))
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")

@@ -6,6 +6,9 @@ import pytest
 import xxhash
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
+from glossmill.llm import common
 from glossmill.llm import components as cc
 from glossmill.llm import embeddings, jaccard, simhash, substrings
 
@@ -152,6 +155,37 @@ def test_jaccard_groups_are_those_of_all_pairs(spark, make_docs):
     assert {k: least[root[k]] for k in root} == union(range(len(texts)), pairs)
 
 
+def test_jaccard_of_a_large_group_and_many_near_misses(spark, make_docs, monkeypatch):
+    """300 near copies of one text, and 60 texts that share up to 70 % of its shingles with it and are nobody's copies."""
+    monkeypatch.setattr(jaccard, "HELD", 4000)  # texts of a batch in several parts
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(9000)}" for _ in range(120)]
+    group = [" ".join([*base[: 5 + k % 100], f"g{k}", *base[6 + k % 100 :]]) for k in range(300)]
+    misses = [" ".join([*base[: 70 + k % 25], *[f"m{k}x{rng.randrange(9000)}" for _ in range(40)]]) for k in range(60)]
+    texts = [*group, *misses, None, "", *group[:40]]
+    sets = [shingle_set(t or "") for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if sets[a] and sets[b] and similarity(sets[a], sets[b]) >= 0.8]
+    near = sum(0.5 < similarity(sets[a], sets[b]) < 0.8 for a in range(300) for b in range(300, 360))
+    assert near > 3000
+    found = jaccard.near_duplicates(make_docs([(k, t, "en", "a") for k, t in enumerate(texts)])).collect()
+    root = {r.doc_id: r.root for r in found}
+    least = {}
+    for k in sorted(root):
+        least.setdefault(root[k], k)
+    assert {k: least[root[k]] for k in root} == union(range(len(texts)), [*pairs, (360, 361)])
+
+
+def test_may_be_among_loses_no_key(spark):
+    rows = spark.createDataFrame([(k, k * 7919 - 5000000) for k in range(2000)] + [(2000, None)], "id long, _word long")
+    keys = rows.filter("id % 40 = 0").select("_word").union(spark.createDataFrame([(None,)], "k long"))
+    for places in (1 << 24, 64, 1):
+        found = {r.id: r._among for r in common.may_be_among(rows.withColumnRenamed("_word", "v"), F.col("v"), keys, places).collect()}
+        assert len(found) == 2001 and all(found[k] for k in range(0, 2000, 40)) and not found[2000]
+    passed = common.may_be_among(rows.withColumnRenamed("_word", "v"), F.col("v"), keys).filter("_among").count()
+    assert passed == 50
+    assert not common.may_be_among(rows.select("id"), F.col("id"), keys.limit(0)).filter("_among").count()
+
+
 def test_near_dedup_stage_follows_similarity(spark, make_docs, odd, none):
     rng = random.Random(8)
     base = [[f"w{rng.randrange(5000)}" for _ in range(200)] for _ in range(20)]
