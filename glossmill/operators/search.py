@@ -11,6 +11,8 @@ from glossmill.functions.text import ascii_lower, nonblank
 #: An escape character that no query has: in the patterns, % and _ are wildcards and nothing escapes them.
 NO_ESCAPE = "\x01"
 COMBINED_LIMIT, PREFIX_LIMIT = 50, 30
+#: Characters of queries that go whole to every task; more are met by a shuffle of both sides.
+MOST_ASKED = 1 << 21
 
 
 def rank_keys() -> list[Column]:
@@ -62,18 +64,22 @@ def ranked(rows: DataFrame, keys: list[Column], limit: int) -> DataFrame:
     return rows.orderBy(*keys).limit(limit).withColumn("rnk", F.row_number().over(Window.orderBy(*keys)))
 
 
-def combined_many(entries: DataFrame, queries: DataFrame, limit: int = COMBINED_LIMIT) -> DataFrame:
+def combined_many(entries: DataFrame, queries: DataFrame, limit: int = COMBINED_LIMIT, most: int = MOST_ASKED) -> DataFrame:
     """combined() without wildcards for each distinct query of queries(query), with the query beside each row.
 
     Texts meet the queries by an equality join: a query stands under its folded self, a text under its beginnings of just the lengths
-    that queries have. A query's rows are cut to `limit` before they move. Blank and null queries find nothing.
+    that queries have. A query's rows are cut to `limit` before they move. Blank and null queries find nothing. Which side
+    goes to every task is told here, by what was counted: Spark guesses the beginnings by the size of the entries' file, and
+    would gather them in the driver.
     """
     asked = queries.select(F.trim("query").alias("query")).filter(nonblank(F.col("query"))).distinct()
-    lengths = sorted(r[0] for r in asked.select(F.length("query").alias("n")).distinct().collect())  # as many as the longest query has characters, at most
+    counted = asked.groupBy(F.length("query").alias("n")).agg(F.count(F.lit(1)).alias("of")).collect()  # as many as the longest query has characters, at most
+    lengths, size = sorted(r["n"] for r in counted), sum(r["n"] * r["of"] for r in counted)
     texts = F.array_distinct(F.array_compact(F.array(ascii_lower(F.col("expression")), ascii_lower(F.col("reading")))))
     cut = lambda t: F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(t)), lambda n: F.substring(t, F.lit(1), n))
     begun = entries.withColumn("_begins", F.explode(F.array_distinct(F.flatten(F.transform(texts, cut)))))
-    hit = begun.join(asked.select("query", ascii_lower(F.col("query")).alias("_folded")), F.col("_begins") == F.col("_folded")).drop("_begins", "_folded")
+    keyed = asked.select("query", ascii_lower(F.col("query")).alias("_folded")).hint("broadcast" if size <= most else "merge")
+    hit = begun.join(keyed, F.col("_begins") == F.col("_folded")).drop("_begins", "_folded")
     tier = F.when(F.col("expression") == F.col("query"), 0).when(F.col("reading") == F.col("query"), 1).otherwise(2)
     order = Window.partitionBy("query").orderBy(tier, *rank_keys(), F.length("expression"), "id")
     return hit.withColumn("rnk", F.row_number().over(order)).filter(F.col("rnk") <= limit)

@@ -158,3 +158,14 @@ def test_a_task_that_fails_leaves_nothing(spark, tmp_path):
 def test_paths_of_the_shared_folder(tmp_path):
     for given in (f"file:{tmp_path}", f"file://{tmp_path}", str(tmp_path)):
         assert _file_system(given)[1] == str(tmp_path)
+
+
+def test_many_queries_go_to_the_entries_and_not_the_entries_to_the_driver(spark):
+    entries = spark.createDataFrame([(1, "Hot plate", "plate", 3), (2, "hot", None, 0)], "id long, expression string, reading string, frequency int")
+    queries = spark.createDataFrame([(f"{q}{i}",) for q in ("hot", "PLATE", "zz") for i in ("", *range(90))], "query string")
+    sent = search.combined_many(entries, queries)
+    shuffled = search.combined_many(entries, queries, most=0)
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildRight" in plan(sent) and "BuildLeft" not in plan(sent)
+    assert "SortMergeJoin" in plan(shuffled) and "BroadcastHashJoin" not in plan(shuffled)
+    assert sorted(map(tuple, sent.select("query", "id", "rnk").collect())) == sorted(map(tuple, shuffled.select("query", "id", "rnk").collect())) == [("PLATE", 1, 1), ("hot", 1, 2), ("hot", 2, 1)]
