@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's setting: shuffle files of a query go at its end.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's settings: bytes up to which a table is broadcast, by a guess from its files and by what a shuffle has measured.
+GUESSED, MEASURED = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+#: Bytes of files up to which the guess counts. Rows take many times their files where texts repeat, and the driver holds what is broadcast.
+MOST_GUESSED = 256 << 10
 
 _made: ContextVar[list[str] | None] = ContextVar("_made", default=None)
 
@@ -33,14 +37,19 @@ def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """df as a table in the shared folder, computed once, and the table's path for drop_table().
 
     What was shuffled for it goes from the executors' disks once it is written, not only when the driver's memory is collected.
+    Tables of files of more than MOST_GUESSED bytes are broadcast only if a shuffle has measured that they are small.
     """
     spark = df.sparkSession
-    path, before = new_path(spark), spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    path, most = new_path(spark), spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    settings = {SHUFFLE_CLEANUP: "true", GUESSED: str(min(most, MOST_GUESSED)), MEASURED: spark.conf.get(MEASURED, None) or str(most)}
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path), path
 
 

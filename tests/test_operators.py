@@ -220,3 +220,25 @@ def test_published_versions_follow_deletes(spark, tmp_path):
     assert found(first) == {1}
     second = imports.delete_dictionary(spark, first, str(tmp_path), "Sample")
     assert [t.count() for t in imports.published(spark, second)] == [0, 0, 0] and found(second) == set() and found(first) == {1}
+
+
+def test_stored_tables_are_not_broadcast_by_the_size_of_their_files(spark, tmp_path):
+    keys = [tables.GUESSED, tables.MEASURED, tables.SHUFFLE_CLEANUP]
+    before = [spark.conf.get(k, None) for k in keys]
+    spark.range(0, 120_000, 1, 1).selectExpr("xxhash64(id) as id", "repeat('x', 500) as text").write.parquet(f"{tmp_path}/t")  # 1 MB of files, 60 MB of rows
+    small = spark.read.parquet(f"{tmp_path}/t")
+    plans = []
+    found = small.alias("a").join(small.select(F.col("id").alias("k"), "text"), F.col("id") == F.col("k")).select("id", "a.text")
+    class Writes:
+        """Takes the place of a table: tells how it would be joined while it is stored."""
+
+        sparkSession, schema = spark, found.schema
+
+        @property
+        def write(self):
+            plans.append(found.select("*")._jdf.queryExecution().sparkPlan().toString())
+            return found.write
+
+    tables.stored(Writes())
+    assert "BroadcastHashJoin" not in plans[0] and "BroadcastHashJoin" in found.select("*")._jdf.queryExecution().sparkPlan().toString()
+    assert [spark.conf.get(k, None) for k in keys] == before
