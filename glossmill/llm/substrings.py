@@ -242,14 +242,44 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, breaks + 1)].tolist(), (starts[np.append(breaks, len(starts) - 1)] + MATCH).tolist(), strict=True))
 
 
+def may_repeat(strings: list[bytes], anchors: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Whether a context may hold a string of MATCH bytes that another one with its anchor has, and one of the two has no copies.
+
+    Equal strings have their anchor at the same place, with SPAN - 1 bytes around it: half of them or more are before it or
+    after it. So contexts in question agree in that many bytes on one side of the anchor. Where its k-gram stands in a
+    context several times, each place counts.
+    """
+    half = (SPAN - 1) // 2
+    data = END.join(strings) + END
+    lengths = np.array([len(s) for s in strings], np.int64)
+    firsts = np.cumsum(lengths + 1) - lengths - 1
+    sums, down = _rolling(_BYTES[np.frombuffer(data, np.uint8)])
+    n = len(data)
+    grams = _mixed((sums[GRAM:] - sums[: n + 1 - GRAM]) * down[: n + 1 - GRAM])
+    row = np.repeat(np.arange(len(strings)), lengths + 1)[: len(grams)]
+    at = np.flatnonzero((grams == anchors[row]) & (np.arange(len(grams)) + GRAM <= (firsts + lengths)[row]))
+    out = np.zeros(len(strings), bool)
+    for before, after in ((half, 0), (0, half)):
+        lo, hi = at - before, at + GRAM + after
+        inside = (lo >= firsts[row[at]]) & (hi <= (firsts + lengths)[row[at]])
+        lo, hi, of = lo[inside], hi[inside], row[at[inside]]
+        if len(of):
+            side = pd.DataFrame({"h": anchors[of], "x": (sums[hi] - sums[lo]) * down[lo], "of": of, "single": copies[of] == 1})
+            groups = side.groupby(["h", "x"], sort=False)
+            out[of[(groups["of"].transform("min") != groups["of"].transform("max")) & groups["single"].transform("max")]] = True
+    return out
+
+
 def _sort_suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Spans of the contexts that occur once, from rows sorted by anchor; blocks hold whole anchors."""
     held: list[tuple] = []
     size = 0
 
     def flush() -> pd.DataFrame:
-        found = repeated_starts([r[6] for r in held])
-        spans = [(r[1], r[2], r[3] + s, r[3] + e) for r, starts in zip(held, found, strict=True) if r[5] == 1 for s, e in _runs(starts)]
+        asked = may_repeat([r[6] for r in held], np.array([r[0] for r in held], np.int64).view(np.uint64), np.array([r[5] for r in held], np.int64))
+        rows = [r for r, may in zip(held, asked.tolist(), strict=True) if may]
+        found = repeated_starts([r[6] for r in rows]) if rows else []
+        spans = [(r[1], r[2], r[3] + s, r[3] + e) for r, starts in zip(rows, found, strict=True) if r[5] == 1 for s, e in _runs(starts)]
         return pd.DataFrame(spans, columns=["doc_id", "t", "s", "e"])
 
     for batch in batches:

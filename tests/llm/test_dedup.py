@@ -398,3 +398,23 @@ def test_wide_vectors_meet_in_small_groups(spark):
     near = unit @ unit.T >= embeddings.COSINE
     found = {r.vec_id: r.n_links for r in embeddings.near_duplicates(table, block=4, tile=2).collect()}
     assert found == {k: int(near[k].sum()) - 1 for k in range(len(x))}
+
+
+def test_contexts_that_share_no_half_are_not_sorted():
+    rng = np.random.default_rng(5)
+    noise = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    gram, left, right = noise(substrings.GRAM), noise(240), noise(240)
+    anchor = substrings._mixed((lambda s, d: s[substrings.GRAM :][:1] - s[:1])(*substrings._rolling(substrings._BYTES[np.frombuffer(gram, np.uint8)])))[0]
+    strings = [
+        noise(320) + gram + noise(320),  # the anchor alone
+        left + gram + noise(320), noise(80) + left + gram + noise(320),  # 320 bytes before and with it
+        noise(320) + gram + right, noise(300) + gram + right[:170] + noise(60), noise(320) + gram + right[:150] + noise(100),
+    ]
+    anchors = np.full(len(strings), anchor, np.uint64)
+    assert substrings.may_repeat(strings, anchors, np.ones(len(strings), np.int64)).tolist() == [False, True, True, True, True, False]
+    assert substrings.may_repeat(strings, anchors, np.array([1, 2, 3, 1, 2, 1])).tolist() == [False, False, False, True, True, False]
+    for _ in range(20):  # any context with a repeated string is among them
+        middle = [left[rng.integers(0, 240) :] + gram + right[: rng.integers(0, 240)] for _ in range(6)]
+        rows = [noise(rng.integers(0, 90)) + m + noise(rng.integers(0, 90)) for m in middle] + [noise(320) + gram + gram + noise(300)]
+        may = substrings.may_repeat(rows, np.full(7, anchor, np.uint64), np.ones(7, np.int64))
+        assert all(may[k] for k, starts in enumerate(substrings.repeated_starts(rows)) if len(starts))
