@@ -42,17 +42,20 @@ def positions(listed: Column) -> Column:
 
 def pitch_html(reading: Column, listed: Column) -> Column:
     """Every accent of a reading: its number and name, and its morae with lines where the pitch is high or changes."""
-    units = morae(reading)
-    count = F.size(units)
 
-    def mora(pattern: Column, text: Column, i: Column) -> Column:
-        high, following = F.get(pattern, i), F.get(pattern, i + 1)
+    def mora(count: Column, drop: Column, text: Column, i: Column) -> Column:
+        high, following = F.when(count == 1, drop != 0).otherwise(is_high(i, drop)), is_high(i + 1, drop)
         edge = F.when((i < count - 1) & (high != following), F.when(high, FALL_STYLE).otherwise(RISE_STYLE)).otherwise("")
         return F.concat(F.lit('<span style="'), F.when(high, HIGH_STYLE).otherwise(LOW_STYLE), edge, F.lit(' display:inline-block;">'), text, F.lit("</span>"))
 
-    def accent(drop: Column) -> Column:
+    def accent(units: Column, drop: Column) -> Column:
+        count = F.size(units)
         head = F.concat(F.lit(f'<span style="{LABEL_STYLE}">['), drop.cast("string"), F.lit("] "), pitch_label(count, drop), F.lit("</span> "))
-        return F.concat(head, F.array_join(F.transform(units, lambda text, i: mora(pitch_pattern(count, drop), text, i)), ""))
+        return F.concat(head, F.array_join(F.transform(units, lambda text, i: mora(count, drop, text, i)), ""))
 
-    found = positions(listed)
-    return F.when(nonblank(listed) & (F.size(found) > 0) & (count > 0), F.array_join(F.transform(found, accent), "&nbsp;&nbsp;")).otherwise("")
+    def shown(units: Column) -> Column:
+        found = positions(listed)
+        return F.when(nonblank(listed) & (F.size(found) > 0) & (F.size(units) > 0), F.array_join(F.transform(found, lambda drop: accent(units, drop)), "&nbsp;&nbsp;")).otherwise("")
+
+    # the morae are the one element of an array, so that they are found once a reading and not once a mora
+    return F.get(F.transform(F.array(morae(reading)), shown), 0)

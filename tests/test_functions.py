@@ -75,3 +75,11 @@ def test_deep_content():
 @pytest.mark.parametrize(("value", "expected"), [("12/34", 1234), (3.5, 35), ({"value": [1]}, 0), ({"frequency": {"displayValue": "７位"}}, 7), ({"frequency": "x", "displayValue": "4"}, 4), (10**12, 0)])
 def test_frequency(value, expected):
     assert structured.frequency_of(value) == expected
+
+
+def test_pitch_html_finds_the_morae_once_a_reading(spark):
+    df = spark.createDataFrame([("きゃく", "0, x,2"), ("か", "1"), ("かな", None), (None, "1"), ("", "0")], "r string, a string").select(pitch.pitch_html(F.col("r"), F.col("a")).alias("html"))
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
+    shown = [r.html for r in df.collect()]
+    assert shown[2:] == ["", "", ""] and shown[0].count("[0] 平板") == shown[0].count("[2] 尾高") == 1 and shown[0].count(">きゃ<") == 2
+    assert pitch.HIGH_STYLE in shown[1] and pitch.FALL_STYLE not in shown[1]
