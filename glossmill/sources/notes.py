@@ -121,7 +121,9 @@ class NoteDeck(DataSource):
 
 
 def export_notes(cards: DataFrame, path: str, deck: str, export: str) -> None:
-    """Adds cards(expression, reading, fields of a card) to a deck as one export."""
+    """Adds cards(expression, reading, fields of a card) to a deck as one export; one that is there already is not computed again."""
+    if any(e["export"] == export for e in exports(path)):
+        return
     spark = cards.sparkSession
     spark.dataSource.register(NoteDeck)
     cards.select(*[F.col(c).cast("string").alias(c) for c in (*KEYS, *(f"field_{f}" for f in FIELDS))]).write.format("note_deck").option("path", path).option("deck", deck).option("export", export).mode("append").save()

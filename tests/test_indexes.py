@@ -169,3 +169,11 @@ def test_many_queries_go_to_the_entries_and_not_the_entries_to_the_driver(spark)
     assert "BuildRight" in plan(sent) and "BuildLeft" not in plan(sent)
     assert "SortMergeJoin" in plan(shuffled) and "BroadcastHashJoin" not in plan(shuffled)
     assert sorted(map(tuple, sent.select("query", "id", "rnk").collect())) == sorted(map(tuple, shuffled.select("query", "id", "rnk").collect())) == [("PLATE", 1, 1), ("hot", 1, 2), ("hot", 2, 1)]
+
+
+def test_notes_of_an_export_that_is_there_are_not_computed_again(spark, tmp_path):
+    fields = {f"field_{f}": F.lit("x") for f in cards.FIELDS}
+    rows = spark.range(3).select(F.col("id").cast("string").alias("expression"), F.lit("r").alias("reading")).withColumns(fields)
+    notes.export_notes(rows, str(tmp_path), "Deck", "a")
+    notes.export_notes(rows.withColumn("reading", F.raise_error(F.lit("computed again")).cast("string")), str(tmp_path), "Deck", "a")
+    assert notes.notes(spark, str(tmp_path)).count() == 3
