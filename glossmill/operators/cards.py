@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.functions import pitch
@@ -13,8 +13,8 @@ FIELDS = ["front", "reading", "meaning", "pitch_accent", "frequency", "audio", "
 KEYS = ["expression", "reading", "deck_name"]
 
 
-def cards(entries: DataFrame) -> DataFrame:
-    """id and the fields of a card for each entry; markup in the entries' texts is escaped, readings in pitch spans are not."""
+def cards(entries: DataFrame, *more: Column) -> DataFrame:
+    """id, the fields of a card and `more` columns for each entry; markup in the entries' texts is escaped, readings in pitch spans are not."""
     said = F.when(nonblank(F.col("reading")), F.col("reading")).otherwise(F.col("expression"))
     translation = F.col("example_sentence_translation")
     small = F.when(nonblank(translation), F.concat(F.lit("<br><small>"), escape_html(translation), F.lit("</small>"))).otherwise("")
@@ -27,6 +27,7 @@ def cards(entries: DataFrame) -> DataFrame:
         escape_html(frequency_label(F.col("frequency"))).alias("frequency"),
         F.col("audio_file").alias("audio"),
         F.concat(escape_html(F.col("example_sentence")), small).alias("sentence"),
+        *more,
     )
 
 

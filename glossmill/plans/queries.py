@@ -638,9 +638,8 @@ def cards_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deck_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards in two decks. The first export runs twice and adds nothing the second time; a note is in a deck once."""
     path = f"{shared_folder(spark)}/notes/{uuid.uuid4().hex}"
-    entries = fx.entries(spark, sf_dir)
-    made = card_ops.cards(entries)
-    rows = entries.select(F.col("id").alias("_id"), "expression", F.col("reading")).join(made.select("id", *[F.col(c).alias(f"field_{c}") for c in card_ops.FIELDS]), F.col("_id") == F.col("id"))
+    made = card_ops.cards(fx.entries(spark, sf_dir), F.col("expression").alias("_expression"), F.col("reading").alias("_reading"))
+    rows = made.select(F.col("_expression").alias("expression"), F.col("_reading").alias("reading"), *[F.col(c).alias(f"field_{c}") for c in card_ops.FIELDS])
     for deck, export in (("Deck", "a"), ("Deck", "a"), ("Other", "b")):
         notes.export_notes(rows, path, deck, export)
     return notes.notes(spark, path).select("name", "expression", "reading", F.col("field_front").alias("front"))

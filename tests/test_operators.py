@@ -242,3 +242,9 @@ def test_stored_tables_are_not_broadcast_by_the_size_of_their_files(spark, tmp_p
     tables.stored(Writes())
     assert "BroadcastHashJoin" not in plans[0] and "BroadcastHashJoin" in found.select("*")._jdf.queryExecution().sparkPlan().toString()
     assert [spark.conf.get(k, None) for k in keys] == before
+
+
+def test_cards_take_columns_of_their_entries_along(spark):
+    entry = spark.createDataFrame([(1, "a", "b", ["<"], "", 0, "", "", "")], "id long, expression string, reading string, definitions array<string>, pitch_accent string, frequency int, audio_file string, example_sentence string, example_sentence_translation string")
+    row = cards.cards(entry, F.col("expression").alias("_expression")).first()
+    assert (row.id, row.meaning, row._expression) == (1, "&lt;", "a")
