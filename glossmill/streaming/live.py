@@ -37,34 +37,40 @@ def with_clock(events: DataFrame) -> DataFrame:
 
 
 class _Input(StatefulProcessor):
-    """The last input of a user, which a timer tells once no other one has come for a while."""
+    """The last input of a user, which a timer tells once no other one has come for a while.
+
+    Each call to the state store is a message to another process, so all that is kept is one value: the input, and when its
+    timer is due. A timer that expires at another time is one of an earlier input and tells nothing.
+    """
 
     def __init__(self, schema: StructType, quiet: float):
         self.schema, self.names, self.quiet = schema, schema.fieldNames(), quiet
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getValueState("pending", StructType(self.schema.fields[1:]))
+        self.pending = handle.getValueState("pending", StructType([*self.schema.fields[1:], StructField("_due", LongType())]))
+
+    def known(self) -> tuple[tuple | None, int]:
+        """What is kept of the user, and when its timer is due."""
+        kept = self.pending.get()
+        return (None, 0) if kept is None else (tuple(kept[:-1]), kept[-1])
 
-    def rows(self, batches: Iterator[pd.DataFrame]) -> list[tuple]:
-        """The batch's (at, tie, value) in order."""
-        found = [tuple(None if pd.isna(x) else getattr(x, "item", lambda x=x: x)() for x in row) for batch in batches for row in batch[self.names[1:]].itertuples(index=False, name=None)]
-        return sorted(found, key=lambda r: r[:2])
+    def rows(self, batch: pd.DataFrame) -> list[tuple]:
+        """(at, tie, value) of each row."""
+        return [tuple(None if pd.isna(x) else getattr(x, "item", lambda x=x: x)() for x in row) for row in batch[self.names[1:]].itertuples(index=False, name=None)]
 
     def told(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
         if rows:
             yield pd.DataFrame([(key[0], *r) for r in rows], columns=self.names)
 
-    def wait(self, timer_values) -> None:
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + int(self.quiet * 1000))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.pending.exists():
-            last = tuple(self.pending.get())
-            self.pending.clear()
-            yield from self.told(key, [last])
+    def keep(self, row: tuple, before: int, timer_values) -> None:
+        """Keeps row, with a timer of its own in place of the one that was due at `before`."""
+        now = timer_values.getCurrentProcessingTimeInMs()
+        if before > now:
+            self.handle.deleteTimer(before)
+        due = now + int(self.quiet * 1000)
+        self.pending.update((*row, due))
+        self.handle.registerTimer(due)
 
     def close(self) -> None:
         pass
@@ -76,31 +82,34 @@ class _Debounce(_Input):
         self.gap = int(gap * 1_000_000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found = self.rows(rows)
-        if self.pending.exists():
-            found = sorted([tuple(self.pending.get()), *found], key=lambda r: r[:2])
-        self.pending.update(found[-1])
-        self.wait(timerValues)
+        kept, due = self.known()
+        found = sorted([*([kept] if kept else []), *(r for batch in rows for r in self.rows(batch))], key=lambda r: r[:2])
+        self.keep(found[-1], due, timerValues)
         yield from self.told(key, [r for r, after in zip(found, found[1:], strict=False) if after[0] - r[0] >= self.gap])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        kept, due = self.known()
+        if kept and due == expiredTimerInfo.getExpiryTimeInMs():
+            self.pending.clear()
+            yield from self.told(key, [kept])
+
 
 class _Latest(_Input):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.last = handle.getValueState("last", StructType(self.schema.fields[1:3]))
+    """What was told stays, to be compared with what comes later."""
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest = self.rows(rows)[-1]
-        known = [tuple(s.get()) for s in (self.last, self.pending) if s.exists()]
-        if all(newest[:2] > k[:2] for k in known):
-            self.pending.update(newest)
-            self.wait(timerValues)
+        at = self.names[1]
+        last = [r for batch in rows for r in self.rows(batch[batch[at] == batch[at].max()])]
+        newest = sorted(last, key=lambda r: r[:2])[-1]
+        kept, due = self.known()
+        if kept is None or newest[:2] > kept[:2]:
+            self.keep(newest, due, timerValues)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.pending.exists():
-            self.last.update(tuple(self.pending.get())[:2])
-        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+        kept, due = self.known()
+        if kept and due == expiredTimerInfo.getExpiryTimeInMs():
+            yield from self.told(key, [kept])
 
 
 def _processed(events: DataFrame, columns: tuple[str, str, str, str], processor: Callable[[StructType], StatefulProcessor]) -> DataFrame:

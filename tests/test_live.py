@@ -1,9 +1,12 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from compare import DATA, of_duck, of_spark
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from glossmill.plans import library
 from glossmill.plans import queries as lexicon
@@ -120,3 +123,46 @@ def test_what_fails_for_some_keys_is_empty_for_them_alone(spark):
     found = live.caught(rows, search, "k", lambda df: df.withColumn("v", F.lit("")))
     assert sorted(tuple(r) for part in found for r in part.collect()) == sorted((k, "" if k in bad else f"v{k}") for k in range(40) for _ in range(2))
     assert len(live.caught(rows, lambda df: df, "k", lambda df: df)) == 1 and live.caught(rows.limit(0), search, "k", lambda df: df)[0].count() == 0
+
+
+class Counted:
+    """A state store of one user that counts the messages to it."""
+
+    def __init__(self):
+        self.value, self.calls, self.timers = None, 0, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getCurrentProcessingTimeInMs(self):
+        return 1000
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name == "update":
+                self.value = args[0]
+            if name == "registerTimer":
+                self.timers.add(args[0])
+            if name == "deleteTimer":
+                self.timers.discard(args[0])
+            return {"get": self.value, "exists": self.value is not None, "listTimers": sorted(self.timers)}.get(name)
+
+        return call
+
+
+@pytest.mark.parametrize("kind", ["debounce", "latest"])
+def test_an_input_takes_few_messages_to_the_state_store(kind):
+    schema = StructType([StructField(c, t) for c, t in (("user", LongType()), ("ts", LongType()), ("id", LongType()), ("value", StringType()))])
+    processor, store = live._Debounce(schema, 3, 60) if kind == "debounce" else live._Latest(schema, 3), Counted()
+    processor.init(store)
+    feed = lambda at: list(processor.handleInputRows((1,), iter([pd.DataFrame([(1, at, at, "a"), (1, at - 1, 9, "b")], columns=schema.fieldNames())]), store))
+    feed(5)
+    assert store.calls <= 3 and store.timers == {4000}
+    store.calls = 0
+    feed(7)
+    assert store.calls <= 4 and store.timers == {4000}
+    store.calls = 0
+    expired = lambda at: [tuple(r) for t in processor.handleExpiredTimer((1,), store, ExpiredTimerInfo(at)) for r in t.itertuples(index=False)]
+    assert expired(3999) == [] and expired(4000) == [(1, 7, 7, "a")]
+    assert store.calls <= 3
