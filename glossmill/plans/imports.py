@@ -27,10 +27,13 @@ def read(members: DataFrame, null_as_text: bool = False) -> Imported:
 
     The count of an archive that has meta banks only is of the ranks and accents that it sets.
     """
-    parts = cut(archive.readable(cut(archive.parsed(members))))
-    terms, meta, index = cut(archive.terms(parts, null_as_text)), cut(archive.meta(parts)), archive.index(parts)
+    whole = archive.parsed(members)
+    whole = cut(whole.withColumn("text", F.when(F.col("kind") == "index", F.col("text"))))  # an element's text is its variant
+    parts = archive.readable(whole, cut(archive.errors(whole)))
+    usable = cut(archive.usable_meta(parts))
+    terms, meta, index = cut(archive.terms(parts, null_as_text)), cut(archive.meta(usable)), cut(archive.index(parts))
     of_terms = terms.groupBy("path").agg(F.count(F.lit(1)).alias("n")).join(index.filter("not meta_only"), "path", "left_semi")
-    counts = of_terms.unionByName(archive.meta_counts(parts).join(index.filter("meta_only"), "path", "left_semi"))
+    counts = of_terms.unionByName(archive.meta_counts(usable).join(index.filter("meta_only"), "path", "left_semi"))
     rows = index.join(counts, "path", "left").select(F.col("title").alias("name"), "version", "revision", F.coalesce("n", F.lit(0)).cast("long").alias("entry_count"), F.lit(True).alias("enabled"), F.lit(0).alias("priority"), "path")
     return Imported(terms, meta, cut(rows))
 

@@ -28,7 +28,7 @@ PART = "path string, ord int, member string, kind string, pos long, text string,
 UNTITLED = "Unknown Dictionary"
 #: Bytes that are read at once, rows and bytes of their texts that are handed on together, and the longest element: what a
 #: variant can hold.
-CHUNK, ROWS, BATCH, LONGEST = 1 << 20, 8192, 8 << 20, 128 << 20
+CHUNK, ROWS, BATCH, LONGEST = 1 << 20, 8192, 2 << 20, 128 << 20
 #: Bytes of members, as they are when decompressed, that a task reads together; a larger member is a task of its own.
 TASK = 32 << 20
 #: pos of the row that says that there is a bank, and of the row that tells an error.
@@ -323,10 +323,13 @@ def _with_variants(rows: DataFrame) -> DataFrame:
     return rows if "v" in rows.columns else parsed(rows)
 
 
-def readable(rows: DataFrame) -> DataFrame:
-    """The parts of members that are read as a whole, without the column of errors, and rows without kind for the others."""
+def readable(rows: DataFrame, wrong: DataFrame | None = None) -> DataFrame:
+    """The parts of members that are read as a whole, without the column of errors, and rows without kind for the others.
+
+    wrong is errors(rows), if it is stored already.
+    """
     known = _with_variants(rows)
-    bad = errors(known).select("path", "ord", "member")
+    bad = (errors(known) if wrong is None else wrong).select("path", "ord", "member")
     kept = ["path", "ord", "member", "kind", "pos", "text", "v"]
     none = [F.lit(None).cast(t).alias(c) for c, t in (("kind", "string"), ("pos", "long"), ("text", "string"), ("v", "variant"))]
     return known.join(bad.select("path", "ord"), ["path", "ord"], "left_anti").select(*kept).unionByName(bad.select("path", "ord", "member", *none))
@@ -371,19 +374,22 @@ def terms(rows: DataFrame, null_as_text: bool = False) -> DataFrame:
     return found.join(titles, "path").select("path", "ord", "pos", "expression", reading.alias("reading"), "definitions", F.lit(0).alias("frequency"), F.lit("").alias("pitch_accent"), pos.alias("parts_of_speech"), "dictionary_name", "sequence_number")
 
 
-def _usable_meta(rows: DataFrame) -> DataFrame:
+def usable_meta(rows: DataFrame) -> DataFrame:
+    """(path, ord, pos, expression, type, frequency, pitch): the ranks and accents that say something. Store it: meta() and meta_counts() both read it."""
+    if "pitch" in rows.columns:
+        return rows
     found = _elements(rows, "meta").filter(F.try_variant_get("v", "$[2]", "variant").isNotNull())
     found = found.select("path", "ord", "pos", _text(0).alias("expression"), _text(1).alias("type"), _item(2).alias("payload")).filter(F.col("type").isin("freq", "pitch"))
     found = found.withColumns({"frequency": F.when(F.col("type") == "freq", structured.frequency("payload")), "pitch": F.when(F.col("type") == "pitch", structured.pitch("payload"))})
-    return found.filter((F.col("frequency") > 0) | nonblank(F.col("pitch")))
+    return found.filter((F.col("frequency") > 0) | nonblank(F.col("pitch"))).drop("payload")
 
 
 def meta_counts(rows: DataFrame) -> DataFrame:
     """(path, n): how many expressions' ranks and how many expressions' accents each archive sets."""
-    return _usable_meta(rows).groupBy("path").agg(F.count_distinct("expression", "type").alias("n"))
+    return usable_meta(rows).groupBy("path").agg(F.count_distinct("expression", "type").alias("n"))
 
 
 def meta(rows: DataFrame) -> DataFrame:
     """(expression, type, frequency, pitch): for each expression and type the last usable payload in member and element order."""
     at = F.struct("path", "ord", "pos")
-    return _usable_meta(rows).groupBy("expression", "type").agg(F.max_by("frequency", at).alias("frequency"), F.max_by("pitch", at).alias("pitch"))
+    return usable_meta(rows).groupBy("expression", "type").agg(F.max_by("frequency", at).alias("frequency"), F.max_by("pitch", at).alias("pitch"))

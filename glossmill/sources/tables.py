@@ -16,6 +16,9 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 GUESSED, MEASURED = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
 #: Bytes of files up to which the guess counts. Rows take many times their files where texts repeat, and the driver holds what is broadcast.
 MOST_GUESSED = 256 << 10
+#: Spark's setting: bytes of rows that a Python task is handed at once, and the most of them that stored() lets it be. Four
+#: tasks of an executor hold them as Arrow and as Python's objects beside each other.
+HANDED, MOST_HANDED = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 _made: ContextVar[list[str] | None] = ContextVar("_made", default=None)
 
@@ -37,11 +40,13 @@ def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """df as a table in the shared folder, computed once, and the table's path for drop_table().
 
     What was shuffled for it goes from the executors' disks once it is written, not only when the driver's memory is collected.
-    Tables of files of more than MOST_GUESSED bytes are broadcast only if a shuffle has measured that they are small.
+    Tables of files of more than MOST_GUESSED bytes are broadcast only if a shuffle has measured that they are small. Python
+    tasks are handed MOST_HANDED bytes at once, a row at least.
     """
     spark = df.sparkSession
-    path, most = new_path(spark), spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    settings = {SHUFFLE_CLEANUP: "true", GUESSED: str(min(most, MOST_GUESSED)), MEASURED: spark.conf.get(MEASURED, None) or str(most)}
+    conf = spark._jsparkSession.sessionState().conf()
+    path, most = new_path(spark), conf.autoBroadcastJoinThreshold()
+    settings = {SHUFFLE_CLEANUP: "true", GUESSED: str(min(most, MOST_GUESSED)), MEASURED: spark.conf.get(MEASURED, None) or str(most), HANDED: str(min(conf.arrowMaxBytesPerBatch(), MOST_HANDED))}
     before = {k: spark.conf.get(k, None) for k in settings}
     try:
         for k, v in settings.items():

@@ -3,12 +3,13 @@ import json
 import random
 import zipfile
 
+import pyarrow as pa
 import pytest
 from archives import sample_archive
 from pyspark.sql import functions as F
 
 from glossmill.plans import imports
-from glossmill.sources import archive
+from glossmill.sources import archive, tables
 from glossmill.sources.elements import NotAnArray, elements
 
 
@@ -109,3 +110,21 @@ def test_written_archives_can_be_read_again(spark, tmp_path):
         assert sorted((r.path, r.members) for r in archive.write(members, folder).collect()) == [("a.zip", 5), ("b.zip", 5)]
     assert sorted(r.text for r in archive.streamed(spark, folder).filter("pos = 0").collect()) == sorted(t[1:-1] for _, _, _, t in rows)
     assert archive.streamed(spark, folder).filter("error is not null").count() == 0
+
+
+def test_the_import_calls_each_reader_of_payloads_once(spark):
+    """A filter on their results does not make them be computed again, and ranks are read once for the entries and the catalog."""
+    members = spark.createDataFrame([("a.zip", 0, "index.json", '{"title":"A"}'), ("a.zip", 1, "term_meta_bank_1.json", '[["x","freq",3],["x","pitch",{"pitches":[{"position":1}]}],["y","freq",0]]')], "path string, ord int, member string, text string")
+    usable = archive.usable_meta(archive.parsed(members))
+    assert usable._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted((r.expression, r.type, r.frequency, r.pitch) for r in usable.collect()) == [("x", "freq", 3, None), ("x", "pitch", None, "1")]
+    assert archive.meta(usable).count() == 2 and archive.meta_counts(usable).first().n == 2
+
+
+def test_python_tasks_are_handed_few_bytes_at_once(spark, monkeypatch):
+    monkeypatch.setattr(tables, "MOST_HANDED", 1 << 20)
+    before = spark.conf.get(tables.HANDED)
+    rows = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 2000).alias("text"))
+    sizes = lambda batches: (pa.RecordBatch.from_pylist([{"n": b.num_rows}]) for b in batches)
+    handed = [r.n for r in tables.cut(rows.mapInArrow(sizes, "n long")).collect()]
+    assert sum(handed) == 4000 and max(handed) < 1000 and spark.conf.get(tables.HANDED) == before
