@@ -29,7 +29,8 @@ CHUNK = 1 << 21
 HOT = 1 << 18
 #: Characters of texts whose shingles a task holds at once; one text at least.
 HELD = 1 << 22
-#: Rounds in which sets are held against leaders only, leaders of a shingle in each, and bits in which the fingerprints of a
+#: Rounds in which sets are held against leaders only, leaders of a shingle in each (the first of them is the set in the middle
+#: of most others, the rest are any), and bits in which the fingerprints of a
 #: set and its leader may differ (sets at 0.8 differ in 10 on average). These too change the number of candidates only.
 ROUNDS, LEADERS, NEAR = 2, 4, 16
 
@@ -104,7 +105,7 @@ def _held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _prefixes(hot: np.ndarray, counts: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _held(batches):
-            fps, sims, sizes, heads = [], [], [], []
+            fps, sims, sizes, heads, middles = [], [], [], [], []
             for text in batch["text"]:
                 found = shingles(text)
                 fps.append(_hash(found.tobytes(), SEED))
@@ -114,8 +115,10 @@ def _prefixes(hot: np.ndarray, counts: np.ndarray) -> Callable[[Iterator[pd.Data
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, found), len(hot) - 1)
                     rank = np.where(hot[at] == found, counts[at], 0)
-                heads.append(found[np.lexsort((found, rank))[: len(found) - needed(len(found)) + 1]])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "fp": np.array(fps, np.uint64).view(np.int64), "sim": sims, "size": sizes, "head": heads})
+                first = np.lexsort((found, rank))[: len(found) - needed(len(found)) + 1]
+                heads.append(found[first])
+                middles.append(int(rank[first].sum()) // max(len(first), 1))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "fp": np.array(fps, np.uint64).view(np.int64), "sim": sims, "size": sizes, "middle": middles, "head": heads})
 
     return prefixes
 
@@ -134,58 +137,73 @@ def by_fingerprint(distinct: DataFrame) -> DataFrame:
 
 
 def postings(distinct: DataFrame) -> DataFrame:
-    """(h, fp, sim, size): the sets of distinct(fp, sim, size, head) at each shingle that more than one prefix holds."""
-    heads = distinct.select("fp", "sim", "size", F.explode("head").alias("h")).repartition("h")  # moved once for both
+    """(h, fp, sim, size, middle, at): the sets of distinct(fp, sim, size, middle, head) at each shingle that more than one prefix holds.
+
+    at is how many of the set's shingles come before h.
+    """
+    heads = distinct.select("fp", "sim", "size", "middle", F.posexplode("head").alias("at", "h")).repartition("h")  # moved once for both
     common = heads.groupBy("h").count().filter("count > 1").select("h")
-    return heads.join(common, "h", "left_semi").select("h", "fp", "sim", "size")
+    return heads.join(common, "h", "left_semi").select("h", "fp", "sim", "size", "middle", "at")
 
 
 def _rooted(posted: DataFrame, grouped: DataFrame) -> DataFrame:
     """posted with the root of each set as grouped(fp, root) has it, at the shingles where more than one root is left.
 
-    major is the root that most of a shingle's sets have.
+    major is the root that most of a shingle's sets have. A set is left out where so many of its shingles come before the
+    shingle that it could not be similar to the smallest set there.
     """
-    rooted = posted.join(grouped.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp"), "left").select("h", "fp", "sim", "size", F.coalesce("root", "fp").alias("root"))
+    rooted = posted.join(grouped.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp"), "left").select("h", "fp", "sim", "size", "middle", "at", F.coalesce("root", "fp").alias("root"))
     rooted = rooted.repartition("h")  # moved once for all of the following
-    roots = rooted.groupBy("h", "root").count().groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max_by("root", F.struct("count", "root")).alias("major"))
-    return cut(rooted.join(roots.filter("n > 1").select("h", "major"), "h"))
+    roots = rooted.groupBy("h", "root").agg(F.count(F.lit(1)).alias("count"), F.min("size").alias("least")).groupBy("h")
+    roots = roots.agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("least"), F.max_by("root", F.struct("count", "root")).alias("major"))
+    kept = rooted.join(roots.filter("n > 1").select("h", "least", "major"), "h").filter(_enough("size", "at", "least"))
+    return cut(kept.drop("least"))
+
 
+def _enough(size: str, at: str, other: str) -> Column:
+    """Whether a set's shingles from place `at` on are as many as it must share with one of size `other`.
 
-def _sizes_allow() -> Column:
+    Where two sets meet first, in the order of prefixes, all that they share comes from there on.
+    """
     top, of = SIMILAR
-    return (F.col("m") * of >= F.col("n") * top) & (F.col("n") * of >= F.col("m") * top)
+    return (F.col(size) - F.col(at)) * (top + of) >= (F.col(size) + F.col(other)) * top
 
 
 def led_pairs(rooted: DataFrame, nth: int) -> DataFrame:
-    """(a, b): each set b with the leaders a of other roots whose fingerprints are nearest to its own; LEADERS pairs a set at most.
+    """(a, b): each set b with leaders a of other roots; LEADERS pairs a set at most.
 
-    A shingle has LEADERS leaders, chosen by hashes that differ with nth, so there are at most as many candidates as LEADERS
-    times the postings, however large the groups of near copies are.
+    A shingle has LEADERS leaders, so there are at most as many candidates as LEADERS times the postings, however large the
+    groups of near copies are. The first is the set whose prefix is most frequent: among near copies the one that they were
+    made from, or the nearest to it. The others are chosen by hashes that differ with nth. Of those that a set meets the ones
+    with the nearest fingerprints are taken; of the first ones, in round 0, the most frequent, whatever its fingerprint.
     """
-    members = F.struct(F.col("fp").alias("a"), F.col("sim").alias("s"), F.col("size").alias("m"), F.col("root").alias("ra"))
-    chosen = [F.min_by(members, F.xxhash64(F.lit(nth * LEADERS + k), "h", "fp")) for k in range(LEADERS)]
+    members = F.struct(F.col("fp").alias("a"), F.col("sim").alias("s"), F.col("size").alias("m"), F.col("at").alias("i"), F.col("middle").alias("w"), F.col("root").alias("ra"))
+    chosen = [F.max_by(members, F.struct("middle", F.xxhash64("fp")))]
+    chosen += [F.min_by(members, F.xxhash64(F.lit(nth * LEADERS + k), "h", "fp")) for k in range(1, LEADERS)]
     leaders = rooted.groupBy("h").agg(F.array(*chosen).alias("led")).select(F.col("h").alias("_h"), F.posexplode("led").alias("k", "led")).select("_h", "k", "led.*")
     apart = F.bit_count(F.col("sim").bitwiseXOR(F.col("s")))
-    met = rooted.withColumnRenamed("size", "n").join(leaders, F.col("h") == F.col("_h")).filter((F.col("ra") != F.col("root")) & _sizes_allow() & (apart <= NEAR))
-    return met.groupBy(F.col("fp").alias("b"), "k").agg(F.min_by("a", F.struct(apart, F.col("a"))).alias("a")).select("a", "b").distinct()
+    by_middle = (F.col("k") == 0) & F.lit(nth == 0)
+    may = _enough("m", "i", "n") & _enough("n", "j", "m") & (by_middle | (apart <= NEAR))
+    met = rooted.withColumnsRenamed({"size": "n", "at": "j"}).join(leaders, F.col("h") == F.col("_h")).filter((F.col("ra") != F.col("root")) & may)
+    nearest = F.min_by("a", F.struct(F.when(by_middle, -F.col("w")).otherwise(apart), F.col("a")))
+    return met.groupBy(F.col("fp").alias("b"), "k").agg(nearest.alias("a")).select("a", "b").distinct()
 
 
 def all_pairs(rooted: DataFrame) -> DataFrame:
     """(a, b): all sets of different roots with a common shingle in their prefixes that may be similar.
 
-    Two similar sets share a shingle of their prefixes: each prefix leaves out fewer shingles than the sets must share. All
-    that they share beyond both prefixes lies beyond the prefix that ends first, so at most what that one leaves out. One of
+    Two similar sets share a shingle of their prefixes: each prefix leaves out fewer shingles than the sets must share. From
+    the first one on, each has as many shingles as they must share; a later one that they share need not be met, so sets near
+    a large group of copies do not meet it in all that is frequent there. One of
     two sets of different roots is not of the shingle's major root, so only those others are paired with all of its sets,
     and a group of near copies that has become one root is not paired with itself.
     """
-    top, of = SIMILAR
-    left = rooted.select("h", F.col("fp").alias("x"), F.col("size").alias("m"), F.col("root").alias("rx"), (F.col("root") == F.col("major")).alias("of_major"))
-    right = rooted.filter("root <> major").select(F.col("h").alias("_h"), F.col("fp").alias("y"), F.col("size").alias("n"), F.col("root").alias("ry"))
+    left = rooted.select("h", F.col("fp").alias("x"), F.col("size").alias("m"), F.col("at").alias("i"), F.col("root").alias("rx"), (F.col("root") == F.col("major")).alias("of_major"))
+    right = rooted.filter("root <> major").select(F.col("h").alias("_h"), F.col("fp").alias("y"), F.col("size").alias("n"), F.col("at").alias("j"), F.col("root").alias("ry"))
     once = F.col("of_major") | (F.col("x") < F.col("y"))
-    met = left.join(right, (F.col("h") == F.col("_h")) & (F.col("rx") != F.col("ry")) & once & _sizes_allow())
-    shared = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.greatest("m", "n")).alias("most"), F.min(F.col("m") + F.col("n")).alias("both"))
-    beyond = F.expr(f"(most * {top} + {of - 1}) div {of} - 1")
-    return shared.filter((F.col("c") + beyond) * (top + of) >= F.col("both") * top).select("a", "b")
+    may = _enough("m", "i", "n") & _enough("n", "j", "m")
+    met = left.join(right, (F.col("h") == F.col("_h")) & (F.col("rx") != F.col("ry")) & once & may)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -221,9 +239,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hashed = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = hashed.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would read numbers with nulls as floats
-    heads, all_heads = stored(texts.mapInPandas(_prefixes(*hot_shingles(docs)), "doc_id string, text_hash long, fp long, sim long, size long, head array<long>"))
+    heads, all_heads = stored(texts.mapInPandas(_prefixes(*hot_shingles(docs)), "doc_id string, text_hash long, fp long, sim long, size long, middle long, head array<long>"))
     rows = cut(heads.select(F.col("doc_id").cast(kind).alias("doc_id"), "text_hash", "fp"))
-    firsts = [F.min("text_hash").alias("text_hash"), F.first("sim").alias("sim"), F.first("size").alias("size"), F.first("head").alias("head")]
+    firsts = [F.min("text_hash").alias("text_hash"), F.first("sim").alias("sim"), F.first("size").alias("size"), F.first("middle").alias("middle"), F.first("head").alias("head")]
     prefixed, of_sets = stored(heads.filter("size > 0").groupBy("fp").agg(*firsts))
     drop_table(docs.sparkSession, all_heads)
     distinct, posted = cut(prefixed.select("fp", "text_hash", "sim")), cut(postings(prefixed))

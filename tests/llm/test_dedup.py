@@ -175,6 +175,52 @@ def test_jaccard_of_a_large_group_and_many_near_misses(spark, make_docs, monkeyp
     assert {k: least[root[k]] for k in root} == union(range(len(texts)), [*pairs, (360, 361)])
 
 
+def rows_of_joins(df):
+    """Rows that the joins of df's plan make."""
+
+    def walk(node):
+        made = node.metrics().get("numOutputRows").get().value() if "Join" in node.nodeName() else 0
+        children = node.children()
+        return made + sum(walk(children.apply(k)) for k in range(children.size()))
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_sets_near_a_large_group_do_not_meet_all_of_it(spark, make_docs, monkeypatch):
+    """A text, 250 copies with one or two of its 150 words changed, and 80 with four, which are nobody's copies."""
+    rng = random.Random(31)
+    base = [f"w{k}" for k in range(150)]
+
+    def changed(nth, places):
+        return " ".join(f"c{nth}x{k}" if k in places else w for k, w in enumerate(base))
+
+    texts = [" ".join(base)] + [changed(k, rng.sample(range(150), 1 + k % 2)) for k in range(250)]
+    texts += [changed(1000 + k, [5 + k % 20, 45 + k % 17, 85 + k % 13, 125 + k % 11]) for k in range(80)]
+    sets = [shingle_set(t) for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if similarity(sets[a], sets[b]) >= 0.8]
+    assert len(pairs) > 10_000 and sum(0.7 < similarity(a, b) < 0.8 for a in sets[:251] for b in sets[251:]) > 5000
+    all_pairs, made = jaccard.all_pairs, []
+
+    def counted(rooted):
+        monkeypatch.setattr(jaccard, "all_pairs", all_pairs)
+        adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            made.append(rows_of_joins(all_pairs(rooted)))
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        return all_pairs(rooted)
+
+    monkeypatch.setattr(jaccard, "all_pairs", counted)
+    found = {r.doc_id: r.root for r in jaccard.near_duplicates(make_docs([(k, t, "en", "a") for k, t in enumerate(texts)])).collect()}
+    least = {}
+    for k in sorted(found):
+        least.setdefault(found[k], k)
+    assert {k: least[found[k]] for k in found} == union(range(len(texts)), pairs)
+    assert len(made) == 1 and made[0] < 5 * len(texts), made
+
+
 def test_may_be_among_loses_no_key(spark):
     rows = spark.createDataFrame([(k, k * 7919 - 5000000) for k in range(2000)] + [(2000, None)], "id long, _word long")
     keys = rows.filter("id % 40 = 0").select("_word").union(spark.createDataFrame([(None,)], "k long"))
